@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import distinctive, frequency, mixture, top_items
+from . import distinctive, frequency, leakage, mixture, subjects, top_items
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items.top_both_ways(table(spark, sf_dir, "candidate_pairs"), "unique_entity_id", "ein", "total_score", 3, ("uei", "ein"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
@@ -39,7 +43,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.subject_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return found.where(F.col("posterior") >= 0.5).select("doc_id", "subject")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p3_found": r"""

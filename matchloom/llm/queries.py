@@ -6,7 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import distinctive, frequency, leakage, mixture, subjects, top_items
+from . import distinctive, frequency, leakage, mixture, places, subjects, top_items
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All address records: rec, line, second, city, region, postcode."""
+    source, db = table(spark, sf_dir, "df_source"), table(spark, sf_dir, "df_db")
+    none = F.lit(None).cast("string")
+
+    def fields(prefix: str, key: str, *names) -> list:
+        return [F.concat(F.lit(prefix), key).alias("rec"), *[F.col(x).alias(n) if isinstance(x, str) else x.alias(n) for n, x in zip(("line", "second", "city", "region", "postcode"), names)]]
+
+    p = source.select(*fields("P", "source_row_id", "physical_address_line_1", "physical_address_line_2", "physical_address_city", "physical_address_province_or_state", "physical_address_zip_postal_code"))
+    m = source.select(*fields("M", "source_row_id", "mailing_address_line_1", "mailing_address_line_2", "mailing_address_city", "mailing_address_state_or_province", "mailing_address_zip_postal_code"))
+    d = db.select(*fields("D", "db_row_id", "org_addr_street", none, "org_addr_city", "org_addr_state", "org_addr_zip"))
+    return p.unionByName(m).unionByName(d)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.same_place(addresses(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +66,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("posterior") >= 0.5).select("doc_id", "subject")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p3_found": r"""

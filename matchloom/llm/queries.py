@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import distinctive, frequency, leakage, mixture, places, subjects, top_items
+from . import distinctive, frequency, leakage, mixture, places, spellings, subjects, top_items
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.same_place(addresses(spark, sf_dir))
 
 
+def name_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All name records: rec, owner, name, city, region, postcode."""
+    source, db = table(spark, sf_dir, "df_source"), table(spark, sf_dir, "df_db")
+    at = [F.col("physical_address_city").alias("city"), F.col("physical_address_province_or_state").alias("region"), F.col("physical_address_zip_postal_code").alias("postcode")]
+    uei = F.concat(F.lit("u"), "unique_entity_id").alias("owner")
+    legal = source.select(F.concat(F.lit("L"), "source_row_id").alias("rec"), uei, F.col("legal_business_name").alias("name"), *at)
+    trade = source.select(F.concat(F.lit("B"), "source_row_id").alias("rec"), uei, F.col("dba_name").alias("name"), *at)
+    registry = db.select(F.concat(F.lit("O"), "db_row_id").alias("rec"), F.concat(F.lit("e"), "ein").alias("owner"), F.col("org_name_raw").alias("name"),
+                         F.col("org_addr_city").alias("city"), F.col("org_addr_state").alias("region"), F.col("org_addr_zip").alias("postcode"))
+    return legal.unionByName(trade).unionByName(registry)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.same_name(name_records(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = frequency.counted_by_vintage(table(spark, sf_dir, "df_db"), "org_name_raw", "vintage")
     return frequency.marked(counts).where(F.col("mark").isNotNull()).select("term", "mark")
@@ -66,7 +82,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("posterior") >= 0.5).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p3_found": r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import distinctive, frequency, leakage, mixture, places, spellings, subjects, top_items
+from . import distinctive, entities, frequency, leakage, mixture, places, spellings, subjects, top_items
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,22 @@ def name_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal.unionByName(trade).unionByName(registry)
 
 
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, db = table(spark, sf_dir, "df_source"), table(spark, sf_dir, "df_db")
+    owner, none = F.col("unique_entity_id").alias("owner"), F.lit(None).cast("string")
+    physical = [F.col(x).alias(n) for x, n in (("physical_address_line_1", "line"), ("physical_address_line_2", "second"), ("physical_address_city", "city"), ("physical_address_province_or_state", "region"), ("physical_address_zip_postal_code", "postcode"))]
+    mailing = [F.col(x).alias(n) for x, n in (("mailing_address_line_1", "line"), ("mailing_address_line_2", "second"), ("mailing_address_city", "city"), ("mailing_address_state_or_province", "region"), ("mailing_address_zip_postal_code", "postcode"))]
+    legal, trade = F.col("legal_business_name").alias("name"), F.col("dba_name").alias("name")
+    left = source.select(owner, legal, *physical).unionByName(source.select(owner, trade, *physical)).unionByName(source.select(owner, legal, *mailing))
+    right = db.select(F.col("ein").alias("owner"), F.col("org_name_raw").alias("name"), F.col("org_addr_street").alias("line"), none.alias("second"), F.col("org_addr_city").alias("city"), F.col("org_addr_state").alias("region"), F.col("org_addr_zip").alias("postcode"))
+    labels = table(spark, sf_dir, "match_labels").where(F.col("gt_is_match").isNotNull()).select(F.col("uei").alias("left_key"), F.when(F.col("gt_is_match"), F.col("gt_ein")).alias("right_key"))
+    return entities.match(left, right, labels)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched(spark, sf_dir).where(F.col("confidence") >= 0.5).select(F.col("left_key").alias("unique_entity_id"), F.col("right_key").alias("ein"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.same_name(name_records(spark, sf_dir))
 
@@ -82,7 +98,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("posterior") >= 0.5).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p3_found": r"""

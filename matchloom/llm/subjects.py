@@ -71,7 +71,7 @@ def _sums(df: DataFrame, task, width: int) -> np.ndarray:
 
 
 def language_weights(documents: DataFrame, text: str, lang: str | None) -> np.ndarray:
-    """Log shares of each hashed word in each language, learned from the (partly wrong) language field of all documents."""
+    """Log shares of each hashed word in each language, 0 for an unseen word, learned from the (partly wrong) language field of all documents."""
     if lang is None:
         return np.zeros((BUCKETS, 1))
     coded = documents.select(F.col(text).alias("t"), language_code(F.col(lang)).alias("l"))
@@ -94,7 +94,8 @@ def language_weights(documents: DataFrame, text: str, lang: str | None) -> np.nd
         yield pd.DataFrame({"word": seen, "n": list(total[seen])})
 
     counts = _sums(coded, count, len(languages))[:BUCKETS] + 0.5
-    return np.log(counts / counts.sum(axis=0, keepdims=True))
+    logs = np.log(counts / counts.sum(axis=0, keepdims=True))
+    return logs - np.log(0.5 / counts.sum(axis=0, keepdims=True))
 
 
 def _flat(bags: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,15 +158,28 @@ def _prior(labels: pd.Series, k: int) -> np.ndarray:
     return out
 
 
+def _packed(model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is broadcast of a model: its rows that aren't 0, in half the width."""
+    seen = np.flatnonzero(np.abs(model[0]).sum(axis=1))
+    return seen.astype(np.int32), model[0][seen].astype(np.float32), model[1].astype(np.float32)
+
+
+def _unpacked(packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    per_word = np.zeros((BUCKETS, packed[1].shape[1]), dtype=np.float32)
+    per_word[packed[0]] = packed[1]
+    return per_word, packed[2]
+
+
 def _expected(bags: DataFrame, model: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
     """One E and M step: expected counts of (word, class) over the documents. Each task adds up its own documents and
     sends one row a word."""
-    shared = bags.sparkSession.sparkContext.broadcast(model)
+    shared = bags.sparkSession.sparkContext.broadcast(_packed(model))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((BUCKETS + int(1 / LANGUAGE_SHARE) + 1, k + 1))
+        own = _unpacked(shared.value)
         for pdf in batches:
-            p, ids, starts, per_doc = posteriors(pdf["bag"], pdf["language"], shared.value, _prior(pdf["labels"], k))
+            p, ids, starts, per_doc = posteriors(pdf["bag"], pdf["language"], own, _prior(pdf["labels"], k))
             if len(starts):
                 lengths = np.diff(np.append(starts, len(ids)))
                 np.add.at(total, ids, np.repeat(p, lengths, axis=0))
@@ -173,7 +187,9 @@ def _expected(bags: DataFrame, model: tuple[np.ndarray, np.ndarray], k: int) ->
         seen = np.flatnonzero(total.sum(axis=1))
         yield pd.DataFrame({"word": seen, "n": list(total[seen])})
 
-    return _sums(bags.select("bag", "language", "labels"), add_up, k + 1)
+    out = _sums(bags.select("bag", "language", "labels"), add_up, k + 1)
+    shared.destroy()
+    return out
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -214,15 +230,17 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
     numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subject string, number int")
     known = labels.select(F.col(doc_id), "subject").join(F.broadcast(numbers), "subject", "left").where(F.col("subject").isNull() | F.col("number").isNotNull())
     known = known.groupBy(doc_id).agg(F.sort_array(F.collect_set("number")).alias("labels"))
-    languages = spark.sparkContext.broadcast(language_weights(documents, text, lang))
+    table = language_weights(documents, text, lang)
+    languages = spark.sparkContext.broadcast(_packed((table, table[:0])))
 
     @F.pandas_udf("struct<bag array<array<int>>, language int>")
     def bag_of(texts: pd.Series) -> pd.DataFrame:
         bags, numbers = [], []
+        table = _unpacked(languages.value)[0]
         for t in texts:
             parts = sentences(t)
             plain = [bucket(w) for s in parts for w in s]
-            one = int(languages.value[plain].sum(axis=0).argmax()) if plain else 0
+            one = int(table[plain].sum(axis=0).argmax()) if plain else 0
             bags.append([[bucket(w, one + 1) for w in s] for s in parts])
             numbers.append(one)
         return pd.DataFrame({"bag": bags, "language": numbers})
@@ -237,16 +255,17 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
             each = F.explode(F.array(*[F.lit(n) for n in names]))
             return bags.select(doc_id, each.alias("subject"), F.lit(0.0).alias("posterior"))
         model = weights(counts)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(_packed(model))
 
-    def raw(pdf: pd.DataFrame) -> np.ndarray:
-        p, _, _, per_doc = posteriors(pdf["bag"], pdf["language"], shared.value, np.zeros((len(pdf), k + 1)))
+    def raw(pdf: pd.DataFrame, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        p, _, _, per_doc = posteriors(pdf["bag"], pdf["language"], own, np.zeros((len(pdf), k + 1)))
         ends = np.cumsum(per_doc)
         return np.array([at_least_two(p[e - n : e, :k]) for e, n in zip(ends, per_doc)]).reshape(len(pdf), k)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _unpacked(shared.value)
         for pdf in batches:
-            yield pd.DataFrame({"x": list(_logit(raw(pdf))), "labels": pdf["labels"]})
+            yield pd.DataFrame({"x": list(_logit(raw(pdf, own))), "labels": pdf["labels"]})
 
     chosen = taught.orderBy(F.xxhash64(doc_id), doc_id).limit(CALIBRATION_ROWS)
     seen = chosen.select("bag", "language", "labels").mapInPandas(sample, "x array<double>, labels array<int>").toPandas()
@@ -255,8 +274,9 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slope, offset = np.array([a for a, _ in curves]), np.array([b for _, b in curves])
+        own = _unpacked(shared.value)
         for pdf in batches:
-            r = raw(pdf)
+            r = raw(pdf, own)
             p = np.where(r > 0, 1 / (1 + np.exp(-(_logit(r) * slope + offset))), 0.0)
             yield pd.DataFrame({doc_id: np.repeat(pdf[doc_id].to_numpy(), k), "subject": np.tile(np.array(names, dtype=object), len(pdf)), "posterior": p.ravel()})
 

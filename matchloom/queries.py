@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import skew
+from . import schema
+from .config import Config
+from .functions import constants as K
+from .functions import text as X
+from .operators import block, geo, incremental, skew, stats
+from .operators import evaluate as E
+from .operators import train as T
+from .operators import veto as V
+from .operators.compare import Pairs, geo_coverage
+from .operators.normalize import normalize
+from .operators.select import candidates, select, tier
+from .oracle import SQL as ORACLE
+from .plans import pipeline
+from .plans.report import tier_shares
+from .plans.route import route
 from .runtime import table
 
 
@@ -26,13 +40,245 @@ def p1_state_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a.state", "n_rows", F.col("n_distinct").alias("n_cities"), F.col("mode_value").alias("top_city"), "p50_revenue", "p90_revenue")
 
 
+def _source(spark: SparkSession, d: str) -> DataFrame:
+    return schema.query(table(spark, d, "df_source"))
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    return schema.reference(table(spark, d, "df_db"), schema.bmf_map("act"))
+
+
+def _q(spark: SparkSession, d: str) -> DataFrame:
+    return normalize(_source(spark, d)).select("id", "state", "name_key", "dba_key").distinct()
+
+
+def _r(spark: SparkSession, d: str) -> DataFrame:
+    return normalize(_registry(spark, d).dropDuplicates(["ein", "name", "dba", "street", "city", "state", "zip5", "zip_plus4"]))
+
+
+def _eins(pairs: DataFrame, r: DataFrame) -> DataFrame:
+    return pairs.join(r.select("rid", "ein"), "rid").select("id", "ein").distinct()
+
+
+def canonicalize(spark, d):
+    return _source(spark, d).select("id", "name", "dba", "division", "street", "unit", "city", "state", "zip5")
+
+
+def name_features(spark, d):
+    full = X.name_full(F.col("org_name_raw"))
+    f = table(spark, d, "df_db").select("db_row_id", full.alias("name_full"))
+    c = F.col("name_full")
+    return f.select("db_row_id", "name_full", X.name_key(c).alias("name_key"), X.name_form(c).alias("name_form"), X.numbers(c).alias("name_nums"), X.mapped_tokens(c, K.ORDINAL_RANKS).alias("name_ord"),
+                    X.mapped_tokens(c, K.NAME_DIRECTIONS).alias("name_dir"), X.generation(c).alias("name_gen"))
+
+
+def street_features(spark, d):
+    raw = F.col("org_addr_street")
+    s = table(spark, d, "df_db").select("db_row_id", X.street_unit(raw).alias("street_unit"), X.street_key(raw).alias("street_key"))
+    c = F.col("street_key")
+    return s.select("db_row_id", "street_unit", "street_key", c.rlike(K.BOX_PATTERN).alias("is_po_box"), *[v.alias(k) for k, v in X.street_parts(c).items()])
+
+
+def zip_family(spark, d):
+    z = X.zip_parts(F.col("physical_address_zip_postal_code"), F.col("physical_address_zip_code_4"))
+    return table(spark, d, "df_source").select("source_row_id", *[v.alias(k) for k, v in z.items()], X.state_code(F.col("physical_address_province_or_state")).alias("state_abb"))
+
+
+def name_freq(spark, d):
+    return stats.name_freq(_r(spark, d))
+
+
+def token_idf(spark, d):
+    return stats.token_idf(_r(spark, d))
+
+
+def geo_profile(spark, d):
+    return geo_coverage(_source(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("street", "unit", "city", "state", "zip5")])
+
+
+def block_exact(spark, d):
+    r = _r(spark, d)
+    return _eins(block.exact(_q(spark, d), r, ["state", "name_key"]), r)
+
+
+def block_cross_column(spark, d):
+    r = _r(spark, d)
+    return _eins(block.exact(_q(spark, d), r, ["state", "dba_key"], ["state", "name_key"]), r)
+
+
+def block_union(spark, d):
+    q, r = _q(spark, d), _r(spark, d)
+    return _eins(block.union(block.exact(q, r, ["state", "name_key"]), block.exact(q, r, ["state", "dba_key"], ["state", "name_key"])), r)
+
+
+def block_token(spark, d):
+    r = _r(spark, d)
+    return _eins(block.by_tokens(_q(spark, d), r, ["state"], max_ref_freq=20), r)
+
+
+def _block_idf(spark, d, **how):
+    # forms of a query are told apart: idf adds up within one name
+    r = _r(spark, d)
+    q = _q(spark, d).withColumn("own", F.col("id")).withColumn("id", F.concat_ws("|", "id", "state", "name_key", "dba_key"))
+    found = block.by_tokens(q, r, how.pop("by"), min_pair_idf=8, **how)
+    return _eins(found.join(q.select("id", "own"), "id").select(F.col("own").alias("id"), "rid"), r)
+
+
+def block_token_idf(spark, d):
+    return _block_idf(spark, d, by=["state"], max_ref_freq=200)
+
+
+def block_token_concat(spark, d):
+    return _block_idf(spark, d, by=["state"], max_ref_freq=200, concat=True)
+
+
+def block_crossstate(spark, d):
+    return _block_idf(spark, d, by=[], max_ref_freq=200)
+
+
+def _scored(spark, d) -> Pairs:
+    number = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0))
+    p = table(spark, d, "candidate_pairs").select(F.col("unique_entity_id").alias("id"), "ein", F.col("pair_id").alias("rid"), number("total_score").alias("score"), number("name_similarity").alias("name_sim"), number("addr_similarity").alias("street_key_sim"))
+    none = F.lit(None).cast("string")
+    return Pairs(p.withColumns({"name_x": none, "name_y": none, "veto": F.lit(False), "veto_soft": F.lit(False), "veto_soft_reason": none}), ["name", "street"], "street_full")
+
+
+def select_best(spark, d):
+    c = Config(tiebreak="none")
+    out = tier(select(_scored(spark, d), c), c)
+    return out.select("id", "overall_ein", F.round("overall_score", 6).alias("overall_score"), "name_ein", "addr_ein", "n_close", "tie", F.round("overall_margin", 6).alias("overall_margin"), "views_agree", "tier")
+
+
+def candidates_topk(spark, d):
+    return candidates(_scored(spark, d), 3).select("id", "ein", "candidate_type")
+
+
+def _labelled(spark, d) -> DataFrame:
+    m = table(spark, d, "match_labels").where(F.col("gt_is_match").isNotNull()).select(F.col("uei").alias("unique_entity_id"), "gt_ein")
+    p = table(spark, d, "candidate_pairs").join(m, "unique_entity_id").where(~F.isnan("total_score"))
+    return p.select(F.col("total_score").alias("score"), F.coalesce((F.col("ein") == F.col("gt_ein")).cast("int"), F.lit(0)).alias("label"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def auc(spark, d):
+    return _rounded(E.auc(_labelled(spark, d)))
+
+
+def evaluate(spark, d):
+    return _rounded(E.evaluate(_labelled(spark, d), 0.65))
+
+
+def tune_thresholds(spark, d):
+    return _rounded(E.tune_thresholds(_labelled(spark, d), 0.9, 0.95))
+
+
+def diff_unmatched(spark, d):
+    return incremental.diff_unmatched(table(spark, d, "df_source"), table(spark, d, "match_labels"), "unique_entity_id", "uei", "gt_outcome_class", ("in_bmf_match",)).select("source_row_id", "unique_entity_id")
+
+
+def diff_counts(spark, d):
+    return incremental.diff_counts(table(spark, d, "df_source"), table(spark, d, "match_labels"), "unique_entity_id", "uei", "gt_outcome_class", ("in_bmf_match",))
+
+
+def flag_membership(spark, d):
+    return schema.flag_active(table(spark, d, "df_db").select("db_row_id", "ein"), table(spark, d, "candidate_pairs")).select("db_row_id", "active")
+
+
+def code_flags(spark, d):
+    s = incremental.flag_codes(table(spark, d, "df_source"), "bus_type_string", ["A8", "BZ", "2U", "A7"], "nonprofit")
+    return incremental.flag_codes(s, "bus_type_string", ["M8"], "educational", exact=True).select("source_row_id", "nonprofit", "educational")
+
+
+def clean_geo(spark, d):
+    return geo.clean_geo(table(spark, d, "df_db").select("db_row_id", F.col("org_addr_city").alias("city"), F.col("org_addr_state").alias("state")))
+
+
+def refine_city(spark, d):
+    ref = table(spark, d, "df_db").where("org_addr_zip5 != ''").select(F.col("org_addr_zip5").alias("zip5"), F.col("org_addr_city").alias("city"))
+    return geo.refine_city(table(spark, d, "df_source").select("source_row_id", F.col("physical_address_city").alias("city"), F.col("physical_address_zip_postal_code").alias("zip5")), ref).select("source_row_id", "city")
+
+
+def dominant_geo(spark, d):
+    g = table(spark, d, "df_db").where("org_addr_zip5 != '' and org_addr_state != ''").groupBy(F.col("org_addr_zip5").alias("zip"), F.col("org_addr_state").alias("state")).agg(F.count(F.lit(1)).alias("tot_ratio"))
+    return geo.load_hud(g)
+
+
+def augment_geo(spark, d):
+    c = table(spark, d, "df_db").where("org_addr_zip5 != ''").groupBy(F.col("org_addr_zip5").alias("zip5")).agg(F.min("ntee_clean").alias("ntee"))
+    return geo.augment_geo(table(spark, d, "df_source").select("source_row_id", F.col("physical_address_zip_postal_code").alias("zip5")), c).select("source_row_id", "ntee")
+
+
+def veto_audit(spark, d):
+    """Rules on the older scorer's pairs, names as given."""
+    def side(df, key, name, s):
+        full = df.select(key, F.col(name).alias(f"name_{s}"), X.name_full(F.col(name)).alias("f")).distinct()
+        c = F.col("f")
+        return full.select(key, f"name_{s}", F.col(f"name_{s}").alias(f"name_raw_{s}"), X.numbers(c).alias(f"name_nums_{s}"), X.mapped_tokens(c, K.ORDINAL_RANKS).alias(f"name_ord_{s}"), X.mapped_tokens(c, K.NAME_DIRECTIONS).alias(f"name_dir_{s}"))
+    a, b = side(table(spark, d, "df_source"), "unique_entity_id", "legal_business_name", "x"), side(table(spark, d, "df_db"), "ein", "org_name_raw", "y")
+    p = table(spark, d, "candidate_pairs").select("unique_entity_id", "ein").distinct().join(a, "unique_entity_id").join(b, "ein")
+    p = p.withColumnRenamed("unique_entity_id", "id").withColumns({"name_sim": F.lit(0.0), "score": F.lit(0.0)})
+    return V.veto_audit(V.veto(p)).select("id", "ein", "name_x", "name_y", "severity", "veto_rule")
+
+
+def _run(spark, d):
+    return pipeline.cascade(_source(spark, d).dropDuplicates(["id"]), _registry(spark, d))
+
+
+_RESULT = ["id", "tier", "overall_ein", "overall_score", "overall_margin", "name_ein", "addr_ein", "views_agree", "n_close", "pass"]
+
+
+def cascade(spark, d):
+    return _run(spark, d).tiered.select(*_RESULT)
+
+
+def _matched(spark, d, method):
+    q, r = _source(spark, d).dropDuplicates(["id"]), _registry(spark, d)
+    found = block.union(*[block.exact(normalize(q), normalize(r), ["state", k]) for k in ("name_key", "street_key")])
+    return pipeline.match(q, r, method=method, candidates=found)
+
+
+def score_weighted(spark, d):
+    return _matched(spark, d, "weighted").pairs.df.select("id", "ein", "score", "name_sim", "name_match_type", "veto_reason")
+
+
+def score_hier(spark, d):
+    return _matched(spark, d, "hier").pairs.df.select("id", "ein", "score", "name_sim", "name_match_type", "veto_reason")
+
+
+def score_em(spark, d):
+    return _matched(spark, d, "em").pairs.df.select("id", "ein", "score", "weight_em")
+
+
+def score_model(spark, d):
+    m = table(spark, d, "match_labels").where(F.col("gt_is_match").isNotNull())
+    pairs = _matched(spark, d, "weighted").pairs
+    known = pairs.df.join(m.select(F.col("uei").alias("id"), "gt_ein"), "id", "left_outer").withColumn("label", F.when(F.col("id").isNotNull() & F.col("gt_ein").isNotNull(), F.col("ein") == F.col("gt_ein"))).drop("gt_ein")
+    pairs = pairs.with_df(known)
+    return T.train(pairs).predict(pairs.df).select("id", "ein", "p_model")
+
+
+def route_review(spark, d):
+    return route(_run(spark, d)).review
+
+
+def run_report_stats(spark, d):
+    return tier_shares(_run(spark, d).tiered)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_found(spark, sf_dir)
+    return cascade(spark, sf_dir)
 
 
-QUERIES = {"p1_found": p1_found, "p1_state_profile": p1_state_profile}
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_state_profile, canonicalize, name_features, street_features, zip_family, name_freq, token_idf, geo_profile, block_exact, block_cross_column, block_union, block_token,
+    block_token_idf, block_token_concat, block_crossstate, select_best, candidates_topk, auc, evaluate, tune_thresholds, diff_unmatched, diff_counts, flag_membership, code_flags, clean_geo, refine_city,
+    dominant_geo, augment_geo, veto_audit, score_weighted, score_hier, score_em, score_model, cascade, route_review, run_report_stats,
+)}
 
-SQL = {
+SQL = ORACLE | {
     "p1_found": """
         WITH r AS (SELECT 'df_source' AS table_name, physical_address_province_or_state AS f FROM df_source
                    UNION ALL SELECT 'df_db', org_addr_state FROM df_db),

@@ -37,6 +37,8 @@ _NUMBER = re.compile(r"[0-9]+[A-Z]?$")
 
 def fold(text: str) -> str:
     """Upper case without accents."""
+    if text.isascii():
+        return text.upper()
     return "".join(c for c in unicodedata.normalize("NFKD", text.upper()) if not unicodedata.combining(c))
 
 

@@ -39,7 +39,7 @@ DROPPED = set("THE OF AND A AN FOR DE LA EL".split())
 _FORMS = {w: w for w in WORDS} | {short: w for w, forms in WORDS.items() for short in forms.split()}
 _PET = {w: w for w in GIVEN} | {short: w for w, forms in GIVEN.items() for short in forms.split()}
 _ORDINAL = {v: k for k, v in ORDINALS.items()} | {k: k for k in ORDINALS}
-_CODE = {w: chr(0xE000 + i) for i, w in enumerate([*WORDS, *GIVEN, *ORDINALS])}
+_CODE = {w: chr(0x100 + i) for i, w in enumerate([*WORDS, *GIVEN, *ORDINALS])}
 _TOKEN = re.compile(r"[A-Z0-9]+")
 
 
@@ -57,8 +57,23 @@ def _near() -> dict[str, str]:
 _NEAR = _near()
 
 
+#: What tokens were found to stand for; tokens repeat, so most are looked up here. Emptied when full.
+_SEEN: dict[str, str | None] = {}
+_SEEN_MOST = 200_000
+
+
 def _usual(token: str) -> str | None:
     """The usual word that a token stands for: one of its forms, or the word with one letter wrong, missing or added."""
+    try:
+        return _SEEN[token]
+    except KeyError:
+        if len(_SEEN) >= _SEEN_MOST:
+            _SEEN.clear()
+        w = _SEEN[token] = _looked_up(token)
+        return w
+
+
+def _looked_up(token: str) -> str | None:
     w = _FORMS.get(token) or _ORDINAL.get(token)
     if w or len(token) < 5:
         return w
@@ -89,7 +104,7 @@ _PERSONAL = {"CHARITABLE", "FAMILY", "MEMORIAL", "SCHOLARSHIP", "FOUNDATION", "F
 
 
 def _initial_sign(letter: str) -> str:
-    return chr(0xE800 + ord(letter))
+    return chr(0x400 + ord(letter))
 
 
 def name_form(name: str | None, cut: bool = False) -> tuple[str, str, str, str, str, str, str, str]:
@@ -196,10 +211,13 @@ def index_keys(core: str) -> list[str]:
 
 def probe_keys(core: str) -> list[str]:
     """Keys that a core within its allowed edits must share: by the pigeonhole principle one of the other's segments stands
-    unchanged in this one, shifted by no more than the edits."""
+    unchanged in this one. Before segment i there are at most i edits and after it at most k - i, or another segment would
+    be found as well; that bounds how far it can be shifted."""
     k, n, out = allowed(core), len(core), set()
-    for length in range(max(1, n - k), n + k + 1) if k else ():
+    for length in range(max(k + 2, n - k), n + k + 1) if k else ():
+        longer = n - length
         for i, (at, part) in enumerate(segments("." * length, k)):
-            for start in range(max(0, at - k), min(n - len(part), at + k) + 1):
+            low, high = max(at - i, at + longer - (k - i)), min(at + i, at + longer + (k - i))
+            for start in range(max(0, low), min(n - len(part), high) + 1):
                 out.add(f"{k}:{length}:{i}:{core[start : start + len(part)]}")
     return sorted(out)

@@ -19,7 +19,8 @@ from ..runtime import keep
 from .addresses import state, town, zip5
 from .names import LEGAL, index_keys, name_form, probe_keys
 
-FORM = ["usual", "short", "nums", "core", "sorted", "initials", "zip", "town", "state"]
+NAME = ["usual", "short", "nums", "core", "sorted", "initials"]
+FORM = [*NAME, "zip", "town", "state"]
 #: Width at which the registry cuts names off (a blank at the end may be lost as well); such a name may end in the middle
 #: of a word.
 CUT_AT = 38
@@ -52,72 +53,75 @@ def parsed(records: DataFrame) -> DataFrame:
     return out.where(F.concat("usual", "nums", "core") != "")
 
 
-def _blocks():
-    """The localities of a form: its postal code and its town."""
-    return F.explode(F.array_compact(F.array(F.when(F.col("zip") != "", F.xxhash64(F.lit("Z"), "zip")), F.when(F.col("town") != "", F.xxhash64(F.lit("T"), "town", "state")))))
+def localised(forms: DataFrame) -> DataFrame:
+    """forms with loc, a hash of the usual town of the postal code or else of the own town (null without either), and
+    region, the own state or else the usual one of the postal code's first digits. There are at most 100,000 postal codes
+    and 1000 beginnings of one: their towns and states are broadcast."""
+    counts = forms.where("zip != ''").groupBy("zip", "town", "state").agg(F.sum("n").alias("n"))
+    known = F.when((F.col("town") != "") & (F.col("state") != ""), F.struct("n", "town", "state"))
+    by_zip = counts.groupBy("zip").agg(F.max(known).alias("m")).select("zip", F.xxhash64("m.town", "m.state").alias("zip_loc"), F.col("m").isNotNull().alias("known")).where("known").drop("known")
+    begins = counts.where("state != ''").groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
+    begins = begins.groupBy("z3").agg(F.max_by("state", F.struct("k", "state")).alias("usual_state"))
+    f = forms.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(by_zip), "zip", "left").join(F.broadcast(begins), "z3", "left")
+    own = F.when(F.col("town") != "", F.xxhash64("town", "state")).when(F.col("zip") != "", F.xxhash64("zip"))
+    region = F.when(F.col("state") != "", F.col("state")).otherwise(F.coalesce("usual_state", F.concat(F.lit("?"), "town", "zip")))
+    return f.withColumn("loc", F.coalesce("zip_loc", own)).withColumn("region", region).drop("z3", "zip_loc", "usual_state")
 
 
 def completed(forms: DataFrame) -> DataFrame:
-    """(form, usual, short, nums, core, sorted, initials): the full name that a cut-off one stands for, where its locality
-    has one. The start of the name is in the key, so a locality's cut names only meet names that begin alike."""
-    placed = forms.withColumn("loc", _blocks()).withColumn("start", F.substring(F.concat("base", "last"), 1, 10))
-    cut = placed.where(F.col("cut") & (F.length("base") >= 10)).select("form", "loc", "start", F.col("base").alias("c_base"), F.col("last").alias("c_last"))
-    full = placed.where(~F.col("cut")).select("loc", "start", F.concat("base", "last").alias("flat"), "n", "usual", "short", "nums", "core", "sorted", "initials")
-    j = cut.join(full, ["loc", "start"]).where(F.startswith("flat", "c_base"))
-    rest = F.expr("substring(flat, length(c_base) + 1)")
-    legal = F.exists(F.array(*[F.lit(x) for x in sorted(LEGAL)]), lambda w: F.startswith(w, F.col("c_last")))
-    ok = j.where(F.startswith(rest, F.col("c_last")) | ((rest == "") & legal))
-    names = ["usual", "short", "nums", "core", "sorted", "initials"]
-    best = F.max_by(F.struct(*names), F.struct("n", -F.length("flat"), "flat")).alias("b")
+    """(form, NAME): the full name that a cut-off one stands for, where its locality has one. Locality and beginning of the
+    name are joined as one hash; only what is found fetches its letters."""
+    key = F.xxhash64("loc", F.substring("flat", 1, 10)).alias("key")
+    some = forms.where(F.col("loc").isNotNull() & (F.length("flat") >= 10))
+    cut = some.where("cut").select("form", key, F.substring("flat", F.lit(1), F.length("flat") - F.length("last")).alias("base"), "last")
+    found = cut.join(some.where("not cut").select(key, F.col("form").alias("full")), "key")
+    full = forms.select(F.col("form").alias("full"), "flat", "n", *NAME)
+    j = found.join(full, "full").where(F.startswith("flat", "base"))
+    rest = F.expr("substring(flat, length(base) + 1)")
+    legal = F.exists(F.array(*[F.lit(x) for x in sorted(LEGAL)]), lambda w: F.startswith(w, F.col("last")))
+    ok = j.where(F.startswith(rest, F.col("last")) | ((rest == "") & legal))
+    best = F.max_by(F.struct(*NAME), F.struct("n", -F.length("flat"), "flat")).alias("b")
     return ok.groupBy("form").agg(best).select("form", "b.*")
 
 
-def corrected(forms: DataFrame) -> DataFrame:
-    """(short, nums, core, zip, town, state, best): the best supported spelling of a core in its block, where it isn't its own."""
-    # how well a spelling is supported is counted everywhere, so all blocks prefer the same one
-    support = forms.groupBy("short", "nums", "core").agg(F.sum("n").alias("n"))
-    per = forms.select("short", "nums", "core", "sorted", "zip", "town", "state").distinct().join(support, ["short", "nums", "core"])
-    placed = per.withColumn("loc", _blocks()).withColumn("block", F.xxhash64("loc", "short", "nums"))
-    cores = placed.groupBy("block", "core", "sorted").agg(F.max("n").alias("n"))
-    several = cores.groupBy("block").agg(F.min("core").alias("a"), F.max("core").alias("z")).where("a < z").select("block")
-    cores = keep(cores.join(several, "block", "left_semi"), "cores")
+def corrected(f: DataFrame) -> DataFrame:
+    """(block, core, best): the best supported spelling of a core in its block, where it isn't its own. f: block, nid (a hash
+    of the name without its locality), core, sorted, n. How well a spelling is supported is counted everywhere, so that
+    all blocks prefer the same one."""
+    per = f.where(F.col("block").isNotNull()).select("nid", "block", "core", "sorted", "n").repartition("nid")
+    per = per.groupBy("nid", "block").agg(F.first("core").alias("core"), F.min("sorted").alias("sorted"), F.sum("n").alias("n"))
+    per = per.withColumn("n", F.sum("n").over(Window.partitionBy("nid"))).select("block", "core", "sorted", "n")
+    w = Window.partitionBy("block")
+    cores = keep(per.withColumn("a", F.min("core").over(w)).withColumn("z", F.max("core").over(w)).where("a < z").drop("a", "z"), "cores")
     key = F.xxhash64("block", "key").alias("key")
-    index = cores.select("core", "n", "block", F.explode(_index("core")).alias("key")).select(key, "block", F.col("core").alias("to"), F.col("n").alias("to_n"))
-    probe = cores.select("core", "n", "block", F.explode(_probe("core")).alias("key")).select(key, "block", "core", "n")
-    found = probe.join(index, ["key", "block"]).where((F.struct("to_n", "to") > F.struct("n", "core")))
-    found = found.where(F.levenshtein("core", "to", 2) >= 0).select("block", "core", "to", "to_n")
-    turned = cores.alias("a").join(cores.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.sorted") == F.col("b.sorted")) & (F.struct("b.n", "b.core") > F.struct("a.n", "a.core")))
-    turned = turned.select("a.block", "a.core", F.col("b.core").alias("to"), F.col("b.n").alias("to_n"))
-    chosen = found.unionByName(turned).groupBy("block", "core").agg(F.max(F.struct("to_n", "to")).alias("m")).select("block", "core", "m.to_n", "m.to")
+    index = cores.select("block", F.col("core").alias("to"), F.col("n").alias("to_n"), F.explode(_index("core")).alias("key")).select(key, "to", "to_n")
+    probe = cores.select("block", "core", "n", F.explode(_probe("core")).alias("key")).select(key, "block", "core", "n")
+    better = F.struct("to_n", "to") > F.struct("n", "core")
+    found = probe.join(index, "key").where(better & (F.levenshtein("core", "to", 2) >= 0)).select("block", "core", "to", "to_n")
+    # the same words in another order
+    turned = cores.withColumn("m", F.max(F.struct("n", "core")).over(Window.partitionBy("block", "sorted"))).where(F.col("m.core") != F.col("core"))
+    turned = turned.select("block", "core", F.col("m.core").alias("to"), F.col("m.n").alias("to_n"))
+    chosen = found.unionByName(turned).groupBy("block", "core").agg(F.max(F.struct("to_n", "to")).alias("m")).select("block", "core", F.col("m.to").alias("to"))
+    chosen = keep(chosen, "chosen")
     hop = chosen.select("block", F.col("core").alias("to"), F.col("to").alias("further"))
-    chosen = chosen.join(hop, ["block", "to"], "left").select("block", "core", "to_n", F.coalesce("further", "to").alias("to"))
-    hits = placed.join(chosen, ["block", "core"])
-    return hits.groupBy("short", "nums", "core", "zip", "town", "state").agg(F.max_by("to", F.struct("to_n", "to")).alias("best"))
+    return chosen.join(hop, ["block", "to"], "left").select("block", "core", F.coalesce("further", "to").alias("best"))
 
 
 def organisations(forms: DataFrame) -> DataFrame:
-    """(form, org): a 64-bit id of the organisation that each distinct form names. forms: form, cut, base, last, FORM, n."""
+    """(form, org): a 64-bit id of the organisation that each distinct form names. forms: form, cut, flat, last, FORM, n."""
+    forms = keep(localised(forms), "name-forms")
     whole = completed(forms)
-    names = ["usual", "short", "nums", "core", "sorted", "initials"]
-    f = forms.alias("f").join(whole.alias("w"), "form", "left").select("form", "n", "zip", "town", "state", *[F.coalesce(f"w.{c}", f"f.{c}").alias(c) for c in names])
+    f = forms.select("form", "n", "loc", "region", *NAME).alias("f").join(whole.alias("w"), "form", "left").select("form", "n", "loc", "region", *[F.coalesce(f"w.{c}", f"f.{c}").alias(c) for c in NAME])
+    f = f.withColumn("block", F.when(F.col("loc").isNotNull(), F.xxhash64("loc", "short", "nums"))).withColumn("nid", F.xxhash64("short", "nums", "core")).drop("loc")
     f = keep(f, "whole-names")
-    right = corrected(f)
-    at = ["short", "nums", "core", "zip", "town", "state"]
-    f = f.join(right, at, "left").withColumn("name", F.coalesce("best", "core"))
-    # a missing state is the usual one of the first three digits of the postal code: at most 1000 rows
-    by_zip = f.where((F.col("zip") != "") & (F.col("state") != "")).groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
-    by_zip = by_zip.groupBy("z3").agg(F.max_by("state", F.struct("k", "state")).alias("usual_state"))
-    f = f.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(by_zip), "z3", "left")
-    f = f.withColumn("region", F.when(F.col("state") != "", F.col("state")).otherwise(F.coalesce("usual_state", F.concat(F.lit("?"), "town", "zip"))))
-    f = f.repartition("short", "nums", "name", "region")
-    w = Window.partitionBy("short", "nums", "name", "region")
+    f = f.drop("sorted").join(corrected(f), ["block", "core"], "left").withColumn("name", F.coalesce("best", "core"))
+    f = f.select("form", "n", "usual", F.col("usual").eqNullSafe(F.col("short")).alias("plain"), "initials", F.xxhash64("short", "nums", "name", "region").alias("g")).repartition("g")
     # a given name's mere initial joins the commonest full name it can stand for
-    initial_only = F.col("usual") == F.col("short")
-    full = F.max(F.when(~initial_only, F.struct("n", "usual"))).over(w)["usual"]
-    f = f.withColumn("usual1", F.when(initial_only, F.coalesce(full, F.col("usual"))).otherwise(F.col("usual")))
-    w1 = Window.partitionBy("short", "nums", "name", "region", "usual1")
-    f = f.withColumn("initials1", F.when(F.col("initials") != "", F.col("initials")).otherwise(F.coalesce(F.max(F.when(F.col("initials") != "", F.struct("n", "initials"))).over(w1)["initials"], F.lit(""))))
-    return f.select("form", F.xxhash64("usual1", "nums", "name", "region", "initials1").alias("org"))
+    full = F.max(F.when(~F.col("plain"), F.struct("n", "usual"))).over(Window.partitionBy("g"))["usual"]
+    f = f.withColumn("usual1", F.when(F.col("plain"), F.coalesce(full, F.col("usual"))).otherwise(F.col("usual")))
+    initials = F.max(F.when(F.col("initials") != "", F.struct("n", "initials"))).over(Window.partitionBy("g", "usual1"))["initials"]
+    f = f.withColumn("initials1", F.when(F.col("initials") != "", F.col("initials")).otherwise(F.coalesce(initials, F.lit(""))))
+    return f.select("form", F.xxhash64("g", "usual1", "initials1").alias("org"))
 
 
 def named(records: DataFrame) -> DataFrame:
@@ -126,16 +130,17 @@ def named(records: DataFrame) -> DataFrame:
     records: (rec, owner, name, city, region, postcode); owner is the key that the record already has. Null and blank
     names are left out; a name without a locality only meets its equals of unknown state.
     """
-    cols = [*FORM, "cut", "base", "last"]
-    own = keep(parsed(records).withColumn("form", F.xxhash64(*cols)).select("rec", "owner", "raw", "form", *cols), "names")
-    forms = keep(own.groupBy("form", *cols).agg(F.count(F.lit(1)).alias("n")), "name-forms")
+    own = parsed(records)
+    flat = F.concat("base", "last").alias("flat")
+    own = keep(own.select("rec", "owner", "raw", "cut", flat, "last", *FORM).withColumn("form", F.xxhash64(*FORM, F.when(F.col("cut"), F.col("flat")))), "names")
+    forms = own.groupBy("form").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*FORM, "cut", "flat", "last")])
     return own.select("rec", "owner", "raw", "form").join(organisations(forms), "form").select("rec", "owner", "raw", "org")
 
 
 def same_name(records: DataFrame) -> DataFrame:
     """(name_a, name_b): pairs of records that spell one name of one organisation in different ways and don't share their
     owner; name_a < name_b."""
-    own = keep(named(records), "named")
+    own = keep(named(records).select("rec", F.xxhash64("owner").alias("owner"), "raw", "org"), "named")
     a, b = own.alias("a"), own.alias("b")
     on = (F.col("a.org") == F.col("b.org")) & (F.col("a.rec") < F.col("b.rec")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.owner") != F.col("b.owner"))
     return a.join(b, on).select(F.col("a.rec").alias("name_a"), F.col("b.rec").alias("name_b"))

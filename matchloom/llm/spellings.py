@@ -94,10 +94,15 @@ def corrected(f: DataFrame) -> DataFrame:
     w = Window.partitionBy("block")
     cores = keep(per.withColumn("a", F.min("core").over(w)).withColumn("z", F.max("core").over(w)).where("a < z").drop("a", "z"), "cores")
     key = F.xxhash64("block", "key").alias("key")
-    index = cores.select("block", F.col("core").alias("to"), F.col("n").alias("to_n"), F.explode(_index("core")).alias("key")).select(key, "to", "to_n")
-    probe = cores.select("block", "core", "n", F.explode(_probe("core")).alias("key")).select(key, "block", "core", "n")
+    # what is shuffled by key is only a hash of block and core; found pairs fetch their letters
+    own = F.xxhash64("block", "core")
+    index = cores.select("block", F.explode(_index("core")).alias("key"), own.alias("to_id")).select(key, "to_id")
+    probe = cores.select("block", F.explode(_probe("core")).alias("key"), own.alias("id")).select(key, "id")
+    pairs = probe.join(index, "key").where("id != to_id").select("id", "to_id").distinct()
+    named = cores.groupBy(own.alias("id")).agg(F.first("block").alias("block"), F.first("core").alias("core"), F.max("n").alias("n"))
+    found = pairs.join(named, "id").join(named.select(F.col("id").alias("to_id"), F.col("core").alias("to"), F.col("n").alias("to_n")), "to_id")
     better = F.struct("to_n", "to") > F.struct("n", "core")
-    found = probe.join(index, "key").where(better & (F.levenshtein("core", "to", 2) >= 0)).select("block", "core", "to", "to_n")
+    found = found.where(better & (F.levenshtein("core", "to", 2) >= 0)).select("block", "core", "to", "to_n")
     # the same words in another order
     turned = cores.withColumn("m", F.max(F.struct("n", "core")).over(Window.partitionBy("block", "sorted"))).where(F.col("m.core") != F.col("core"))
     turned = turned.select("block", "core", F.col("m.core").alias("to"), F.col("m.n").alias("to_n"))
@@ -133,7 +138,10 @@ def named(records: DataFrame) -> DataFrame:
     own = parsed(records)
     flat = F.concat("base", "last").alias("flat")
     own = keep(own.select("rec", "owner", "raw", "cut", flat, "last", *FORM).withColumn("form", F.xxhash64(*FORM, F.when(F.col("cut"), F.col("flat")))), "names")
-    forms = own.groupBy("form").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*FORM, "cut", "flat", "last")])
+    # as one string the parts take a third of the room while they are shuffled
+    parts = ["flat", "last", *FORM]
+    packed = own.select("form", "cut", F.concat_ws("\x1f", *parts).alias("p")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("cut").alias("cut"), F.first("p").alias("p"))
+    forms = packed.select("form", "n", "cut", F.split("p", "\x1f").alias("p")).select("form", "n", "cut", *[F.col("p")[i].alias(c) for i, c in enumerate(parts)])
     return own.select("rec", "owner", "raw", "form").join(organisations(forms), "form").select("rec", "owner", "raw", "org")
 
 

@@ -100,7 +100,7 @@ def replicate(counted: DataFrame, targets: DataFrame, seed: int = 17, doc_id: st
     tables = [(r.source, draw_table(rate_for(r.rate, r.max_repeats), r.max_repeats)) for r in source_plan(counted, targets).collect() if r.rate is not None and r.source is not None]
     steps = spark.createDataFrame(tables, "source string, steps array<double>")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = counted.join(F.broadcast(steps), "source").withColumn("u", uniform)
+    drawn = counted.select(doc_id, "source", "tokens").join(F.broadcast(steps), "source").withColumn("u", uniform)
     copies = F.size(F.filter("steps", lambda s: F.col("u") >= s))
     out = drawn.withColumn("copies", copies).where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = out.select(doc_id, "source", "tokens", "copy_no", F.xxhash64(F.lit(seed + 1), doc_id, "copy_no").alias("place"))

@@ -91,7 +91,8 @@ def language_weights(documents: DataFrame, text: str, lang: str | None) -> np.nd
                     ids = [bucket(w) for s in sentences(t) for w in s]
                     np.add.at(total[:, number[code]], ids, 1.0)
         seen = np.flatnonzero(total.sum(axis=1))
-        yield pd.DataFrame({"word": seen, "n": list(total[seen])})
+        if len(seen):
+            yield pd.DataFrame({"word": seen, "n": list(total[seen])})
 
     counts = _sums(coded, count, len(languages))[:BUCKETS] + 0.5
     logs = np.log(counts / counts.sum(axis=0, keepdims=True))
@@ -185,7 +186,8 @@ def _expected(bags: DataFrame, model: tuple[np.ndarray, np.ndarray], k: int) ->
                 np.add.at(total, ids, np.repeat(p, lengths, axis=0))
                 np.add.at(total, BUCKETS + np.repeat(pdf["language"].to_numpy(dtype=np.int64), per_doc), p * lengths[:, None])
         seen = np.flatnonzero(total.sum(axis=1))
-        yield pd.DataFrame({"word": seen, "n": list(total[seen])})
+        if len(seen):
+            yield pd.DataFrame({"word": seen, "n": list(total[seen])})
 
     out = _sums(bags.select("bag", "language", "labels"), add_up, k + 1)
     shared.destroy()

@@ -49,15 +49,15 @@ def parsed(records: DataFrame) -> DataFrame:
 
     some = records.where(F.length(F.trim("name")) > 0)
     cut = F.length(F.trim("name")).between(CUT_AT - 1, CUT_AT)
-    out = some.select("rec", "owner", F.xxhash64("name").alias("raw"), cut.alias("cut"), parts("name", "city", "region", "postcode").alias("p")).select("rec", "owner", "raw", "cut", "p.*")
+    out = some.select("rec", F.xxhash64("owner").alias("owner"), F.xxhash64("name").alias("raw"), cut.alias("cut"), parts("name", "city", "region", "postcode").alias("p")).select("rec", "owner", "raw", "cut", "p.*")
     return out.where(F.concat("usual", "nums", "core") != "")
 
 
-def localised(forms: DataFrame) -> DataFrame:
+def localised(forms: DataFrame, places: DataFrame) -> DataFrame:
     """forms with loc, a hash of the usual town of the postal code or else of the own town (null without either), and
-    region, the own state or else the usual one of the postal code's first digits. There are at most 100,000 postal codes
+    region, the own state or else the usual one of the postal code's first digits; both are learned from places (zip, town, state). There are at most 100,000 postal codes
     and 1000 beginnings of one: their towns and states are broadcast."""
-    counts = forms.where("zip != ''").groupBy("zip", "town", "state").agg(F.sum("n").alias("n"))
+    counts = keep(places.where("zip != ''").groupBy("zip", "town", "state").agg(F.count(F.lit(1)).alias("n")), "towns")
     known = F.when((F.col("town") != "") & (F.col("state") != ""), F.struct("n", "town", "state"))
     by_zip = counts.groupBy("zip").agg(F.max(known).alias("m")).select("zip", F.xxhash64("m.town", "m.state").alias("zip_loc"), F.col("m").isNotNull().alias("known")).where("known").drop("known")
     begins = counts.where("state != ''").groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
@@ -112,15 +112,18 @@ def corrected(f: DataFrame) -> DataFrame:
     return chosen.join(hop, ["block", "to"], "left").select("block", "core", F.coalesce("further", "to").alias("best"))
 
 
-def organisations(forms: DataFrame) -> DataFrame:
+def organisations(forms: DataFrame, places: DataFrame) -> DataFrame:
     """(form, org): a 64-bit id of the organisation that each distinct form names. forms: form, cut, flat, last, FORM, n."""
-    forms = keep(localised(forms), "name-forms")
+    forms = keep(localised(forms, places), "name-forms")
     whole = completed(forms)
     f = forms.select("form", "n", "loc", "region", *NAME).alias("f").join(whole.alias("w"), "form", "left").select("form", "n", "loc", "region", *[F.coalesce(f"w.{c}", f"f.{c}").alias(c) for c in NAME])
     f = f.withColumn("block", F.when(F.col("loc").isNotNull(), F.xxhash64("loc", "short", "nums"))).withColumn("nid", F.xxhash64("short", "nums", "core")).drop("loc")
     f = keep(f, "whole-names")
-    f = f.drop("sorted").join(corrected(f), ["block", "core"], "left").withColumn("name", F.coalesce("best", "core"))
-    f = f.select("form", "n", "usual", F.col("usual").eqNullSafe(F.col("short")).alias("plain"), "initials", F.xxhash64("short", "nums", "name", "region").alias("g")).repartition("g")
+    # from here on hashes stand for strings that are only told apart
+    right = corrected(f).select(F.xxhash64("block", "core").alias("at"), F.xxhash64("best").alias("best"))
+    f = f.select("form", "n", F.xxhash64("block", "core").alias("at"), F.xxhash64("core").alias("own"), F.xxhash64("short", "nums", "region").alias("rest"), F.xxhash64("usual").alias("usual"),
+                 (F.col("usual") == F.col("short")).alias("plain"), "initials")
+    f = f.join(right, "at", "left").withColumn("g", F.xxhash64("rest", F.coalesce("best", "own"))).drop("at", "own", "rest", "best").repartition("g")
     # a given name's mere initial joins the commonest full name it can stand for
     full = F.max(F.when(~F.col("plain"), F.struct("n", "usual"))).over(Window.partitionBy("g"))["usual"]
     f = f.withColumn("usual1", F.when(F.col("plain"), F.coalesce(full, F.col("usual"))).otherwise(F.col("usual")))
@@ -130,7 +133,7 @@ def organisations(forms: DataFrame) -> DataFrame:
 
 
 def named(records: DataFrame) -> DataFrame:
-    """(rec, owner, raw, org) of every name record; raw is a hash of the name as stored.
+    """(rec, owner, raw, org) of every name record; owner and raw are hashes of the owner's key and the name as stored.
 
     records: (rec, owner, name, city, region, postcode); owner is the key that the record already has. Null and blank
     names are left out; a name without a locality only meets its equals of unknown state.
@@ -142,13 +145,13 @@ def named(records: DataFrame) -> DataFrame:
     parts = ["flat", "last", *FORM]
     packed = own.select("form", "cut", F.concat_ws("\x1f", *parts).alias("p")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("cut").alias("cut"), F.first("p").alias("p"))
     forms = packed.select("form", "n", "cut", F.split("p", "\x1f").alias("p")).select("form", "n", "cut", *[F.col("p")[i].alias(c) for i, c in enumerate(parts)])
-    return own.select("rec", "owner", "raw", "form").join(organisations(forms), "form").select("rec", "owner", "raw", "org")
+    return own.select("rec", "owner", "raw", "form").join(organisations(forms, own.select("zip", "town", "state")), "form").select("rec", "owner", "raw", "org")
 
 
 def same_name(records: DataFrame) -> DataFrame:
     """(name_a, name_b): pairs of records that spell one name of one organisation in different ways and don't share their
     owner; name_a < name_b."""
-    own = keep(named(records).select("rec", F.xxhash64("owner").alias("owner"), "raw", "org"), "named")
+    own = keep(named(records), "named")
     a, b = own.alias("a"), own.alias("b")
     on = (F.col("a.org") == F.col("b.org")) & (F.col("a.rec") < F.col("b.rec")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.owner") != F.col("b.owner"))
     return a.join(b, on).select(F.col("a.rec").alias("name_a"), F.col("b.rec").alias("name_b"))

@@ -1,10 +1,11 @@
 """Problem 2: address records that denote the same place, by a deletion-neighbourhood index and component assignment.
 
 Records are taken apart and counted by their form; everything fuzzy runs on distinct forms. House and box numbers must be
-equal (a hard veto: the number is in every block's key). Inside a block, a number in a postal code or in a town, street
-names that share a string with one letter deleted are neighbours; each is assigned to its best supported neighbour, never
-to another one, so pairs are never listed and a block of many records costs no more than its distinct names. Localities,
-then direction and type, are assigned to components in the same way; where both are given and differ, the places differ.
+equal (a hard veto: the number is in every block's key). Inside a block, a number in a town (that of the postal code, or
+the one given), street names that share a string with one letter deleted are neighbours; each is assigned to its best
+supported neighbour, never to another one, so pairs are never listed and a block of many records costs no more than its
+distinct names. Localities, then direction and type, are assigned to components in the same way; where both are given and
+differ, the places differ.
 """
 
 from __future__ import annotations
@@ -44,30 +45,36 @@ def _deletions(word: str):
 
 
 def corrected_streets(forms: DataFrame) -> DataFrame:
-    """(num, core, zip, town, state, best): the best supported neighbouring street name, where it isn't core itself."""
-    streets = forms.where("kind = 'B'").groupBy("num", "core", "zip", "town", "state").agg(F.sum("n").alias("n"))
-    blocks = F.array(F.when(F.col("zip") != "", F.xxhash64(F.lit("Z"), "num", "zip")), F.when(F.col("town") != "", F.xxhash64(F.lit("T"), "num", "town", "state")))
-    placed = streets.withColumn("block", F.explode(F.array_compact(blocks)))
-    per = placed.groupBy("block", "core").agg(F.sum("n").alias("n"))
-    several = per.groupBy("block").agg(F.min("core").alias("a"), F.max("core").alias("z")).where("a < z").select("block")
-    per = per.join(several, "block", "left_semi")
+    """(block, core, best): the best supported neighbouring street name, where it isn't core itself. forms: kind, block (a
+    hash of number and locality), core, n."""
+    per = forms.where("kind = 'B' and block is not null").groupBy("block", "core").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("block")
+    per = per.withColumn("a", F.min("core").over(w)).withColumn("z", F.max("core").over(w)).where("a < z").drop("a", "z")
     near = per.select("block", "core", "n", F.explode(F.array_distinct(_deletions("core"))).alias("cut"))
-    best = F.max(F.struct("n", "core")).over(Window.partitionBy("block", "cut"))
-    near = near.withColumn("best", best).where(F.col("best.core") != F.col("core"))
+    near = near.select(F.xxhash64("block", "cut").alias("key"), "block", "core", "n")
+    near = near.withColumn("best", F.max(F.struct("n", "core")).over(Window.partitionBy("key"))).where(F.col("best.core") != F.col("core"))
     near = near.where(F.levenshtein("core", F.col("best.core"), 2) >= 0)
-    chosen = near.groupBy("block", "core").agg(F.max("best").alias("best")).select("block", "core", F.col("best.n").alias("bn"), F.col("best.core").alias("best"))
+    chosen = keep(near.groupBy("block", "core").agg(F.max("best").alias("best")).select("block", "core", F.col("best.core").alias("best")), "streets")
     hop = chosen.select("block", F.col("core").alias("best"), F.col("best").alias("further"))
-    chosen = chosen.join(hop, ["block", "best"], "left").select("block", "core", "bn", F.coalesce("further", "best").alias("best"))
-    hits = placed.join(chosen, ["block", "core"])
-    return hits.groupBy("num", "core", "zip", "town", "state").agg(F.max_by("best", F.struct("bn", "best")).alias("best"))
+    return chosen.join(hop, ["block", "best"], "left").select("block", "core", F.coalesce("further", "best").alias("best"))
+
+
+def located(forms: DataFrame) -> DataFrame:
+    """forms with block: a hash of the number and the locality, which is the usual town of the postal code or else the own
+    town; null without either. There are at most 100,000 postal codes: their towns are broadcast."""
+    counts = forms.where("zip != '' and town != '' and state != ''").groupBy("zip", "town", "state").agg(F.sum("n").alias("n"))
+    by_zip = counts.groupBy("zip").agg(F.max_by(F.xxhash64("town", "state"), F.struct("n", "town", "state")).alias("zip_loc"))
+    own = F.when(F.col("town") != "", F.xxhash64("town", "state")).when(F.col("zip") != "", F.xxhash64("zip"))
+    loc = F.coalesce("zip_loc", own)
+    return forms.join(F.broadcast(by_zip), "zip", "left").withColumn("block", F.when(loc.isNotNull(), F.xxhash64("num", loc))).drop("zip_loc")
 
 
 def placed_forms(forms: DataFrame, units: bool = False) -> DataFrame:
     """(form, place): a 64-bit id of the place of each distinct form. forms has FORM, unit if units, and n."""
-    right = corrected_streets(forms)
-    f = forms.join(right, ["num", "core", "zip", "town", "state"], "left").withColumn("name", F.coalesce("best", "core"))
-    f = f.repartition("kind", "num", "name")
-    by = ["kind", "num", "name"]
+    forms = keep(located(forms), "forms")
+    f = forms.join(corrected_streets(forms), ["block", "core"], "left").withColumn("g", F.xxhash64("kind", "num", F.coalesce("best", "core")))
+    f = f.select("form", "n", "g", "dir", "type", "zip", "town", "state", *(["unit"] if units else [])).repartition("g")
+    by = ["g"]
 
     def top(value: str, *also: str):
         return F.max(F.when(F.col(value) != "", F.struct("n", value))).over(Window.partitionBy(*by, *also))[value]
@@ -81,7 +88,7 @@ def placed_forms(forms: DataFrame, units: bool = False) -> DataFrame:
     f = f.withColumn("loc", F.coalesce("z1", F.when(F.col("z0") != "", F.col("z0")), F.concat("mt", F.lit("|"), "ms")))
     f = f.withColumn("dir1", F.when(F.col("dir") != "", F.col("dir")).otherwise(F.coalesce(top("dir", "loc"), F.lit(""))))
     f = f.withColumn("type1", F.when(F.col("type") != "", F.col("type")).otherwise(F.coalesce(top("type", "loc", "dir1"), top("type", "loc"), F.lit(""))))
-    return f.select("form", F.xxhash64("kind", "num", "name", "loc", "dir1", "type1", *(["unit"] if units else [])).alias("place"))
+    return f.select("form", F.xxhash64("g", "loc", "dir1", "type1", *(["unit"] if units else [])).alias("place"))
 
 
 def places(records: DataFrame, units: bool = False) -> DataFrame:
@@ -92,7 +99,7 @@ def places(records: DataFrame, units: bool = False) -> DataFrame:
     """
     cols = FORM + (["unit"] if units else [])
     own = keep(parsed(records).withColumn("form", F.xxhash64(*cols)).select("rec", "raw", "form", *cols), "addresses")
-    forms = keep(own.groupBy("form", *cols).agg(F.count(F.lit(1)).alias("n")), "forms")
+    forms = own.groupBy("form").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in cols])
     return own.select("rec", "raw", "form").join(placed_forms(forms, units), "form").select("rec", "raw", "place")
 
 

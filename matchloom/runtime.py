@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,12 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_RUN = uuid.uuid4().hex
+_folders: set[str] = set()
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes this run's tables where the shared folder is a local one; elsewhere the cluster's own cleaning does."""
+    for path in _folders:
+        local = path.removeprefix("file://")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+
+
 def keep(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     Cuts the lineage, survives lost executors (unlike a local checkpoint) and gives the optimizer true sizes.
     """
-    path = f"{shared_dir(df.sparkSession)}/matchloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(df.sparkSession)}/matchloom/{_RUN}"
+    _folders.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     if keys:
         df = df.repartition(*keys)
     df.write.option("compression", "zstd").parquet(path)

@@ -57,23 +57,28 @@ def _near() -> dict[str, str]:
 _NEAR = _near()
 
 
-#: What tokens were found to stand for; tokens repeat, so most are looked up here. Emptied when full.
-_SEEN: dict[str, str | None] = {}
+#: What tokens were found to be; tokens repeat, so most are looked up here. Emptied when full.
+_SEEN: dict[str, tuple[str, str, str, str]] = {}
 _SEEN_MOST = 200_000
 
 
-def _usual(token: str) -> str | None:
-    """The usual word that a token stands for: one of its forms, or the word with one letter wrong, missing or added."""
-    try:
-        return _SEEN[token]
-    except KeyError:
-        if len(_SEEN) >= _SEEN_MOST:
-            _SEEN.clear()
-        w = _SEEN[token] = _looked_up(token)
-        return w
+def _token(t: str) -> tuple[str, str, str, str]:
+    """(what, sign, short sign, word) of a token wherever it stands. what: 'D' dropped, 'L' legal form, 'N' number, 'W' a usual
+    word, 'I' a single letter, 'C' part of the core."""
+    if t in DROPPED:
+        return "D", "", "", ""
+    if t in LEGAL:
+        return "L", "", "", ""
+    if t.isdigit():
+        return "N", t.lstrip("0"), "", t
+    w = t if t in GIVEN else _looked_up(t)
+    if w:
+        return "W", _CODE[w], _initial_sign(w[0]) if w in GIVEN else _CODE[w], w
+    return ("I" if len(t) == 1 else "C"), t, "", t
 
 
 def _looked_up(token: str) -> str | None:
+    """The usual word that a token stands for: one of its forms, or the word with one letter wrong, missing or added."""
     w = _FORMS.get(token) or _ORDINAL.get(token)
     if w or len(token) < 5:
         return w
@@ -100,7 +105,8 @@ def mended(text: str) -> str:
     return text
 
 
-_PERSONAL = {"CHARITABLE", "FAMILY", "MEMORIAL", "SCHOLARSHIP", "FOUNDATION", "FUND"}
+_PERSONAL_WORDS = {"CHARITABLE", "FAMILY", "MEMORIAL", "SCHOLARSHIP", "FOUNDATION", "FUND"}
+_PERSONAL = frozenset(t for t, w in _FORMS.items() if w in _PERSONAL_WORDS)
 
 
 def _initial_sign(letter: str) -> str:
@@ -120,37 +126,38 @@ def name_form(name: str | None, cut: bool = False) -> tuple[str, str, str, str,
     """
     if not name or not name.strip():
         return "", "", "", "", "", "", "", ""
-    text = fold(mended(name)).replace("'", "").replace("’", "").replace("&", " AND ").replace(".", " . ")
-    parts = []
-    for part in text.split(","):
-        tokens = [t for t in part.replace(" . ", " ").split()]
-        words = _TOKEN.findall(" ".join(tokens))
-        if words and not all(w in LEGAL or len(w) == 1 and w in "LCP" for w in words):
-            parts.append(words)
-    if len(parts) > 1:
-        tail = [w for p in parts[1:] for w in p]
-        # the legal form at the end belongs to the whole name
-        while tail and (tail[-1] in LEGAL):
-            tail.pop()
-        tokens = tail + parts[0]
-    else:
+    text = fold(mended(name)).replace("'", "").replace("’", "").replace("&", " AND ")
+    if "," in text:
+        parts = [w for w in map(_TOKEN.findall, text.split(",")) if w and not all(x in LEGAL or len(x) == 1 and x in "LCP" for x in w)]
         tokens = parts[0] if parts else []
-    merged: list[str] = []
-    i = 0
-    while i < len(tokens):
-        if tokens[i : i + 3] == ["L", "L", "C"]:
-            i += 3
-        elif tokens[i] == "NO" and i + 1 < len(tokens) and tokens[i + 1].isdigit():
-            i += 1
-        else:
-            merged.append(tokens[i])
-            i += 1
+        if len(parts) > 1:
+            tail = [w for p in parts[1:] for w in p]
+            # the legal form at the end belongs to the whole name
+            while tail and tail[-1] in LEGAL:
+                tail.pop()
+            tokens = tail + tokens
+    else:
+        tokens = _TOKEN.findall(text)
+    merged = tokens
+    if "NO" in tokens or "L" in tokens:
+        merged, i = [], 0
+        while i < len(tokens):
+            if tokens[i] == "L" and tokens[i : i + 3] == ["L", "L", "C"]:
+                i += 3
+            elif tokens[i] == "NO" and i + 1 < len(tokens) and tokens[i + 1].isdigit():
+                i += 1
+            else:
+                merged.append(tokens[i])
+                i += 1
     usual, short, numbers, core, initials, flat = [], [], [], [], [], []
     seen = False
     # in a person's name the first given name counts, or else the first single letter, wherever it stands
-    person = any(_FORMS.get(t) in _PERSONAL for t in merged)
-    given = next((i for i, t in enumerate(merged) if t in _PET), None) if person else None
-    letter = next((i for i, t in enumerate(merged) if len(t) == 1 and t.isalpha()), None) if person and given is None and len(merged) > 2 else None
+    person = not _PERSONAL.isdisjoint(merged)
+    given = letter = None
+    if person:
+        given = next((i for i, t in enumerate(merged) if t in _PET), None)
+        if given is None and len(merged) > 2:
+            letter = next((i for i, t in enumerate(merged) if len(t) == 1 and t.isalpha()), None)
     partial = len(merged) - 1 if cut and len(merged) > 2 and any(x.startswith(merged[-1]) for x in LEGAL) else None
     for i, t in enumerate(merged):
         if i == letter:
@@ -162,23 +169,33 @@ def name_form(name: str | None, cut: bool = False) -> tuple[str, str, str, str,
         if i == partial:
             flat.append(t)
             continue
-        if t in DROPPED:
+        found = _SEEN.get(t)
+        if found is None:
+            if len(_SEEN) >= _SEEN_MOST:
+                _SEEN.clear()
+            found = _SEEN[t] = _token(t)
+        what, sign, brief, word = found
+        if what == "D":
             continue
-        if t in LEGAL:
+        if what == "L":
             if not (t == "CO" and seen and i + 1 < len(merged) and merged[i + 1] not in LEGAL):
                 continue
-            t = "COUNTY"
-        if t.isdigit():
-            numbers.append(t.lstrip("0"))
-            flat.append(t)
+            what, sign, brief, word = "W", _CODE["COUNTY"], _CODE["COUNTY"], "COUNTY"
+        elif what == "N":
+            numbers.append(sign)
+            flat.append(word)
             continue
-        w = _PET[t] if i == given or not seen and t in _PET else (t if t in GIVEN else None if person and len(t) == 1 else _usual(t))
+        elif i == given or not seen and t in _PET:
+            word = _PET[t]
+            what, sign, brief = "W", _CODE[word], _initial_sign(word[0])
+        elif person and len(t) == 1:
+            what, word = "I", t
         seen = True
-        flat.append(w or t)
-        if w:
-            usual.append(_CODE[w])
-            short.append(_initial_sign(w[0]) if w in GIVEN else _CODE[w])
-        elif len(t) == 1:
+        flat.append(word)
+        if what == "W":
+            usual.append(sign)
+            short.append(brief)
+        elif what == "I":
             initials.append(t)
         else:
             core.append(t)

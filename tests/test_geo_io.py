@@ -12,7 +12,7 @@ def test_clean_and_refine(spark):
     got = [tuple(r) for r in geo.clean_geo(df, zip_ref=ref).select("city", "state").collect()]
     assert sorted(got, key=str) == sorted([("SAINT LOUIS", "MO"), ("NEW YORK CITY", "NY"), ("PHOENIX", "AZ"), ("PHOENIX", None), ("TEMPE", "AZ")], key=str)
     with pytest.raises(NotImplementedError):
-        geo.clean_geo(df, "campfin")
+        geo.clean_geo(df, "other")
 
 
 def test_crosswalks(spark):

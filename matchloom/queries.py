@@ -129,11 +129,11 @@ def block_token_idf(spark, d):
 
 
 def block_token_concat(spark, d):
-    return _block_idf(spark, d, by=["state"], max_ref_freq=200, concat=True)
+    return _block_idf(spark, d, by=["state"], max_ref_freq=25_000, concat=True)
 
 
 def block_crossstate(spark, d):
-    return _block_idf(spark, d, by=[], max_ref_freq=200)
+    return _block_idf(spark, d, by=[], max_ref_freq=5000)
 
 
 def _scored(spark, d) -> Pairs:

@@ -20,7 +20,7 @@ from .oracle import SQL as ORACLE
 from .plans import pipeline
 from .plans.report import tier_shares
 from .plans.route import route
-from .runtime import table
+from .runtime import keep, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,13 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     return schema.reference(table(spark, d, "df_db"), schema.bmf_map("act"))
 
 
+def _registrations(spark: SparkSession, d: str) -> DataFrame:
+    """Every different registration as a row of its own; owner is the entity that holds it."""
+    s = _source(spark, d).distinct()
+    content = F.sha2(F.to_json(F.struct(*s.columns)), 256)
+    return s.withColumn("owner", F.col("id")).withColumn("id", content)
+
+
 def _q(spark: SparkSession, d: str) -> DataFrame:
     return normalize(_source(spark, d)).select("id", "state", "name_key", "dba_key").distinct()
 
@@ -224,7 +231,7 @@ def veto_audit(spark, d):
 
 
 def _run(spark, d):
-    return pipeline.cascade(_source(spark, d).dropDuplicates(["id"]), _registry(spark, d))
+    return pipeline.cascade(_registrations(spark, d), _registry(spark, d))
 
 
 _RESULT = ["id", "tier", "overall_ein", "overall_score", "overall_margin", "name_ein", "addr_ein", "views_agree", "n_close", "pass"]
@@ -235,8 +242,9 @@ def cascade(spark, d):
 
 
 def _matched(spark, d, method):
-    q, r = _source(spark, d).dropDuplicates(["id"]), _registry(spark, d)
-    found = block.union(*[block.exact(normalize(q), normalize(r), ["state", k]) for k in ("name_key", "street_key")])
+    q, r = _registrations(spark, d), _registry(spark, d)
+    x, y = keep(normalize(q), "queries"), keep(normalize(r), "reference")
+    found = keep(block.union(block.exact(x, y, ["state", "street_key"]), *[p.block(x, y) for p in pipeline.default_passes()]), "candidates")
     return pipeline.match(q, r, method=method, candidates=found)
 
 

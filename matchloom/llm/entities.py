@@ -1,8 +1,8 @@
 """Problem 5: registrations and registry entries of the same organisation, without a common key.
 
 Both sides are reduced to distinct profiles (the parts of a name with the parts of an address). Candidates come from
-MinHash signatures of the names, banded and blocked by town, and by the whole signature within a state; names and
-addresses are compared by features that Spark computes itself; a logistic classifier learns them from weak labels, and its
+MinHash signatures of the names, banded and blocked by town, and by the whole signature within a state, and from MinHash
+bands of the streets with an equal number within a state; names and addresses are compared by features that Spark computes itself; a logistic classifier learns them from weak labels, and its
 probabilities are calibrated on hand labels.
 """
 
@@ -22,11 +22,13 @@ from .addresses import state, street, town, zip5
 from .names import name_form
 from .subjects import _platt
 
-BANDS, ROWS = 6, 3
-#: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for its calibration.
-SAMPLE, HAND_SAMPLE = 20_000, 50_000
+BANDS, ROWS = 12, 2
 #: A name that more organisations of one state than this have needs more than the state to be matched.
 RARE = 3
+#: Bands of a street's signature.
+STREET_BANDS = 6
+#: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for its calibration.
+SAMPLE, HAND_SAMPLE = 20_000, 50_000
 #: The parts of a profile, which travel as one string.
 PARTS = ["usual", "short", "nums", "core", "sorted", "initials", "kind", "num", "street", "zip", "town", "state"]
 _SEP = "\x1f"
@@ -40,19 +42,37 @@ def _hashers() -> tuple[np.ndarray, np.ndarray]:
     return r.randint(1, _PRIME, BANDS * ROWS).astype(np.int64), r.randint(0, _PRIME, BANDS * ROWS).astype(np.int64)
 
 
+def _minima(grams: set[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = np.fromiter((zlib.crc32(g.encode()) & _PRIME for g in grams), dtype=np.int64, count=len(grams))
+    return ((h[:, None] % _PRIME) * a + b).__mod__(_PRIME).min(axis=0) if len(h) else np.zeros(len(a), np.int64)
+
+
+def _banded(low: np.ndarray) -> list[int]:
+    return [zlib.crc32(low[i : i + ROWS].tobytes(), i // ROWS) for i in range(0, len(low), ROWS)]
+
+
+def _pairs_of_letters(word: str) -> set[str]:
+    text = f"^{word}$"
+    return {text[i : i + 2] for i in range(len(text) - 1)}
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def street_signature(streets: pd.Series) -> pd.Series:
+    """STREET_BANDS hashes of ROWS minima each over the street's pairs of letters."""
+    a, b = (x[: STREET_BANDS * ROWS] for x in _hashers())
+    known = {s: _banded(_minima(_pairs_of_letters(s), a, b)) for s in streets.unique()}
+    return streets.map(known)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def signature(short: pd.Series, nums: pd.Series, core: pd.Series) -> pd.Series:
-    """BANDS hashes of ROWS minima each over the name's shingles (three letters of the core, usual words, numbers), and a
+    """BANDS hashes of ROWS minima each over the name's shingles (two letters of the core, usual words, numbers), and a
     last one of all minima together."""
     a, b = _hashers()
     out = []
     for w, n, c in zip(short, nums, core):
-        text = f"^{c}$"
-        grams = {text[i : i + 3] for i in range(len(text) - 2)} | set(w) | {f"#{x}" for x in n.split()}
-        h = np.fromiter((zlib.crc32(g.encode()) & _PRIME for g in grams), dtype=np.int64, count=len(grams))
-        low = ((h[:, None] % _PRIME) * a + b).__mod__(_PRIME).min(axis=0) if len(h) else np.zeros(len(a), np.int64)
-        bands = [zlib.crc32(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-        out.append([*bands, (zlib.adler32(low.tobytes()) & 0x7FFFFFFF) << 32 | zlib.crc32(low.tobytes())])
+        low = _minima(_pairs_of_letters(c) | set(w) | {f"#{x}" for x in n.split()}, a, b)
+        out.append([*_banded(low), (zlib.adler32(low.tobytes()) & 0x7FFFFFFF) << 32 | zlib.crc32(low.tobytes())])
     return pd.Series(out)
 
 
@@ -122,29 +142,30 @@ def _located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _occurrences(df: DataFrame) -> DataFrame:
-    """(o, loc, near, whole, towns): names in their localities, o a hash of both, with the keys under which they are looked
-    up: the bands of the signature in the town, and the whole signature in the state; towns: how many of the state have
-    the name."""
-    own = df.select("nid", "loc", "region", *[part("parts", c).alias(c) for c in ("short", "nums", "core")])
-    one = own.groupBy(F.xxhash64("nid", "loc", "region").alias("o")).agg(*[F.first(c).alias(c) for c in ("loc", "region", "short", "nums", "core")])
-    one = one.withColumn("towns", F.count(F.lit(1)).over(Window.partitionBy(F.xxhash64("short", "nums", "core", "region"))).cast("int"))
+    """(o, towns, keys): names in their localities, o a hash of both, with the keys under which they are looked up: the bands
+    of the signature in the town, the whole signature in the state, and the bands of their streets with the number in the
+    state (boxes by town, where it is known). towns: in how many towns of the state the name is."""
+    own = df.select("nid", "loc", "region", *[part("parts", c).alias(c) for c in ("short", "nums", "core", "kind", "num", "street")])
+    o = F.xxhash64("nid", "loc", "region").alias("o")
+    one = own.groupBy(o).agg(*[F.first(c).alias(c) for c in ("loc", "region", "short", "nums", "core")])
+    same = Window.partitionBy(F.xxhash64("short", "nums", "core", "region"))
+    one = one.withColumn("towns", F.count(F.lit(1)).over(same).cast("int"))
     one = one.withColumn("sig", signature("short", "nums", "core"))
-    near = F.transform(F.slice("sig", 1, BANDS), lambda x, i: F.xxhash64(i, x, F.col("loc")))
-    return one.select("o", "loc", "towns", near.alias("near"), F.when(F.col("region") != "", F.xxhash64(F.element_at("sig", -1), "region")).alias("whole"))
+    none = F.array().cast("array<bigint>")
+    near = F.when(F.col("loc").isNotNull(), F.transform(F.slice("sig", 1, BANDS), lambda x, i: F.xxhash64(i, x, F.col("loc")))).otherwise(none)
+    far = F.when((F.col("region") != "") & (F.col("towns") <= RARE), F.array(F.xxhash64(F.element_at("sig", -1), "region"))).otherwise(none)
+    named = one.select("o", "towns", F.explode(F.concat(near, far)).alias("key"))
+    at = own.where("num != '' and (region != '' or loc is not null)").select(o, "kind", "num", "street", "region", "loc").distinct()
+    where = F.when((F.col("region") == "") | ((F.col("street") == "") & F.col("loc").isNotNull()), F.col("loc").cast("string")).otherwise(F.col("region"))
+    bands = F.when(F.col("street") == "", F.slice(street_signature("street"), 1, 1)).otherwise(street_signature("street"))
+    at = at.select("o", F.explode(F.transform(bands, lambda x, i: F.xxhash64(F.lit("at"), i, x, "kind", "num", where))).alias("key")).distinct()
+    return named.unionByName(at.join(one.select("o", "towns"), "o"))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lo, ro, towns): pairs of occurrences that share a band of the signature in a town, or the whole signature in a state.
-
-    Names that occur in more than RARE towns of a state aren't looked for by state: without a town or more they say
-    nothing. Bands hold similar names only, so a town with many records makes no large bucket of its own."""
-
-    def keys(df: DataFrame) -> DataFrame:
-        near = F.when(F.col("loc").isNotNull(), F.col("near")).otherwise(F.array().cast("array<bigint>"))
-        far = F.when(F.col("whole").isNotNull() & (F.col("towns") <= RARE), F.array("whole")).otherwise(F.array().cast("array<bigint>"))
-        return df.select("o", "towns", F.explode(F.concat(near, far)).alias("key"))
-
-    found = keys(left).select("key", F.col("o").alias("lo")).join(keys(right).withColumnRenamed("o", "ro"), "key")
+    """(lo, ro, towns): pairs of occurrences that share a key: a band of the name's signature in a town, the whole signature
+    in a state, or a band of the street's signature with the number. How common a name is is left to the classifier."""
+    found = left.select("key", F.col("o").alias("lo")).join(right.withColumnRenamed("o", "ro"), "key")
     return found.select("lo", "ro", "towns").distinct()
 
 
@@ -217,9 +238,8 @@ def match(left_records: DataFrame, right_records: DataFrame, labels: DataFrame |
     raw = [keep(profiles(left_records), "left"), keep(profiles(right_records), "right")]
     left, right = (keep(df, name) for df, name in zip(_located(*raw), ("left-profiles", "right-profiles")))
     drop(*raw)
-    names = [keep(_occurrences(left), "left-names"), keep(_occurrences(right), "right-names")]
-    pairs = keep(compared(candidates(*names), left, right), "compared")
-    drop(left, right, *names)
+    pairs = keep(compared(candidates(_occurrences(left), _occurrences(right)), left, right), "compared")
+    drop(left, right)
     pairs = derived(pairs).withColumn("weak", weak_label()).withColumn("at", F.xxhash64("left_key", "right_key", *BASE))
     sample = None
     for y in (0.0, 1.0):

@@ -1,8 +1,7 @@
 """Cases that a cap or a cut used to lose."""
 
-import pytest
-
 from matchloom import queries
+from matchloom.llm import entities
 
 
 def test_blocks_keep_tokens_of_many_records(spark, tmp_path):
@@ -37,3 +36,23 @@ def test_every_registration_is_matched(spark, tmp_path):
     result = queries._run(spark, str(tmp_path))
     assert {r["ein"] for r in result.pairs.df.where("id = 'U1' and score > 0.9").collect()} == {"1", "2"}
     assert {r["id"] for r in result.tiered.collect()} <= {"U1", "U2"}
+
+
+RECORDS = "owner string, names array<string>, places array<struct<line string, second string, city string, region string, postcode string>>, forms array<array<int>>"
+
+
+def _candidates(spark, left, right):
+    """(left owner, right owner) of the candidate pairs."""
+    sides = [entities.profiles(spark.createDataFrame([(k, [n], [p], [[0, 0]]) for k, n, p in x], RECORDS)) for x in (left, right)]
+    l, r = entities._located(*sides)  # noqa: E741
+    pairs = entities.candidates(entities._occurrences(l), entities._occurrences(r))
+    return {(x["left_key"], x["right_key"]) for x in entities.compared(pairs, l, r).collect()}
+
+
+def test_typos_at_the_same_street_are_candidates(spark):
+    """Names with a swap or a typo meet by number and street, also from different towns or without one."""
+    typos = [("MARTIN FUND", "MATRIN FUND"), ("HARRISON CLUB", "HARISSON CLUB"), ("GREENWOOD CHURCH", "GREENVOOD CHURCH")]
+    left = [(f"u{i}", a, (f"{i + 7} Olockcombe St", None, "KENWORTH", "DC", None)) for i, (a, _) in enumerate(typos)]
+    for town in ("KENWORTH", "FARVILLE", None):
+        right = [(f"e{i}", b, (f"{i + 7} OLOCKCOMBE STREET", None, town, "DC", None)) for i, (_, b) in enumerate(typos)]
+        assert _candidates(spark, left, right) >= {(f"u{i}", f"e{i}") for i in range(3)}, town

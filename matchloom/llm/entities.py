@@ -23,8 +23,6 @@ from .names import name_form
 from .subjects import _platt
 
 BANDS, ROWS = 12, 2
-#: A name that more organisations of one state than this have needs more than the state to be matched.
-RARE = 3
 #: Bands of a street's signature.
 STREET_BANDS = 6
 #: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for its calibration.
@@ -149,11 +147,11 @@ def _occurrences(df: DataFrame) -> DataFrame:
     o = F.xxhash64("nid", "loc", "region").alias("o")
     one = own.groupBy(o).agg(*[F.first(c).alias(c) for c in ("loc", "region", "short", "nums", "core")])
     same = Window.partitionBy(F.xxhash64("short", "nums", "core", "region"))
-    one = one.withColumn("towns", F.count(F.lit(1)).over(same).cast("int"))
+    one = one.withColumn("towns", F.greatest(F.lit(1), F.size(F.collect_set("loc").over(same))))
     one = one.withColumn("sig", signature("short", "nums", "core"))
     none = F.array().cast("array<bigint>")
     near = F.when(F.col("loc").isNotNull(), F.transform(F.slice("sig", 1, BANDS), lambda x, i: F.xxhash64(i, x, F.col("loc")))).otherwise(none)
-    far = F.when((F.col("region") != "") & (F.col("towns") <= RARE), F.array(F.xxhash64(F.element_at("sig", -1), "region"))).otherwise(none)
+    far = F.when(F.col("region") != "", F.array(F.xxhash64(F.element_at("sig", -1), "region"))).otherwise(none)
     named = one.select("o", "towns", F.explode(F.concat(near, far)).alias("key"))
     at = own.where("num != '' and (region != '' or loc is not null)").select(o, "kind", "num", "street", "region", "loc").distinct()
     where = F.when((F.col("region") == "") | ((F.col("street") == "") & F.col("loc").isNotNull()), F.col("loc").cast("string")).otherwise(F.col("region"))

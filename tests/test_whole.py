@@ -56,3 +56,10 @@ def test_typos_at_the_same_street_are_candidates(spark):
     for town in ("KENWORTH", "FARVILLE", None):
         right = [(f"e{i}", b, (f"{i + 7} OLOCKCOMBE STREET", None, town, "DC", None)) for i, (_, b) in enumerate(typos)]
         assert _candidates(spark, left, right) >= {(f"u{i}", f"e{i}") for i in range(3)}, town
+
+
+def test_common_names_stay_candidates(spark):
+    """A name of more than three towns is still looked for in the whole state."""
+    left = [("u0", "Kenwick Food Bank", ("9 Elm St", None, "TOWNX", "TX", None))]
+    right = [(f"e{i}", "KENWICK FOOD BANK", (f"{i} Oak St", None, f"TOWN{i}", "TX", None)) for i in range(6)]
+    assert _candidates(spark, left, right) == {("u0", f"e{i}") for i in range(6)}

@@ -1,10 +1,11 @@
 """Problem 2: address records that denote the same place, by a deletion-neighbourhood index and component assignment.
 
 Records are taken apart and counted by their form; everything fuzzy runs on distinct forms. House and box numbers must be
-equal (a hard veto: the number is in every block's key). Inside a block, a number in a town (that of the postal code, or
-the one given), street names that share a string with one letter deleted are neighbours; each is assigned to its best
-supported neighbour, never to another one, so pairs are never listed and a block of many records costs no more than its
-distinct names. Localities, then direction and type, are assigned to components in the same way; where both are given and
+equal (a hard veto: the number is in every block's key). A form is in the blocks of its number in the town of its postal
+code, in its own town and in that town's neighbours (towns that share a code with it, and its best supported spelling).
+Inside a block, street names that share a string with one letter deleted are neighbours; each is assigned to its best
+supported neighbour, so pairs are never listed and a block of many records costs no more than its distinct names. What is
+found is followed to a fixpoint over all blocks. Localities, then direction and type, are assigned to components in the same way; where both are given and
 differ, the places differ.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import keep
+from ..runtime import drop, keep
 from .addresses import state, street, town, zip5
 
 FORM = ["kind", "num", "core", "dir", "type", "zip", "town", "state"]
@@ -44,35 +45,61 @@ def _deletions(word: str):
     return F.when(F.length(w) >= 5, F.concat(F.array(w), cut)).otherwise(F.array(w))
 
 
-def corrected_streets(forms: DataFrame) -> DataFrame:
-    """(block, core, best): the best supported neighbouring street name, where it isn't core itself. forms: kind, block (a
-    hash of number and locality), core, n."""
-    per = forms.where("kind = 'B' and block is not null").groupBy("block", "core").agg(F.sum("n").alias("n"))
+def corrected_streets(placed: DataFrame) -> DataFrame:
+    """(form, name): a hash of the best supported street name that is reached from a form's own over neighbours, where it isn't
+    its own. placed: form, kind, block (a hash of number and locality; a form may be in several), core, n."""
+    placed = placed.where("kind = 'B'")
+    per = placed.groupBy("block", "core").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("block")
     per = per.withColumn("a", F.min("core").over(w)).withColumn("z", F.max("core").over(w)).where("a < z").drop("a", "z")
     near = per.select("block", "core", "n", F.explode(F.array_distinct(_deletions("core"))).alias("cut"))
     near = near.select(F.xxhash64("block", "cut").alias("key"), "block", "core", "n")
     near = near.withColumn("best", F.max(F.struct("n", "core")).over(Window.partitionBy("key"))).where(F.col("best.core") != F.col("core"))
     near = near.where(F.levenshtein("core", F.col("best.core"), 2) >= 0)
-    chosen = keep(near.groupBy("block", "core").agg(F.max("best").alias("best")).select("block", "core", F.col("best.core").alias("best")), "streets")
-    hop = chosen.select("block", F.col("core").alias("best"), F.col("best").alias("further"))
-    return chosen.join(hop, ["block", "best"], "left").select("block", "core", F.coalesce("further", "best").alias("best"))
+    chosen = near.groupBy("block", "core").agg(F.max("best").alias("best"))
+    at = F.xxhash64("block", "core").alias("at")
+    edges = keep(chosen.select(at, F.xxhash64("block", "best.core").alias("to"), F.xxhash64("core").alias("own"), F.xxhash64("best.core").alias("name"), F.col("best.n").alias("n")), "streets")
+    # only names with a neighbour are followed: best is the strongest name known at each place of a form
+    touched = edges.select("at").unionByName(edges.select(F.col("to").alias("at"))).distinct()
+    stands = keep(placed.select("form", at, "n", F.xxhash64("core").alias("own")).join(touched, "at"), "stands")
+    label = keep(stands.groupBy("at").agg(F.struct(F.sum("n").alias("n"), F.first("own").alias("name")).alias("best")), "labels")
+    while True:
+        over = edges.select("at", "to").join(label.select(F.col("at").alias("to"), "best"), "to").select("at", "best")
+        step = label.unionByName(over).groupBy("at").agg(F.max("best").alias("best"))
+        forms = stands.select("form", "at").join(step, "at").groupBy("form").agg(F.max("best").alias("best"))
+        new = keep(stands.select("form", "at").join(forms, "form").groupBy("at").agg(F.max("best").alias("best")), "labels")
+        changed = new.alias("a").join(label.alias("b"), "at").where("a.best > b.best").limit(1).count()
+        drop(label)
+        label = new
+        if not changed:
+            break
+    best = stands.join(label, "at").groupBy("form").agg(F.max("best").alias("best"), F.first("own").alias("own"))
+    return best.where("best.name != own").select("form", F.col("best.name").alias("name"))
 
 
 def located(forms: DataFrame) -> DataFrame:
-    """forms with block: a hash of the number and the locality, which is the usual town of the postal code or else the own
-    town; null without either. There are at most 100,000 postal codes: their towns are broadcast."""
+    """forms with blocks: hashes of the number and each locality of a form: the usual town of its postal code (or the code
+    itself), its own town, the usual towns of that town's postal codes, and the best supported spelling of the town in the
+    state. Empty without town and code. There are at most 100,000 postal codes: their towns are broadcast."""
     counts = forms.where("zip != '' and town != '' and state != ''").groupBy("zip", "town", "state").agg(F.sum("n").alias("n"))
+    counts = keep(counts, "towns")
     by_zip = counts.groupBy("zip").agg(F.max_by(F.xxhash64("town", "state"), F.struct("n", "town", "state")).alias("zip_loc"))
-    own = F.when(F.col("town") != "", F.xxhash64("town", "state")).when(F.col("zip") != "", F.xxhash64("zip"))
-    loc = F.coalesce("zip_loc", own)
-    return forms.join(F.broadcast(by_zip), "zip", "left").withColumn("block", F.when(loc.isNotNull(), F.xxhash64("num", loc))).drop("zip_loc")
+    around = counts.join(F.broadcast(by_zip), "zip").select("town", "state", F.col("zip_loc").alias("beside"))
+    towns = forms.where("town != ''").groupBy("town", "state").agg(F.sum("n").alias("n"))
+    spelt = towns.select("town", "state", "n", F.explode(F.array_distinct(_deletions("town"))).alias("cut"))
+    spelt = spelt.withColumn("m", F.max(F.struct("n", "town")).over(Window.partitionBy("state", "cut"))).where((F.col("m.town") != F.col("town")) & (F.levenshtein("town", F.col("m.town"), 2) >= 0))
+    around = around.unionByName(spelt.select("town", "state", F.xxhash64("m.town", "state").alias("beside"))).groupBy("town", "state").agg(F.collect_set("beside").alias("beside"))
+    own, code = F.when(F.col("town") != "", F.xxhash64("town", "state")), F.coalesce("zip_loc", F.when(F.col("zip") != "", F.xxhash64("zip")))
+    j = forms.join(F.broadcast(by_zip), "zip", "left").join(around, ["town", "state"], "left")
+    locs = F.array_distinct(F.concat(F.array_compact(F.array(own, code)), F.coalesce("beside", F.array().cast("array<bigint>"))))
+    return j.withColumn("blocks", F.transform(locs, lambda x: F.xxhash64("num", x))).drop("zip_loc", "beside")
 
 
 def placed_forms(forms: DataFrame, units: bool = False) -> DataFrame:
     """(form, place): a 64-bit id of the place of each distinct form. forms has FORM, unit if units, and n."""
     forms = keep(located(forms), "forms")
-    f = forms.join(corrected_streets(forms), ["block", "core"], "left").withColumn("g", F.xxhash64("kind", "num", F.coalesce("best", "core")))
+    right = corrected_streets(forms.select("form", "kind", "core", "n", F.explode("blocks").alias("block")))
+    f = forms.join(right, "form", "left").withColumn("g", F.xxhash64("kind", "num", F.coalesce("name", F.xxhash64("core"))))
     f = f.select("form", "n", "g", "dir", "type", "zip", "town", "state", *(["unit"] if units else [])).repartition("g")
     by = ["g"]
 

@@ -1,7 +1,9 @@
 """Cases that a cap or a cut used to lose."""
 
+from pyspark.sql import functions as F
+
 from matchloom import queries
-from matchloom.llm import entities
+from matchloom.llm import entities, places
 
 
 def test_blocks_keep_tokens_of_many_records(spark, tmp_path):
@@ -63,3 +65,16 @@ def test_common_names_stay_candidates(spark):
     left = [("u0", "Kenwick Food Bank", ("9 Elm St", None, "TOWNX", "TX", None))]
     right = [(f"e{i}", "KENWICK FOOD BANK", (f"{i} Oak St", None, f"TOWN{i}", "TX", None)) for i in range(6)]
     assert _candidates(spark, left, right) == {("u0", f"e{i}") for i in range(6)}
+
+
+def test_misspelt_streets_meet_over_town_and_code(spark):
+    """One side has no postal code, the other's belongs mostly to another town; or its town is misspelt."""
+    many = [(f"o{i}", f"{i} Elm St", None, "FARVILLE", "DC", "16434") for i in range(5)]
+    rows = [*many, ("a1", "77 Olockcombe Rd", None, "KENWORTH", "DC", "16434"), ("a2", "77 OLOCKCOMBE ROAD", None, "KENWORTH", "DC", "16434"), ("b", "77 Oslockcombe Rd", None, "KENWORTH", "DC", None), ("c", "77 Olockcmbe Rd", None, "KENWORTHH", "DC", None)]
+    df = spark.createDataFrame(rows, "rec string, line string, second string, city string, region string, postcode string")
+    num = places.parsed(df).select("rec", *places.FORM).withColumn("form", F.xxhash64("rec")).withColumn("n", F.lit(1))
+    f = places.located(num)
+    right = places.corrected_streets(f.select("form", "kind", "core", "n", F.explode("blocks").alias("block")))
+    got = {r["rec"] for r in f.join(right, "form").select("rec").collect()}
+    assert got == {"b", "c"}
+    assert ("a1", "b") in {tuple(r) for r in places.same_place(df).collect()}

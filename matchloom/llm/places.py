@@ -58,13 +58,15 @@ def corrected_streets(placed: DataFrame) -> DataFrame:
     near = near.where(F.levenshtein("core", F.col("best.core"), 2) >= 0)
     chosen = near.groupBy("block", "core").agg(F.max("best").alias("best"))
     at = F.xxhash64("block", "core").alias("at")
-    edges = keep(chosen.select(at, F.xxhash64("block", "best.core").alias("to"), F.xxhash64("core").alias("own"), F.xxhash64("best.core").alias("name"), F.col("best.n").alias("n")), "streets")
+    edges = keep(chosen.select(at, F.xxhash64("block", "best.core").alias("to")), "streets")
     # only names with a neighbour are followed: best is the strongest name known at each place of a form
     touched = edges.select("at").unionByName(edges.select(F.col("to").alias("at"))).distinct()
     stands = keep(placed.select("form", at, "n", F.xxhash64("core").alias("own")).join(touched, "at"), "stands")
     label = keep(stands.groupBy("at").agg(F.struct(F.sum("n").alias("n"), F.first("own").alias("name")).alias("best")), "labels")
+    # both ways: a name may be stronger in another block than the neighbour it was assigned to
+    ways = edges.select("at", "to").unionByName(edges.select(F.col("to").alias("at"), F.col("at").alias("to")))
     while True:
-        over = edges.select("at", "to").join(label.select(F.col("at").alias("to"), "best"), "to").select("at", "best")
+        over = ways.join(label.select(F.col("at").alias("to"), "best"), "to").select("at", "best")
         step = label.unionByName(over).groupBy("at").agg(F.max("best").alias("best"))
         forms = stands.select("form", "at").join(step, "at").groupBy("form").agg(F.max("best").alias("best"))
         new = keep(stands.select("form", "at").join(forms, "form").groupBy("at").agg(F.max("best").alias("best")), "labels")

@@ -78,3 +78,10 @@ def test_misspelt_streets_meet_over_town_and_code(spark):
     got = {r["rec"] for r in f.join(right, "form").select("rec").collect()}
     assert got == {"b", "c"}
     assert ("a1", "b") in {tuple(r) for r in places.same_place(df).collect()}
+
+
+def test_equally_supported_streets_are_one_place(spark):
+    """Two spellings with one record each are joined, whichever of them is chosen."""
+    rows = [(f"{s}{i}", f"{i + 1} {w} Rd", None, "KENWORTH", "DC", "16434") for i in range(12) for s, w in (("a", "Olockcombe"), ("b", "Olockcmbe"))]
+    df = spark.createDataFrame(rows, "rec string, line string, second string, city string, region string, postcode string")
+    assert {tuple(r) for r in places.same_place(df).collect()} == {(f"a{i}", f"b{i}") for i in range(12)}

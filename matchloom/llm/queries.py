@@ -28,15 +28,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All name records: rec, owner, name, city, region, postcode."""
+    """All name records: rec, owner, side, name, their address and the postal code and street of another one of the owner."""
     source, db = table(spark, sf_dir, "df_source"), table(spark, sf_dir, "df_db")
-    at = [F.col("physical_address_city").alias("city"), F.col("physical_address_province_or_state").alias("region"), F.col("physical_address_zip_postal_code").alias("postcode")]
+    none = F.lit(None).cast("string")
+    at = [F.col("physical_address_city").alias("city"), F.col("physical_address_province_or_state").alias("region"), F.col("physical_address_zip_postal_code").alias("postcode"),
+          F.col("physical_address_line_1").alias("line"), F.col("mailing_address_line_1").alias("other_line"), F.col("mailing_address_zip_postal_code").alias("other_postcode")]
     uei = F.concat(F.lit("u"), "unique_entity_id").alias("owner")
-    legal = source.select(F.concat(F.lit("L"), "source_row_id").alias("rec"), uei, F.col("legal_business_name").alias("name"), *at)
-    trade = source.select(F.concat(F.lit("B"), "source_row_id").alias("rec"), uei, F.col("dba_name").alias("name"), *at)
-    registry = db.select(F.concat(F.lit("O"), "db_row_id").alias("rec"), F.concat(F.lit("e"), "ein").alias("owner"), F.col("org_name_raw").alias("name"),
-                         F.col("org_addr_city").alias("city"), F.col("org_addr_state").alias("region"), F.col("org_addr_zip").alias("postcode"))
-    return legal.unionByName(trade).unionByName(registry)
+    own = F.array(F.struct(F.lit("L").alias("p"), F.col("legal_business_name").alias("name")), F.struct(F.lit("B").alias("p"), F.col("dba_name").alias("name")))
+    source = source.select("source_row_id", uei, *at, F.explode(own).alias("x")).select(F.concat("x.p", "source_row_id").alias("rec"), "owner", F.lit("source").alias("side"), "x.name", *[c for c in ("city", "region", "postcode", "line", "other_line", "other_postcode")])
+    registry = db.select(F.concat(F.lit("O"), "db_row_id").alias("rec"), F.concat(F.lit("e"), "ein").alias("owner"), F.lit("db").alias("side"), F.col("org_name_raw").alias("name"),
+                         F.col("org_addr_city").alias("city"), F.col("org_addr_state").alias("region"), F.col("org_addr_zip").alias("postcode"), F.col("org_addr_street").alias("line"), none.alias("other_line"), none.alias("other_postcode"))
+    return source.unionByName(registry)
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:

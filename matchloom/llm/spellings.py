@@ -1,157 +1,277 @@
 """Problem 6: spellings of the same name of the same organisation, by a pigeonhole segment join.
 
 Names are taken apart (names.py); what is usual in names is compared as whole words, what is peculiar to one, its core,
-letter by letter. Distinct forms are blocked by locality, usual words and numbers, so different kinds of bodies, ordinals
-and lodge numbers are never compared. In a block, cores are cut into k + 1 segments, shifted substrings are looked up in
-the index of segments, and what is found is verified by a banded edit distance. A form joins the best supported spelling
-it finds; equal names in one state are one organisation, in different states namesakes.
+letter by letter. Distinct forms are blocked by usual words and numbers with a locality or a house number, so different
+kinds of bodies, ordinals and lodge numbers are never compared. In a block, cores are cut into k + 1 segments, shifted
+substrings are looked up in the index of segments, and what is found is verified by a banded edit distance. A core joins
+the best supported spelling that is reached from it.
+
+Equal names are not yet one organisation: namesakes are told apart by evidence. Records of one name in a state belong
+together if they share the owner's key, a house or box number, or the town; a name that is only the town's own needs one
+of the first two. What is left apart is joined where a name stands in two clusters that different sources know, if the
+chance of a namesake in the state is small.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..runtime import keep
-from .addresses import state, town, zip5
-from .names import LEGAL, index_keys, name_form, probe_keys
+from ..runtime import drop, keep
+from .addresses import UNIT, state, town, zip5
+from .components import components
+from .names import LEGAL, index_keys, name_form, probe_keys, town_core, unfinished
 
-NAME = ["usual", "short", "nums", "core", "sorted", "initials"]
+NAME = ["usual", "short", "nums", "core", "turned", "ordered", "initials"]
 FORM = [*NAME, "zip", "town", "state"]
-#: Width at which the registry cuts names off (a blank at the end may be lost as well); such a name may end in the middle
-#: of a word.
-CUT_AT = 38
-_FIELDS = "struct<usual string, short string, nums string, core string, sorted string, initials string, base string, last string, zip string, town string, state string>"
+#: Namesakes that may be expected in a state, if the words of names were independent, up to which two clusters are joined.
+MOST_NAMESAKES = 0.2
+#: A width is one at which a source cuts names off if it has SPIKE times as many names as the widths around it.
+SPIKE, WIDEST = 1.3, 400
+_FIELDS = "struct<usual string, short string, nums string, core string, turned string, initials string, base string, last string, zip string, town string, state string, cut boolean, ordered string>"
+_OTHER = {"line": "string", "other_line": "string", "other_postcode": "string", "side": "string"}
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _index(cores: pd.Series) -> pd.Series:
-    return cores.map(index_keys)
+def _index(cores: pd.Series, sure: pd.Series) -> pd.Series:
+    return pd.Series([index_keys(c, s) for c, s in zip(cores, sure)])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _probe(cores: pd.Series) -> pd.Series:
-    return cores.map(probe_keys)
+def _probe(cores: pd.Series, sure: pd.Series) -> pd.Series:
+    return pd.Series([probe_keys(c, s) for c, s in zip(cores, sure)])
 
 
-def parsed(records: DataFrame) -> DataFrame:
-    """records (rec, owner, name, city, region, postcode) with the parts of name and locality. Null and blank names, and
-    names without any word or number, are left out."""
+def house_numbers(line: Column) -> Column:
+    """The house and box numbers of a street line; ordinals, units and postal codes are none. Null and blank lines have none."""
+    bare = F.regexp_replace(F.upper(line), rf"\b{UNIT}\b\.?\s*(?:#|NO\b\.?)?\s*[0-9]+[A-Z]?\b|#\s*[0-9A-Z]+\b|,\s*[A-Z]{{2}}\s+[0-9]{{5}}(?:-[0-9]{{4}})?\s*$", " ")
+    found = F.regexp_extract_all(bare, F.lit(r"(?<![0-9])0*([0-9]{1,12})[A-Z]?(?![0-9A-Z])"), F.lit(1))
+    return F.coalesce(F.array_distinct(F.transform(found, lambda x: x.cast("bigint"))), F.array().cast("array<bigint>"))
+
+
+def cut_widths(records: DataFrame) -> dict[str, int]:
+    """side -> the width at which its names are cut off, where the lengths of its names have a spike. One row a length of at most WIDEST
+    letters comes to the driver."""
+    n = records.select("side", F.length(F.trim("name")).alias("w")).where(f"w between 1 and {WIDEST}").groupBy("side", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = {(r["side"], r["w"]): r["n"] for r in n.collect()}
+    out = {}
+    for (side, w), k in counts.items():
+        around = [counts.get((side, w + d), 0) for d in (-4, -3, -2, 2, 3, 4)]
+        usual = sum(around) / len(around)
+        if k >= SPIKE * usual and k - usual > 8 * usual**0.5 + 8 and k > counts.get((side, out.get(side)), 0):
+            out[side] = w
+    return out
 
-    @F.pandas_udf(_FIELDS)
-    def parts(name: pd.Series, city: pd.Series, region: pd.Series, postcode: pd.Series) -> pd.DataFrame:
-        towns = {c: town(c) for c in city.unique()}
-        rows = [(*name_form(a, CUT_AT - 1 <= len(a.strip()) <= CUT_AT), zip5(d), towns[b], state(c)) for a, b, c, d in zip(name, city, region, postcode)]
-        return pd.DataFrame(rows, columns=["usual", "short", "nums", "core", "sorted", "initials", "base", "last", "zip", "town", "state"])
 
+def parsed(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:
+    """records (rec, owner, name, city, region, postcode, line, other_line, other_postcode, side) with the parts of name and
+    locality and the numbers of the addresses. Null and blank names, and names without any word or number, are left out."""
     some = records.where(F.length(F.trim("name")) > 0)
-    cut = F.length(F.trim("name")).between(CUT_AT - 1, CUT_AT)
-    out = some.select("rec", F.xxhash64("owner").alias("owner"), F.xxhash64("name").alias("raw"), cut.alias("cut"), parts("name", "city", "region", "postcode").alias("p")).select("rec", "owner", "raw", "cut", "p.*")
-    return out.where(F.concat("usual", "nums", "core") != "")
+    widths = cut_widths(some) if cut_at is None else cut_at
+
+    @F.pandas_udf(_FIELDS)
+    def parts(name: pd.Series, city: pd.Series, region: pd.Series, postcode: pd.Series, side: pd.Series) -> pd.DataFrame:
+        towns = {c: (town(c), town_core(c)) for c in city.unique()}
+        rows = []
+        for a, b, c, d, s in zip(name, city, region, postcode, side):
+            w = widths.get(s)
+            cut = w is not None and w - 1 <= len(a.strip()) <= w and unfinished(a)
+            form, own = name_form(a, cut, towns[b][1]), towns[b][1]
+            # a town's name that stands before the rest is also looked up behind it
+            ordered = form[3][len(own) :] + own if own and form[3].startswith(own) else form[3]
+            rows.append((*form, zip5(d), towns[b][0], state(c), cut, ordered))
+        return pd.DataFrame(rows, columns=["usual", "short", "nums", "core", "turned", "initials", "base", "last", "zip", "town", "state", "cut", "ordered"])
+
+    numbers = F.array_distinct(F.concat(house_numbers(F.col("line")), house_numbers(F.col("other_line"))))
+    out = some.select("rec", F.xxhash64("owner").alias("owner"), F.xxhash64("name").alias("raw"), F.xxhash64("side").alias("side"), numbers.alias("numbers"),
+                      F.substring(F.regexp_replace("other_postcode", "[^0-9]", ""), 1, 5).alias("other_zip"), parts("name", "city", "region", "postcode", "side").alias("p"))
+    return out.select("rec", "owner", "raw", "side", "numbers", "other_zip", "p.*").where(F.concat("usual", "nums", "core") != "")
 
 
-def localised(forms: DataFrame, places: DataFrame) -> DataFrame:
-    """forms with loc, a hash of the usual town of the postal code or else of the own town (null without either), and
-    region, the own state or else the usual one of the postal code's first digits; both are learned from places (zip, town, state). There are at most 100,000 postal codes
+def localised(forms: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """forms with loc, a hash of the usual town of the postal code or else of the own town (null without either), near, both
+    of them, and region, the own state or else the usual one of the postal code's first digits or of the town; and
+    (zip, zip_loc), the usual towns. All is learned from places (zip, town, state, n). There are at most 100,000 postal codes
     and 1000 beginnings of one: their towns and states are broadcast."""
-    counts = keep(places.where("zip != ''").groupBy("zip", "town", "state").agg(F.count(F.lit(1)).alias("n")), "towns")
+    counts = keep(places.groupBy("zip", "town", "state").agg(F.sum("n").alias("n")), "towns")
     known = F.when((F.col("town") != "") & (F.col("state") != ""), F.struct("n", "town", "state"))
-    by_zip = counts.groupBy("zip").agg(F.max(known).alias("m")).select("zip", F.xxhash64("m.town", "m.state").alias("zip_loc"), F.col("m").isNotNull().alias("known")).where("known").drop("known")
-    begins = counts.where("state != ''").groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
+    by_zip = counts.where("zip != ''").groupBy("zip").agg(F.max(known).alias("m")).where("m is not null").select("zip", F.xxhash64("m.town", "m.state").alias("zip_loc"))
+    begins = counts.where("state != '' and zip != ''").groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
     begins = begins.groupBy("z3").agg(F.max_by("state", F.struct("k", "state")).alias("usual_state"))
-    f = forms.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(by_zip), "zip", "left").join(F.broadcast(begins), "z3", "left")
-    own = F.when(F.col("town") != "", F.xxhash64("town", "state")).when(F.col("zip") != "", F.xxhash64("zip"))
-    region = F.when(F.col("state") != "", F.col("state")).otherwise(F.coalesce("usual_state", F.concat(F.lit("?"), "town", "zip")))
-    return f.withColumn("loc", F.coalesce("zip_loc", own)).withColumn("region", region).drop("z3", "zip_loc", "usual_state")
+    in_state = counts.where("state != '' and town != ''").groupBy("town", "state").agg(F.sum("n").alias("k")).groupBy("town").agg(F.max_by("state", F.struct("k", "state")).alias("town_state"))
+    lost = forms.where("state = '' and zip = '' and town != ''").join(in_state, "town", "left")
+    f = forms.where("not (state = '' and zip = '' and town != '')").withColumn("town_state", F.lit(None).cast("string")).unionByName(lost)
+    f = f.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(by_zip), "zip", "left").join(F.broadcast(begins), "z3", "left")
+    region = F.when(F.col("state") != "", F.col("state")).otherwise(F.coalesce("usual_state", "town_state", F.concat(F.lit("?"), "town", "zip")))
+    f = f.withColumn("region", region)
+    own = F.when(F.col("town") != "", F.xxhash64("town", "region")).when(F.col("zip") != "", F.xxhash64("zip"))
+    f = f.withColumn("loc", F.coalesce("zip_loc", own)).withColumn("near", F.array_distinct(F.array_compact(F.array("zip_loc", own))))
+    return f.drop("z3", "zip_loc", "usual_state", "town_state"), by_zip
 
 
 def completed(forms: DataFrame) -> DataFrame:
-    """(form, NAME): the full name that a cut-off one stands for, where its locality has one. Locality and beginning of the
-    name are joined as one hash; only what is found fetches its letters."""
-    key = F.xxhash64("loc", F.substring("flat", 1, 10)).alias("key")
-    some = forms.where(F.col("loc").isNotNull() & (F.length("flat") >= 10))
-    cut = some.where("cut").select("form", key, F.substring("flat", F.lit(1), F.length("flat") - F.length("last")).alias("base"), "last")
-    found = cut.join(some.where("not cut").select(key, F.col("form").alias("full")), "key")
-    full = forms.select(F.col("form").alias("full"), "flat", "n", *NAME)
-    j = found.join(full, "full").where(F.startswith("flat", "base"))
+    """(form, NAME): the full name that a cut-off one stands for, where its locality has one, or its state for a long beginning.
+    Place and beginning of the name are joined as one hash; only what is found fetches its letters."""
+    begins = [F.when(F.col("loc").isNotNull() & (F.length("flat") >= 10), F.xxhash64("loc", F.substring("flat", 1, 10))), F.when(F.length("flat") >= 24, F.xxhash64("region", F.substring("flat", 1, 22)))]
+    some = forms.withColumn("key", F.explode(F.array_compact(F.array(*begins))))
+    cut = some.where("cut").select("form", "key")
+    found = cut.join(some.where("not cut").select("key", F.col("form").alias("full")), "key").select("form", "full").distinct()
+    begun = forms.where("cut").select("form", F.substring("flat", F.lit(1), F.length("flat") - F.length("last")).alias("base"), "last")
+    full = forms.where("not cut").select(F.col("form").alias("full"), "flat", "n", *NAME)
+    j = found.join(begun, "form").join(full, "full").where(F.startswith("flat", "base"))
     rest = F.expr("substring(flat, length(base) + 1)")
     legal = F.exists(F.array(*[F.lit(x) for x in sorted(LEGAL)]), lambda w: F.startswith(w, F.col("last")))
-    ok = j.where(F.startswith(rest, F.col("last")) | ((rest == "") & legal))
+    ok = j.where(F.when((F.col("last") == "") | (rest == ""), ((F.col("last") == "") & (rest != "")) | ((F.col("last") != "") & legal)).otherwise(F.startswith(rest, F.col("last"))))
     best = F.max_by(F.struct(*NAME), F.struct("n", -F.length("flat"), "flat")).alias("b")
     return ok.groupBy("form").agg(best).select("form", "b.*")
 
 
-def corrected(f: DataFrame) -> DataFrame:
-    """(block, core, best): the best supported spelling of a core in its block, where it isn't its own. f: block, nid (a hash
-    of the name without its locality), core, sorted, n. How well a spelling is supported is counted everywhere, so that
-    all blocks prefer the same one."""
-    per = f.where(F.col("block").isNotNull()).select("nid", "block", "core", "sorted", "n").repartition("nid")
-    per = per.groupBy("nid", "block").agg(F.first("core").alias("core"), F.min("sorted").alias("sorted"), F.sum("n").alias("n"))
-    per = per.withColumn("n", F.sum("n").over(Window.partitionBy("nid"))).select("block", "core", "sorted", "n")
-    w = Window.partitionBy("block")
-    cores = keep(per.withColumn("a", F.min("core").over(w)).withColumn("z", F.max("core").over(w)).where("a < z").drop("a", "z"), "cores")
+def _letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """Edits between two strings, two letters that changed places being one; 9 if there are more than three."""
+    apart = F.size(F.filter(F.zip_with(_letters(a), _letters(b), lambda x, y: x != y), lambda x: x))
+    swapped = (F.length(a) == F.length(b)) & (apart == 2) & (F.array_sort(_letters(a)) == F.array_sort(_letters(b)))
+    d = F.levenshtein(a, b, 3)
+    return F.when(d < 0, 9).when((d == 2) & swapped, 1).otherwise(d)
+
+
+def corrected(names: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(nid, best): the best supported name that is reached from a name over neighbours, where it isn't the name itself.
+
+    names: (nid, cores, turned, n), a name in a state with the orders its core is written in and its number of records
+    everywhere. blocks: (block, nid, sure), sure where names in the block share a house number: there up to three edits
+    may lie between them, elsewhere one (or two letters that changed places), and none in cores of under five letters.
+    """
+    several = blocks.groupBy("block").agg((F.min("nid") != F.max("nid")).alias("several")).where("several").select("block")
+    at = blocks.join(several, "block").distinct().join(names.select("nid", F.explode("cores").alias("core")), "nid")
+    at = keep(at.where("length(core) > 2"), "blocks")
     key = F.xxhash64("block", "key").alias("key")
-    # what is shuffled by key is only a hash of block and core; found pairs fetch their letters
-    own = F.xxhash64("block", "core")
-    index = cores.select("block", F.explode(_index("core")).alias("key"), own.alias("to_id")).select(key, "to_id")
-    probe = cores.select("block", F.explode(_probe("core")).alias("key"), own.alias("id")).select(key, "id")
-    pairs = probe.join(index, "key").where("id != to_id").select("id", "to_id").distinct()
-    named = cores.groupBy(own.alias("id")).agg(F.first("block").alias("block"), F.first("core").alias("core"), F.max("n").alias("n"))
-    found = pairs.join(named, "id").join(named.select(F.col("id").alias("to_id"), F.col("core").alias("to"), F.col("n").alias("to_n")), "to_id")
-    better = F.struct("to_n", "to") > F.struct("n", "core")
-    found = found.where(better & (F.levenshtein("core", "to", 2) >= 0)).select("block", "core", "to", "to_n")
-    # the same words in another order
-    turned = cores.withColumn("m", F.max(F.struct("n", "core")).over(Window.partitionBy("block", "sorted"))).where(F.col("m.core") != F.col("core"))
-    turned = turned.select("block", "core", F.col("m.core").alias("to"), F.col("m.n").alias("to_n"))
-    chosen = found.unionByName(turned).groupBy("block", "core").agg(F.max(F.struct("to_n", "to")).alias("m")).select("block", "core", F.col("m.to").alias("to"))
-    chosen = keep(chosen, "chosen")
-    hop = chosen.select("block", F.col("core").alias("to"), F.col("to").alias("further"))
-    return chosen.join(hop, ["block", "to"], "left").select("block", "core", F.coalesce("further", "to").alias("best"))
-
-
-def organisations(forms: DataFrame, places: DataFrame) -> DataFrame:
-    """(form, org): a 64-bit id of the organisation that each distinct form names. forms: form, cut, flat, last, FORM, n."""
-    forms = keep(localised(forms, places), "name-forms")
+    # what is shuffled by key are hashes only; found pairs fetch their letters
+    index = at.select("block", "nid", F.explode(_index("core", "sure")).alias("key")).select(key, F.col("nid").alias("to_id"))
+    probe = at.select("block", "sure", "nid", F.explode(_probe("core", "sure")).alias("key")).select(key, "sure", "nid")
+    pairs = probe.join(index, "key").where("nid != to_id").groupBy("nid", "to_id").agg(F.max("sure").alias("sure"))
+    j = pairs.join(names, "nid").join(names.select(F.col("nid").alias("to_id"), F.col("cores").alias("to_cores"), F.col("turned").alias("to"), F.col("n").alias("to_n")), "to_id")
+    j = j.where(F.struct("to_n", "to", "to_id") > F.struct("n", "turned", "nid"))
+    j = j.withColumn("far", F.array_min(F.flatten(F.transform("cores", lambda a: F.transform("to_cores", lambda b: _distance(a, b))))))
+    small = F.least(F.length("turned"), F.length("to"))
+    j = j.where((F.col("far") == 1) & (F.col("sure") | (small >= 5)) | F.col("sure") & ((F.col("far") == 2) & (small >= 5) | (F.col("far") == 3) & (small >= 7)))
+    step = keep(j.groupBy("nid").agg(F.max_by("to_id", F.struct("to_n", "to", "to_id")).alias("best")), "spellings")
+    # a better spelling may have one of its own: every round halves the way to the end
+    while True:
+        further = step.alias("a").join(step.select(F.col("nid").alias("best"), F.col("best").alias("next")).alias("b"), "best", "left")
+        new = keep(further.select("nid", F.coalesce("next", "best").alias("best"), F.col("next").isNotNull().alias("moved")), "spellings")
+        moved = new.where("moved").limit(1).count()
+        drop(step)
+        step = new.drop("moved")
+        if not moved:
+            return step
+
+
+def state_names(forms: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(form, name, kind, best, region, loc, own): name, the id of the name that a form shows in its state, after correction; kind
+    and best, hashes of its usual words and of its core; own: it has no core but the town's. forms: form, cut, flat, last, FORM, n,
+    loc, near, region; numbers: (form, number) of its records."""
     whole = completed(forms)
-    f = forms.select("form", "n", "loc", "region", *NAME).alias("f").join(whole.alias("w"), "form", "left").select("form", "n", "loc", "region", *[F.coalesce(f"w.{c}", f"f.{c}").alias(c) for c in NAME])
-    f = f.withColumn("block", F.when(F.col("loc").isNotNull(), F.xxhash64("loc", "short", "nums"))).withColumn("nid", F.xxhash64("short", "nums", "core")).drop("loc")
+    rest = ["form", "n", "loc", "near", "region", "town"]
+    f = forms.select(*rest, *NAME).alias("f").join(whole.alias("w"), "form", "left").select(*rest, *[F.coalesce(f"w.{c}", f"f.{c}").alias(c) for c in NAME])
+    f = f.withColumn("kind", F.xxhash64("short", "nums")).withColumn("nid", F.xxhash64("short", "nums", "turned", "region"))
+    f = f.withColumn("own", (F.col("core") == "") | F.contains("town", "core")).withColumn("plain", F.col("usual") == F.col("short")).drop("short", "nums", "town")
     f = keep(f, "whole-names")
+    written = F.concat_ws("\x1f", F.array_distinct(F.array("core", "ordered")))
+    names = f.groupBy("nid").agg(F.collect_set(written).alias("w"), F.first("kind").alias("kind"), F.first("turned").alias("turned"), F.sum("n").alias("here"))
+    every = names.groupBy("kind", "turned").agg(F.sum("here").alias("n"))
+    names = names.join(every, ["kind", "turned"]).select("nid", F.array_distinct(F.flatten(F.transform("w", lambda x: F.split(x, "\x1f")))).alias("cores"), "turned", "n")
+    names = keep(names, "state-names")
+    near = f.select(F.explode("near").alias("at"), "nid", "kind").select(F.xxhash64("at", "kind").alias("block"), "nid", F.lit(False).alias("sure"))
+    lost = f.where("loc is null").select(F.xxhash64("region", "kind").alias("block"), "nid", F.lit(False).alias("sure"))
+    doors = f.select("form", "nid", "kind", "region").join(numbers, "form").select(F.xxhash64("number", "kind", "region").alias("block"), "nid", F.lit(True).alias("sure"))
+    right = corrected(names, near.unionByName(lost).unionByName(doors))
     # from here on hashes stand for strings that are only told apart
-    right = corrected(f).select(F.xxhash64("block", "core").alias("at"), F.xxhash64("best").alias("best"))
-    f = f.select("form", "n", F.xxhash64("block", "core").alias("at"), F.xxhash64("core").alias("own"), F.xxhash64("short", "nums", "region").alias("rest"), F.xxhash64("usual").alias("usual"),
-                 (F.col("usual") == F.col("short")).alias("plain"), "initials")
-    f = f.join(right, "at", "left").withColumn("g", F.xxhash64("rest", F.coalesce("best", "own"))).drop("at", "own", "rest", "best").repartition("g")
-    # a given name's mere initial joins the commonest full name it can stand for
-    full = F.max(F.when(~F.col("plain"), F.struct("n", "usual"))).over(Window.partitionBy("g"))["usual"]
-    f = f.withColumn("usual1", F.when(F.col("plain"), F.coalesce(full, F.col("usual"))).otherwise(F.col("usual")))
-    initials = F.max(F.when(F.col("initials") != "", F.struct("n", "initials"))).over(Window.partitionBy("g", "usual1"))["initials"]
-    f = f.withColumn("initials1", F.when(F.col("initials") != "", F.col("initials")).otherwise(F.coalesce(initials, F.lit(""))))
-    return f.select("form", F.xxhash64("g", "usual1", "initials1").alias("org"))
-
-
-def named(records: DataFrame) -> DataFrame:
+    to = names.select(F.col("nid").alias("best"), F.xxhash64("turned").alias("better"))
+    right = right.join(to, "best").select("nid", "better")
+    f = f.select("form", "n", "nid", "kind", "region", "loc", "own", "plain", F.xxhash64("turned").alias("as_is"), F.xxhash64("usual").alias("usual"), "initials")
+    f = f.join(right, "nid", "left").withColumn("best", F.coalesce("better", "as_is")).withColumn("g", F.xxhash64("kind", "region", "best")).drop("nid", "better", "as_is").repartition("g")
+
+    def top(value: str, where: Column, *also: str) -> Column:
+        """The commonest value among the names of the same town, or else of the state."""
+        most = F.max(F.when(where, F.struct("n", value)))
+        return F.coalesce(*[most.over(Window.partitionBy("g", *also, *at))[value] for at in (["loc"], [])])
+
+    # a given name's mere initial joins the commonest full name it can stand for, a name without initials the commonest with them
+    f = f.withColumn("usual1", F.when(F.col("plain"), F.coalesce(top("usual", ~F.col("plain")), "usual")).otherwise(F.col("usual")))
+    f = f.withColumn("initials1", F.when(F.col("initials") != "", F.col("initials")).otherwise(F.coalesce(top("initials", F.col("initials") != "", "usual1"), F.lit(""))))
+    return f.select("form", F.xxhash64("g", "usual1", "initials1").alias("name"), "kind", "best", "region", "loc", "own")
+
+
+def namesakes(names: DataFrame) -> DataFrame:
+    """(name, expected): how many other towns of its state would hold a name if its core and its usual words were independent,
+    by all other names. names: (name, kind, best, region, loc)."""
+    held = keep(names.select("name", "kind", "best", "region", "loc").distinct(), "held")
+    every = held.agg(F.count(F.lit(1)).alias("every"))  # one row is broadcast
+    per = {c: held.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias(f"{c}_n")) for c in ("kind", "best", "region")}
+    out = held.groupBy("name").agg(*[F.first(c).alias(c) for c in per], F.count(F.lit(1)).alias("own"))
+    for c, counts in per.items():
+        out = out.join(counts, c)
+    others = [F.col(f"{c}_n") - F.col("own") for c in ("kind", "best")]
+    return out.join(F.broadcast(every)).select("name", (others[0] * others[1] * F.col("region_n") / F.col("every") / F.col("every")).alias("expected"))
+
+
+def told_apart(own: DataFrame, names: DataFrame, towns: DataFrame) -> DataFrame:
+    """(rec, org) of the records own (rec, owner, side, form, numbers, other_zip): the names of a state, divided into organisations.
+
+    names: what state_names gives; towns: (zip, zip_loc). A name in one town that isn't the town's own is one organisation;
+    the records of other names are clustered by what they share. Two clusters are joined where each is known to one source
+    only and to another one, and either the name is the town's own or few namesakes are expected.
+    """
+    per = names.groupBy("name").agg(F.min("loc").alias("a"), F.max("loc").alias("z"), F.count(F.when(F.col("loc").isNull(), 1)).alias("lost"), F.max("own").alias("towns_own"))
+    per = keep(per.where((F.col("a") != F.col("z")) | (F.col("lost") > 0) | F.col("towns_own")).select("name", "towns_own"), "open-names")
+    at = names.select("form", "name", "loc").join(per, "name", "left")
+    r = keep(own.join(at, "form").select("rec", "owner", "side", "name", "towns_own", "loc", "numbers", "other_zip"), "named-records")
+    some = r.where(F.col("towns_own").isNotNull()).withColumn("v", F.xxhash64("name", "owner")).join(F.broadcast(towns.select(F.col("zip").alias("other_zip"), F.col("zip_loc").alias("other_loc"))), "other_zip", "left")
+    in_towns = F.when(F.col("towns_own"), F.array().cast("array<bigint>")).otherwise(F.array_compact(F.array("loc", "other_loc")))
+    keys = F.concat(F.transform("numbers", lambda x: F.xxhash64("name", F.lit("at"), x)), F.transform(in_towns, lambda x: F.xxhash64("name", F.lit("in"), x)))
+    comp = keep(components(some.select("v", F.explode_outer(keys).alias("key"))), "clusters")
+    known = some.select("v", "name", "side", "towns_own").distinct().join(comp, "v")
+    by_comp = known.groupBy("name", "comp").agg(F.min("side").alias("side"), F.max("side").alias("other"), F.max("towns_own").alias("towns_own"))
+    pairs = by_comp.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("side").alias("s"), F.max("side").alias("t"), F.count(F.when(F.col("side") != F.col("other"), 1)).alias("mixed"), F.max("towns_own").alias("towns_own"))
+    pairs = pairs.where("k = 2 and mixed = 0 and s != t").select("name", "towns_own")
+    joined = pairs.join(namesakes(names), "name").where(F.col("towns_own") | (F.col("expected") <= MOST_NAMESAKES)).select("name", F.lit(True).alias("one"))
+    org = r.withColumn("v", F.when(F.col("towns_own").isNotNull(), F.xxhash64("name", "owner"))).join(comp, "v", "left").join(joined, "name", "left")
+    return org.select("rec", F.when(F.col("comp").isNull() | F.col("one"), F.xxhash64("name")).otherwise(F.xxhash64("name", "comp")).alias("org"))
+
+
+def named(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:
     """(rec, owner, raw, org) of every name record; owner and raw are hashes of the owner's key and the name as stored.
 
-    records: (rec, owner, name, city, region, postcode); owner is the key that the record already has. Null and blank
-    names are left out; a name without a locality only meets its equals of unknown state.
+    records: (rec, owner, name, city, region, postcode) and, where known, line (the street), other_line and other_postcode
+    (of another address of the owner) and side (the source that the record is from). owner is the key that the record
+    already has. cut_at: side -> width at which it cuts names off; learned where not given. Null and blank names are left out.
     """
-    own = parsed(records)
+    records = records.withColumns({c: F.lit(None).cast(t) for c, t in _OTHER.items() if c not in records.columns})
+    own = parsed(records.withColumn("side", F.coalesce("side", F.lit(""))), cut_at)
     flat = F.concat("base", "last").alias("flat")
-    own = keep(own.select("rec", "owner", "raw", "cut", flat, "last", *FORM).withColumn("form", F.xxhash64(*FORM, F.when(F.col("cut"), F.col("flat")))), "names")
+    own = own.select("rec", "owner", "raw", "side", "numbers", "other_zip", "cut", flat, "last", *FORM)
+    own = keep(own.withColumn("form", F.xxhash64(*FORM, F.when(F.col("cut"), F.col("flat")))), "names")
     # as one string the parts take a third of the room while they are shuffled
     parts = ["flat", "last", *FORM]
     packed = own.select("form", "cut", F.concat_ws("\x1f", *parts).alias("p")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("cut").alias("cut"), F.first("p").alias("p"))
     forms = packed.select("form", "n", "cut", F.split("p", "\x1f").alias("p")).select("form", "n", "cut", *[F.col("p")[i].alias(c) for i, c in enumerate(parts)])
-    return own.select("rec", "owner", "raw", "form").join(organisations(forms, own.select("zip", "town", "state")), "form").select("rec", "owner", "raw", "org")
+    placed, towns = localised(forms, own.groupBy("zip", "town", "state").agg(F.count(F.lit(1)).alias("n")))
+    names = keep(state_names(keep(placed, "name-forms"), own.select("form", F.explode("numbers").alias("number")).distinct()), "form-names")
+    slim = own.select("rec", "owner", "side", "form", "numbers", "other_zip")
+    return own.select("rec", "owner", "raw").join(told_apart(slim, names, towns), "rec")
 
 
-def same_name(records: DataFrame) -> DataFrame:
+def same_name(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:
     """(name_a, name_b): pairs of records that spell one name of one organisation in different ways and don't share their
     owner; name_a < name_b."""
-    own = keep(named(records), "named")
+    own = keep(named(records, cut_at), "named")
     a, b = own.alias("a"), own.alias("b")
     on = (F.col("a.org") == F.col("b.org")) & (F.col("a.rec") < F.col("b.rec")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.owner") != F.col("b.owner"))
     return a.join(b, on).select(F.col("a.rec").alias("name_a"), F.col("b.rec").alias("name_b"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from matchloom.llm import addresses, entities, names, places, spellings
+from matchloom.llm import addresses, components, entities, names, places, spellings
 
 ADDRESS = "rec string, line string, second string, city string, region string, postcode string, num string, core string"
 SAME = [
@@ -90,9 +90,67 @@ def test_same_name(spark):
 
 
 def test_cut_names_are_completed(spark):
-    full = "MOUNT OLUCKCOMBE SALOSTGATE RECOVERY CENTER"
-    rows = [("L1", "u1", full, "Kenworth", "DC", "16434", ""), ("O1", "e1", full[: spellings.CUT_AT], "Kenworth", "DC", "16434", ""), ("O2", "e2", full[: spellings.CUT_AT], "Elsewhere", "TX", "75001", "")]
-    assert {tuple(r) for r in spellings.same_name(spark.createDataFrame(rows, NAME)).collect()} == {("L1", "O1")}
+    full, at = "MOUNT OLUCKCOMBE SALOSTGATE RECOVERY CENTER", {"db": 38}
+    place, other = ("Kenworth", "DC", "16434", "12 Oak St"), ("Elsewhere", "TX", "75001", "13 Oak St")
+    rows = [("L1", "u1", "source", full, *place), ("O1", "e1", "db", full[:38], *place), ("O2", "e2", "db", full[:38], *other), ("L3", "u3", "source", "Norastley Ulingwood Youth Little League Housing", *place), ("O3", "e3", "db", "NORASTLEY ULINGWOOD YOUTH LITTLE LEAGUE", *place)]
+    df = spark.createDataFrame(rows, "rec string, owner string, side string, name string, city string, region string, postcode string, line string")
+    assert {tuple(r) for r in spellings.same_name(df, at).collect()} == {("L1", "O1")}
+    # one length holds far more names than those around it
+    many = [(f"O{i}", f"e{i}", "db", "A" * (20 + i % 30), None, None, None, None) for i in range(3000)] + [(f"X{i}", f"x{i}", "db", "B" * 38, None, None, None, None) for i in range(400)]
+    assert spellings.cut_widths(spark.createDataFrame(many, df.schema)) == {"db": 38}
+    assert spellings.cut_widths(df.limit(0)) == {}
+
+
+def test_namesakes_are_told_apart(spark):
+    """One name in several towns of a state, names of the town itself, near cores in one town: brute force over stated organisations."""
+    town = lambda i: (f"Town{'abcdefghij'[i]}ville", "TX", f"750{i}1")
+    rows, org = [], {}
+
+    def add(rec, owner, side, name, place, line, o):
+        rows.append((rec, owner, side, name, *place, line, None, None))
+        org[rec] = o
+
+    for i in range(6):  # the same hot name in six towns, known to both sources in each
+        add(f"L{i}", f"u{i}", "source", "Friends of the Salanwick Library", town(i), f"{100 + i} Oak St", i)
+        add(f"O{i}", f"e{i}", "db", "FRIENDS OF THE SALANWICK LIBRARY INC", town(i), f"{100 + i} OAK STREET", i)
+    # two churches of a town's own name: only the street tells them apart
+    add("L20", "u20", "source", "Second Lutheran Church of Townaville", town(0), "55 Elm Ave", 20)
+    add("O20", "e20", "db", "2ND LUTHERAN CHURCH OF TOWNAVILLE", town(0), "55 ELM AVENUE STE 4", 20)
+    add("O21", "e21", "db", "SECOND LUTHERAN CHURCH OF TOWNAVILLE INC", town(0), "990 PINE RD", 21)
+    # distinct cores two edits apart in one town, and a spelling two edits away at one door
+    add("L30", "u30", "source", "Harwicz Music Academy", town(1), "7 First St", 30)
+    add("O31", "e31", "db", "MARWIRZ MUSIC ACADEMY", town(1), "81 THIRD ST", 31)
+    add("L32", "u32", "source", "Ulkenbridge Food Bank", town(1), "4411 Lane Rd", 32)
+    add("O32", "e32", "db", "ULKEMBRIGE FOOD BANK", town(1), "4411 LANE ROAD", 32)
+    # a rare name that moved: one source knows each end, and the other address says so
+    add("L40", "u40", "source", "Orastville Gowan Society", town(2), "3 Low St", 40)
+    add("O40", "e40", "db", "ORASTVILLE GOWAN SOC", town(3), "77 HIGH ST", 40)
+    add("L50", "u50", "source", "Friends of the Salanwick Trail", town(4), "9 Low St", 50)
+    rows[-1] = (*rows[-1][:-2], "812 Hill Dr", town(5)[2])
+    add("O50", "e50", "db", "FRIENDS OF THE SALANWICK TRAIL CO", town(5), "812 HILL DRIVE", 50)
+    df = spark.createDataFrame(rows, "rec string, owner string, side string, name string, city string, region string, postcode string, line string, other_line string, other_postcode string")
+    owner, name = {r[0]: r[1] for r in rows}, {r[0]: r[3] for r in rows}
+    want = {(a, b) for a in org for b in org if a < b and org[a] == org[b] and owner[a] != owner[b] and name[a] != name[b]}
+    assert {tuple(r) for r in spellings.same_name(df).collect()} == want
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randint(0, 60), 1000 + r.randint(0, 70)) for _ in range(70)] + [(500 + i // 2, 2000 + (i + 1) // 2) for i in range(80)] + [(900, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for v, k in edges:
+        parent[root(v)] = root(k) if k is not None else root(v)
+    df = spark.createDataFrame(edges, "v long, key long")
+    got = {x["v"]: x["comp"] for x in components.components(df).collect()}
+    assert set(got) == {v for v, _ in edges}
+    assert all((got[a] == got[b]) == (root(a) == root(b)) for a in got for b in got)
+    assert components.components(df.limit(0)).count() == 0
 
 
 def test_parse_address():

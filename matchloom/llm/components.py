@@ -16,17 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     once; rows with a null key give a component of the node alone; no edges give no rows.
     """
     edges = keep(edges.where(F.col("v").isNotNull()).distinct(), "edges")
-    shared = edges.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = edges.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a != z").select("key")
     links = keep(edges.join(shared, "key").select("v", "key"), "links")
-    label = keep(links.groupBy("v").agg(F.min("key").alias("comp")), "labels")
+    label = links.groupBy("v").agg(F.min("key").alias("comp"))
     while True:
         at_key = links.join(label, "v").groupBy("key").agg(F.min("comp").alias("comp"))
-        new = keep(links.join(at_key, "key").groupBy("v").agg(F.min("comp").alias("comp")), "labels")
-        changed = new.alias("a").join(label.alias("b"), "v").where("a.comp < b.comp").limit(1).count()
+        # max sees whether the keys of a node still differ: then another round is needed
+        new = keep(links.join(at_key, "key").groupBy("v").agg(F.min("comp").alias("comp"), F.max("comp").alias("most")), "labels")
+        moved = new.where("comp != most").limit(1).count()
         drop(label)
-        label = new
-        if not changed:
+        label = new.select("v", "comp")
+        label._kept_at = new._kept_at
+        if not moved:
             break
-    out = edges.select("v").distinct().join(label, "v", "left").select("v", F.coalesce("comp", F.xxhash64(F.lit("alone"), "v")).alias("comp"))
-    drop(links)
-    return out
+    return edges.select("v").distinct().join(label, "v", "left").select("v", F.coalesce("comp", F.xxhash64(F.lit("alone"), "v")).alias("comp"))

@@ -242,26 +242,36 @@ def segments(core: str, edits: int) -> list[tuple[int, str]]:
     return out
 
 
-def allowed(core: str, sure: bool = False) -> int:
-    """Edits that may lie between two spellings of a core; sure: something else says that they are the same name."""
-    return 3 if sure and len(core) >= 7 else 2 if len(core) >= 5 else 1 if len(core) >= 3 else 0
+def allowed(core: str) -> int:
+    """Edits that may lie between two spellings of a core if something else says that they are the same name."""
+    return 2 if len(core) >= 5 else 1 if len(core) >= 3 else 0
 
 
-def index_keys(core: str, sure: bool = False) -> list[str]:
-    """Keys under which a core is found: its length, the number of a segment and the segment, for each number of edits
-    that a core looking for it may allow."""
-    return [f"{k}:{len(core)}:{i}:{part}" for k in ((1, 2, 3) if sure else (1, 2)) if len(core) > k + 1 for i, (_, part) in enumerate(segments(core, k))]
+def index_keys(core: str, sure: bool = True) -> list[str]:
+    """Keys under which a core is found: its length, the number of a segment and the segment. sure: for every number of edits
+    that a core looking for it may allow; else for one edit, and for two letters that changed places where the halves meet."""
+    n, most = len(core), (1, 2) if sure else (1,)
+    keys = [f"{k}:{n}:{i}:{part}" for k in most if n > k + 1 for i, (_, part) in enumerate(segments(core, k))]
+    return keys if sure or n < 4 else [*keys, _hole(core)]
 
 
-def probe_keys(core: str, sure: bool = False) -> list[str]:
-    """Keys that a core within its allowed edits must share: by the pigeonhole principle one of the other's segments stands
-    unchanged in this one. Before segment i there are at most i edits and after it at most k - i, or another segment would
-    be found as well; that bounds how far it can be shifted."""
-    k, n, out = allowed(core, sure), len(core), set()
+def _hole(core: str) -> str:
+    """A core of this length without the two letters where its halves meet."""
+    at = segments(core, 1)[1][0]
+    return f"h:{len(core)}:{core[: at - 1]}.{core[at + 1 :]}"
+
+
+def probe_keys(core: str, sure: bool = True) -> list[str]:
+    """Keys that a core within its allowed edits (one, if not sure) must share: by the pigeonhole principle one of the other's
+    segments stands unchanged in this one. Before segment i there are at most i edits and after it at most k - i, or another
+    segment would be found as well; that bounds how far it can be shifted."""
+    k, n, out = allowed(core) if sure else min(1, allowed(core)), len(core), set()
     for length in range(max(k + 2, n - k), n + k + 1) if k else ():
         longer = n - length
         for i, (at, part) in enumerate(segments("." * length, k)):
             low, high = max(at - i, at + longer - (k - i)), min(at + i, at + longer + (k - i))
             for start in range(max(0, low), min(n - len(part), high) + 1):
                 out.add(f"{k}:{length}:{i}:{core[start : start + len(part)]}")
+    if k and not sure and n >= 4:
+        out.add(_hole(core))
     return sorted(out)

@@ -18,17 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..runtime import drop, keep
-from .addresses import UNIT, state, town, zip5
+from .addresses import state, town, zip5
 from .components import components
 from .names import LEGAL, index_keys, name_form, probe_keys, town_core, unfinished
 
-NAME = ["usual", "short", "nums", "core", "turned", "ordered", "initials"]
-FORM = [*NAME, "zip", "town", "state"]
 #: Namesakes that may be expected in a state, if the words of names were independent, up to which two clusters are joined.
 MOST_NAMESAKES = 0.2
+#: Towns written without state and postal code up to which their usual states are broadcast.
+TOWNS = 100_000
 #: A width is one at which a source cuts names off if it has SPIKE times as many names as the widths around it.
 SPIKE, WIDEST = 1.3, 400
 _FIELDS = "struct<usual string, short string, nums string, core string, turned string, initials string, base string, last string, zip string, town string, state string, cut boolean, ordered string>"
@@ -46,10 +45,11 @@ def _probe(cores: pd.Series, sure: pd.Series) -> pd.Series:
 
 
 def house_numbers(line: Column) -> Column:
-    """The house and box numbers of a street line; ordinals, units and postal codes are none. Null and blank lines have none."""
-    bare = F.regexp_replace(F.upper(line), rf"\b{UNIT}\b\.?\s*(?:#|NO\b\.?)?\s*[0-9]+[A-Z]?\b|#\s*[0-9A-Z]+\b|,\s*[A-Z]{{2}}\s+[0-9]{{5}}(?:-[0-9]{{4}})?\s*$", " ")
-    found = F.regexp_extract_all(bare, F.lit(r"(?<![0-9])0*([0-9]{1,12})[A-Z]?(?![0-9A-Z])"), F.lit(1))
-    return F.coalesce(F.array_distinct(F.transform(found, lambda x: x.cast("bigint"))), F.array().cast("array<bigint>"))
+    """The numbers of a street line (house, box, unit; a unit hardly ever equals another address's house). Ordinals and the postal
+    code at the line's end are none. Null and blank lines have none."""
+    bare = F.regexp_replace(line, r",\s*[A-Za-z]{2}\s+[0-9]{5}(?:-[0-9]{4})?\s*$", "")
+    found = F.regexp_extract_all(bare, F.lit(r"(?<![0-9A-Za-z#])0*([0-9]{1,12})[A-Za-z]?(?![0-9A-Za-z])"), F.lit(1))
+    return F.coalesce(F.transform(found, lambda x: x.cast("bigint")), F.array().cast("array<bigint>"))
 
 
 def cut_widths(records: DataFrame) -> dict[str, int]:
@@ -75,14 +75,15 @@ def parsed(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFram
     @F.pandas_udf(_FIELDS)
     def parts(name: pd.Series, city: pd.Series, region: pd.Series, postcode: pd.Series, side: pd.Series) -> pd.DataFrame:
         towns = {c: (town(c), town_core(c)) for c in city.unique()}
+        states = {c: state(c) for c in region.unique()}
         rows = []
         for a, b, c, d, s in zip(name, city, region, postcode, side):
             w = widths.get(s)
             cut = w is not None and w - 1 <= len(a.strip()) <= w and unfinished(a)
             form, own = name_form(a, cut, towns[b][1]), towns[b][1]
             # a town's name that stands before the rest is also looked up behind it
-            ordered = form[3][len(own) :] + own if own and form[3].startswith(own) else form[3]
-            rows.append((*form, zip5(d), towns[b][0], state(c), cut, ordered))
+            ordered = form[3][len(own) :] + own if own and form[3].startswith(own) else ""
+            rows.append((*form, zip5(d), towns[b][0], states[c], cut, ordered))
         return pd.DataFrame(rows, columns=["usual", "short", "nums", "core", "turned", "initials", "base", "last", "zip", "town", "state", "cut", "ordered"])
 
     numbers = F.array_distinct(F.concat(house_numbers(F.col("line")), house_numbers(F.col("other_line"))))
@@ -91,42 +92,43 @@ def parsed(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFram
     return out.select("rec", "owner", "raw", "side", "numbers", "other_zip", "p.*").where(F.concat("usual", "nums", "core") != "")
 
 
-def localised(forms: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """forms with loc, a hash of the usual town of the postal code or else of the own town (null without either), near, both
-    of them, and region, the own state or else the usual one of the postal code's first digits or of the town; and
-    (zip, zip_loc), the usual towns. All is learned from places (zip, town, state, n). There are at most 100,000 postal codes
-    and 1000 beginnings of one: their towns and states are broadcast."""
-    counts = keep(places.groupBy("zip", "town", "state").agg(F.sum("n").alias("n")), "towns")
+def localised(own: DataFrame) -> DataFrame:
+    """own with loc, a hash of the usual town of the postal code or else of the own town (null without either), near, both
+    of them, other_loc, the usual town of the other postal code, and region, the own state or else the usual one of the postal
+    code's first digits or of the town. There are at most 100,000 postal codes and 1000 beginnings of one: their towns
+    and states are broadcast, those of towns without both only up to TOWNS of them."""
+    counts = keep(own.groupBy("zip", "town", "state").agg(F.count(F.lit(1)).alias("n")), "towns")
     known = F.when((F.col("town") != "") & (F.col("state") != ""), F.struct("n", "town", "state"))
-    by_zip = counts.where("zip != ''").groupBy("zip").agg(F.max(known).alias("m")).where("m is not null").select("zip", F.xxhash64("m.town", "m.state").alias("zip_loc"))
+    by_zip = keep(counts.where("zip != ''").groupBy("zip").agg(F.max(known).alias("m")).where("m is not null").select("zip", F.xxhash64("m.town", "m.state").alias("zip_loc")), "zips")
     begins = counts.where("state != '' and zip != ''").groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
     begins = begins.groupBy("z3").agg(F.max_by("state", F.struct("k", "state")).alias("usual_state"))
-    in_state = counts.where("state != '' and town != ''").groupBy("town", "state").agg(F.sum("n").alias("k")).groupBy("town").agg(F.max_by("state", F.struct("k", "state")).alias("town_state"))
-    lost = forms.where("state = '' and zip = '' and town != ''").join(in_state, "town", "left")
-    f = forms.where("not (state = '' and zip = '' and town != '')").withColumn("town_state", F.lit(None).cast("string")).unionByName(lost)
-    f = f.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(by_zip), "zip", "left").join(F.broadcast(begins), "z3", "left")
+    bare = counts.where("state = '' and zip = '' and town != ''").select("town").distinct()
+    in_state = counts.where("state != '' and town != ''").join(bare, "town").groupBy("town", "state").agg(F.sum("n").alias("k")).groupBy("town").agg(F.max_by("state", F.struct("k", "state")).alias("town_state"))
+    in_state = keep(in_state.select(F.col("town").alias("bare_town"), "town_state"), "bare-towns")
+    in_state = F.broadcast(in_state) if in_state.count() <= TOWNS else in_state
+    f = own.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(by_zip), "zip", "left").join(F.broadcast(begins), "z3", "left")
+    f = f.join(F.broadcast(by_zip.select(F.col("zip").alias("other_zip"), F.col("zip_loc").alias("other_loc"))), "other_zip", "left")
+    f = f.withColumn("bare_town", F.when((F.col("state") == "") & (F.col("zip") == ""), F.col("town")).otherwise(F.concat(F.lit("."), "rec"))).join(in_state, "bare_town", "left")
     region = F.when(F.col("state") != "", F.col("state")).otherwise(F.coalesce("usual_state", "town_state", F.concat(F.lit("?"), "town", "zip")))
     f = f.withColumn("region", region)
-    own = F.when(F.col("town") != "", F.xxhash64("town", "region")).when(F.col("zip") != "", F.xxhash64("zip"))
-    f = f.withColumn("loc", F.coalesce("zip_loc", own)).withColumn("near", F.array_distinct(F.array_compact(F.array("zip_loc", own))))
-    return f.drop("z3", "zip_loc", "usual_state", "town_state"), by_zip
-
-
-def completed(forms: DataFrame) -> DataFrame:
-    """(form, NAME): the full name that a cut-off one stands for, where its locality has one, or its state for a long beginning.
-    Place and beginning of the name are joined as one hash; only what is found fetches its letters."""
-    begins = [F.when(F.col("loc").isNotNull() & (F.length("flat") >= 10), F.xxhash64("loc", F.substring("flat", 1, 10))), F.when(F.length("flat") >= 24, F.xxhash64("region", F.substring("flat", 1, 22)))]
-    some = forms.withColumn("key", F.explode(F.array_compact(F.array(*begins))))
-    cut = some.where("cut").select("form", "key")
-    found = cut.join(some.where("not cut").select("key", F.col("form").alias("full")), "key").select("form", "full").distinct()
-    begun = forms.where("cut").select("form", F.substring("flat", F.lit(1), F.length("flat") - F.length("last")).alias("base"), "last")
-    full = forms.where("not cut").select(F.col("form").alias("full"), "flat", "n", *NAME)
-    j = found.join(begun, "form").join(full, "full").where(F.startswith("flat", "base"))
+    at_home = F.when(F.col("town") != "", F.xxhash64("town", "region")).when(F.col("zip") != "", F.xxhash64("zip"))
+    f = f.withColumn("loc", F.coalesce("zip_loc", at_home)).withColumn("near", F.array_distinct(F.array_compact(F.array("zip_loc", at_home))))
+    return f.drop("z3", "other_zip", "zip_loc", "usual_state", "bare_town", "town_state")
+
+
+def completed(own: DataFrame) -> DataFrame:
+    """(nid, best): the full name that a cut-off one stands for, where its locality has one, or its state for a long beginning.
+    Place and beginning of the name are joined as one hash."""
+    begins = [F.when(F.col("loc").isNotNull(), F.xxhash64("loc", F.substring("flat", 1, 16))), F.when(F.length("flat") >= 24, F.xxhash64("region", F.substring("flat", 1, 22)))]
+    some = own.where(F.length("flat") >= 16).select("nid", "flat", "last", "cut", F.explode(F.array_compact(F.array(*begins))).alias("key"))
+    cut = some.where("cut").select("key", F.col("nid"), F.substring("flat", F.lit(1), F.length("flat") - F.length("last")).alias("base"), "last").distinct()
+    keys = cut.select("key").distinct()
+    full = some.where("not cut").join(keys, "key", "left_semi").groupBy("key", F.col("nid").alias("best")).agg(F.first("flat").alias("flat"), F.count(F.lit(1)).alias("n"))
+    j = cut.join(full, "key").where((F.col("nid") != F.col("best")) & F.startswith("flat", "base"))
     rest = F.expr("substring(flat, length(base) + 1)")
     legal = F.exists(F.array(*[F.lit(x) for x in sorted(LEGAL)]), lambda w: F.startswith(w, F.col("last")))
     ok = j.where(F.when((F.col("last") == "") | (rest == ""), ((F.col("last") == "") & (rest != "")) | ((F.col("last") != "") & legal)).otherwise(F.startswith(rest, F.col("last"))))
-    best = F.max_by(F.struct(*NAME), F.struct("n", -F.length("flat"), "flat")).alias("b")
-    return ok.groupBy("form").agg(best).select("form", "b.*")
+    return ok.groupBy("nid").agg(F.max_by("best", F.struct("n", -F.length("flat"), "flat")).alias("best"))
 
 
 def _letters(c: Column) -> Column:
@@ -145,16 +147,16 @@ def corrected(names: DataFrame, blocks: DataFrame) -> DataFrame:
     """(nid, best): the best supported name that is reached from a name over neighbours, where it isn't the name itself.
 
     names: (nid, cores, turned, n), a name in a state with the orders its core is written in and its number of records
-    everywhere. blocks: (block, nid, sure), sure where names in the block share a house number: there up to three edits
-    may lie between them, elsewhere one (or two letters that changed places), and none in cores of under five letters.
+    everywhere. blocks: (block, nid, sure), sure where names in the block share a house number: there two edits may lie
+    between them (two letters that changed places are one), elsewhere one, and none in cores of under five letters.
     """
+    blocks = keep(blocks.groupBy("block", "nid").agg(F.max("sure").alias("sure")), "blocks")
     several = blocks.groupBy("block").agg((F.min("nid") != F.max("nid")).alias("several")).where("several").select("block")
-    at = blocks.join(several, "block").distinct().join(names.select("nid", F.explode("cores").alias("core")), "nid")
-    at = keep(at.where("length(core) > 2"), "blocks")
-    key = F.xxhash64("block", "key").alias("key")
-    # what is shuffled by key are hashes only; found pairs fetch their letters
-    index = at.select("block", "nid", F.explode(_index("core", "sure")).alias("key")).select(key, F.col("nid").alias("to_id"))
-    probe = at.select("block", "sure", "nid", F.explode(_probe("core", "sure")).alias("key")).select(key, "sure", "nid")
+    at = blocks.join(several, "block")
+    # what is shuffled by key are hashes only, and found pairs fetch their letters
+    keyed = keep(at.join(names.select("nid", "cores"), "nid").select("block", "sure", "nid", F.explode("cores").alias("core")).where("length(core) > 2"), "keyed")
+    index = keyed.select("block", "nid", F.explode(_index("core", "sure")).alias("key")).select(F.xxhash64("block", "key").alias("key"), F.col("nid").alias("to_id"))
+    probe = keyed.select("block", "sure", "nid", F.explode(_probe("core", "sure")).alias("key")).select(F.xxhash64("block", "key").alias("key"), "sure", "nid")
     pairs = probe.join(index, "key").where("nid != to_id").groupBy("nid", "to_id").agg(F.max("sure").alias("sure"))
     j = pairs.join(names, "nid").join(names.select(F.col("nid").alias("to_id"), F.col("cores").alias("to_cores"), F.col("turned").alias("to"), F.col("n").alias("to_n")), "to_id")
     j = j.where(F.struct("to_n", "to", "to_id") > F.struct("n", "turned", "nid"))
@@ -173,77 +175,79 @@ def corrected(names: DataFrame, blocks: DataFrame) -> DataFrame:
             return step
 
 
-def state_names(forms: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(form, name, kind, best, region, loc, own): name, the id of the name that a form shows in its state, after correction; kind
-    and best, hashes of its usual words and of its core; own: it has no core but the town's. forms: form, cut, flat, last, FORM, n,
-    loc, near, region; numbers: (form, number) of its records."""
-    whole = completed(forms)
-    rest = ["form", "n", "loc", "near", "region", "town"]
-    f = forms.select(*rest, *NAME).alias("f").join(whole.alias("w"), "form", "left").select(*rest, *[F.coalesce(f"w.{c}", f"f.{c}").alias(c) for c in NAME])
-    f = f.withColumn("kind", F.xxhash64("short", "nums")).withColumn("nid", F.xxhash64("short", "nums", "turned", "region"))
-    f = f.withColumn("own", (F.col("core") == "") | F.contains("town", "core")).withColumn("plain", F.col("usual") == F.col("short")).drop("short", "nums", "town")
-    f = keep(f, "whole-names")
-    written = F.concat_ws("\x1f", F.array_distinct(F.array("core", "ordered")))
-    names = f.groupBy("nid").agg(F.collect_set(written).alias("w"), F.first("kind").alias("kind"), F.first("turned").alias("turned"), F.sum("n").alias("here"))
-    every = names.groupBy("kind", "turned").agg(F.sum("here").alias("n"))
-    names = names.join(every, ["kind", "turned"]).select("nid", F.array_distinct(F.flatten(F.transform("w", lambda x: F.split(x, "\x1f")))).alias("cores"), "turned", "n")
-    names = keep(names, "state-names")
-    near = f.select(F.explode("near").alias("at"), "nid", "kind").select(F.xxhash64("at", "kind").alias("block"), "nid", F.lit(False).alias("sure"))
-    lost = f.where("loc is null").select(F.xxhash64("region", "kind").alias("block"), "nid", F.lit(False).alias("sure"))
-    doors = f.select("form", "nid", "kind", "region").join(numbers, "form").select(F.xxhash64("number", "kind", "region").alias("block"), "nid", F.lit(True).alias("sure"))
-    right = corrected(names, near.unionByName(lost).unionByName(doors))
-    # from here on hashes stand for strings that are only told apart
-    to = names.select(F.col("nid").alias("best"), F.xxhash64("turned").alias("better"))
-    right = right.join(to, "best").select("nid", "better")
-    f = f.select("form", "n", "nid", "kind", "region", "loc", "own", "plain", F.xxhash64("turned").alias("as_is"), F.xxhash64("usual").alias("usual"), "initials")
-    f = f.join(right, "nid", "left").withColumn("best", F.coalesce("better", "as_is")).withColumn("g", F.xxhash64("kind", "region", "best")).drop("nid", "better", "as_is").repartition("g")
-
-    def top(value: str, where: Column, *also: str) -> Column:
-        """The commonest value among the names of the same town, or else of the state."""
-        most = F.max(F.when(where, F.struct("n", value)))
-        return F.coalesce(*[most.over(Window.partitionBy("g", *also, *at))[value] for at in (["loc"], [])])
+def state_names(own: DataFrame) -> DataFrame:
+    """own with name, the id of the name that a record shows in its state, after completion and correction, and kind and best, hashes of
+    the usual words and of the core of that name. own: the records with the parts of their names, nid, loc, near, region."""
+    written = F.concat_ws("\x1f", "core", F.when(F.col("ordered") != "", F.col("ordered")))
+    names = own.groupBy("nid").agg(F.collect_set(written).alias("w"), F.first("turned").alias("turned"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n"),
+                                   *[F.max(F.struct(c, F.lit(0)))[c].alias(c) for c in ("usual", "short", "initials")])
+    names = keep(names.withColumn("cores", F.array_distinct(F.flatten(F.transform("w", lambda x: F.split(x, "\x1f"))))).drop("w"), "state-names")
+    door = F.transform("numbers", lambda x: F.struct(F.xxhash64(x, "kind", "region").alias("block"), F.lit(True).alias("sure")))
+    near = F.transform("near", lambda x: F.struct(F.xxhash64(x, "kind").alias("block"), F.lit(False).alias("sure")))
+    lost = F.when(F.col("loc").isNull(), F.array(F.struct(F.xxhash64("region", "kind").alias("block"), F.lit(False).alias("sure")))).otherwise(F.array().cast("array<struct<block bigint, sure boolean>>"))
+    blocks = own.select("nid", F.explode(F.concat(near, lost, door)).alias("b")).select("b.block", "nid", "b.sure")
+    whole = keep(completed(own), "completed")
+    right = corrected(names.select("nid", "cores", "turned", "n"), blocks)
+    # a completed name may be misspelt, or a misspelt one cut off: completion counts first
+    right = whole.alias("w").join(right.alias("r"), F.col("w.best") == F.col("r.nid"), "left").select("w.nid", F.coalesce("r.best", "w.best").alias("best")).unionByName(right.join(whole, "nid", "left_anti"))
+    to = names.select(F.col("nid").alias("best"), F.xxhash64("turned").alias("better"), F.col("kind").alias("new_kind"), F.col("usual").alias("new_usual"), F.col("short").alias("new_short"), F.col("initials").alias("new_initials"))
+    right = right.join(to, "best").join(whole.select("nid", F.lit(True).alias("completed")), "nid", "left").drop("best")
+    f = own.select("rec", "owner", "raw", "side", "numbers", "other_loc", "loc", "region", "nid", "kind", "towns_own", "usual", "short", "initials", F.xxhash64("turned").alias("as_is")).join(right, "nid", "left")
+    whole_now = lambda c: F.when(F.col("completed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    f = f.select("rec", "owner", "raw", "side", "numbers", "other_loc", "loc", "region", "towns_own", F.coalesce("new_kind", "kind").alias("kind"), F.coalesce("better", "as_is").alias("best"), *[whole_now(c) for c in ("usual", "short", "initials")])
+    # from here on hashes stand for strings that are only told apart; a person's name has a given name or an initial
+    f = f.withColumns({"g": F.xxhash64("kind", "region", "best"), "plain": F.col("usual") == F.col("short"), "person": F.rlike("short", F.lit("[\u0400-\u04ff]"))})
+    f = keep(f.withColumn("usual", F.xxhash64("usual")).drop("short"), "corrected-names")
+    rest = f.where("not person").withColumn("name", F.xxhash64("g", "usual", "initials")).drop("g", "usual", "initials", "plain", "person")
+    p = f.where("person").drop("person")
+
+    def filled(df: DataFrame, value: str, is_known: Column, by: list[str]) -> DataFrame:
+        """df with value taken over, where it isn't known, from the commonest known one of the same name in its town, or else in its state."""
+        seen = df.where(is_known).groupBy(*by, "loc", value).agg(F.count(F.lit(1)).alias("k"))
+        in_town = seen.groupBy(*by, "loc").agg(F.max(F.struct("k", value))[value].alias("in_town"))
+        in_state = seen.groupBy(*by, value).agg(F.sum("k").alias("k")).groupBy(*by).agg(F.max(F.struct("k", value))[value].alias("in_state"))
+        open_ = df.where(~is_known).join(in_town, [*by, "loc"], "left").join(in_state, by, "left").withColumn(value, F.coalesce("in_town", "in_state", value)).drop("in_town", "in_state")
+        return df.where(is_known).unionByName(open_)
 
     # a given name's mere initial joins the commonest full name it can stand for, a name without initials the commonest with them
-    f = f.withColumn("usual1", F.when(F.col("plain"), F.coalesce(top("usual", ~F.col("plain")), "usual")).otherwise(F.col("usual")))
-    f = f.withColumn("initials1", F.when(F.col("initials") != "", F.col("initials")).otherwise(F.coalesce(top("initials", F.col("initials") != "", "usual1"), F.lit(""))))
-    return f.select("form", F.xxhash64("g", "usual1", "initials1").alias("name"), "kind", "best", "region", "loc", "own")
+    p = filled(p, "usual", ~F.col("plain"), ["g"])
+    p = filled(p, "initials", F.col("initials") != "", ["g", "usual"])
+    return rest.unionByName(p.withColumn("name", F.xxhash64("g", "usual", "initials")).drop("g", "usual", "initials", "plain"))
 
 
-def namesakes(names: DataFrame) -> DataFrame:
-    """(name, expected): how many other towns of its state would hold a name if its core and its usual words were independent,
-    by all other names. names: (name, kind, best, region, loc)."""
+def namesakes(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, expected) of the wanted names: how many other towns of its state would hold a name if its core and its usual words
+    were independent, by all other names. names: (name, kind, best, region, loc)."""
     held = keep(names.select("name", "kind", "best", "region", "loc").distinct(), "held")
     every = held.agg(F.count(F.lit(1)).alias("every"))  # one row is broadcast
-    per = {c: held.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias(f"{c}_n")) for c in ("kind", "best", "region")}
-    out = held.groupBy("name").agg(*[F.first(c).alias(c) for c in per], F.count(F.lit(1)).alias("own"))
-    for c, counts in per.items():
-        out = out.join(counts, c)
+    out = held.join(wanted.select("name"), "name").groupBy("name").agg(*[F.first(c).alias(c) for c in ("kind", "best", "region")], F.count(F.lit(1)).alias("own"))
+    for c in ("kind", "best", "region"):
+        out = out.join(held.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias(f"{c}_n")), c)
     others = [F.col(f"{c}_n") - F.col("own") for c in ("kind", "best")]
     return out.join(F.broadcast(every)).select("name", (others[0] * others[1] * F.col("region_n") / F.col("every") / F.col("every")).alias("expected"))
 
 
-def told_apart(own: DataFrame, names: DataFrame, towns: DataFrame) -> DataFrame:
-    """(rec, org) of the records own (rec, owner, side, form, numbers, other_zip): the names of a state, divided into organisations.
+def told_apart(named: DataFrame) -> DataFrame:
+    """(rec, owner, raw, org) of the records with their names in a state (what state_names gives), divided into organisations.
 
-    names: what state_names gives; towns: (zip, zip_loc). A name in one town that isn't the town's own is one organisation;
-    the records of other names are clustered by what they share. Two clusters are joined where each is known to one source
-    only and to another one, and either the name is the town's own or few namesakes are expected.
+    A name in one town that isn't the town's own is one organisation; the records of other names are clustered by what they
+    share. Two clusters are joined where each is known to one source only and to another one, and either the name is the
+    town's own or few namesakes are expected.
     """
-    per = names.groupBy("name").agg(F.min("loc").alias("a"), F.max("loc").alias("z"), F.count(F.when(F.col("loc").isNull(), 1)).alias("lost"), F.max("own").alias("towns_own"))
-    per = keep(per.where((F.col("a") != F.col("z")) | (F.col("lost") > 0) | F.col("towns_own")).select("name", "towns_own"), "open-names")
-    at = names.select("form", "name", "loc").join(per, "name", "left")
-    r = keep(own.join(at, "form").select("rec", "owner", "side", "name", "towns_own", "loc", "numbers", "other_zip"), "named-records")
-    some = r.where(F.col("towns_own").isNotNull()).withColumn("v", F.xxhash64("name", "owner")).join(F.broadcast(towns.select(F.col("zip").alias("other_zip"), F.col("zip_loc").alias("other_loc"))), "other_zip", "left")
+    per = named.groupBy("name").agg(F.min("loc").alias("a"), F.max("loc").alias("z"), F.count(F.when(F.col("loc").isNull(), 1)).alias("lost"), F.max("towns_own").alias("towns_own"))
+    per = per.where((F.col("a") != F.col("z")) | (F.col("lost") > 0) | F.col("towns_own")).select("name", "towns_own")
+    r = keep(named.select("rec", "owner", "raw", "side", "name", "loc", "other_loc", "numbers").join(per, "name", "left"), "named-records")
+    closed = r.where(F.col("towns_own").isNull()).select("rec", "owner", "raw", F.col("name").alias("org"))
+    some = r.where(F.col("towns_own").isNotNull()).withColumn("v", F.xxhash64("name", "owner"))
     in_towns = F.when(F.col("towns_own"), F.array().cast("array<bigint>")).otherwise(F.array_compact(F.array("loc", "other_loc")))
     keys = F.concat(F.transform("numbers", lambda x: F.xxhash64("name", F.lit("at"), x)), F.transform(in_towns, lambda x: F.xxhash64("name", F.lit("in"), x)))
-    comp = keep(components(some.select("v", F.explode_outer(keys).alias("key"))), "clusters")
-    known = some.select("v", "name", "side", "towns_own").distinct().join(comp, "v")
-    by_comp = known.groupBy("name", "comp").agg(F.min("side").alias("side"), F.max("side").alias("other"), F.max("towns_own").alias("towns_own"))
+    clustered = keep(some.join(components(some.select("v", F.explode_outer(keys).alias("key"))), "v").select("rec", "owner", "raw", "side", "name", "towns_own", "comp"), "clusters")
+    by_comp = clustered.groupBy("name", "comp").agg(F.min("side").alias("side"), F.max("side").alias("other"), F.max("towns_own").alias("towns_own"))
     pairs = by_comp.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("side").alias("s"), F.max("side").alias("t"), F.count(F.when(F.col("side") != F.col("other"), 1)).alias("mixed"), F.max("towns_own").alias("towns_own"))
-    pairs = pairs.where("k = 2 and mixed = 0 and s != t").select("name", "towns_own")
-    joined = pairs.join(namesakes(names), "name").where(F.col("towns_own") | (F.col("expected") <= MOST_NAMESAKES)).select("name", F.lit(True).alias("one"))
-    org = r.withColumn("v", F.when(F.col("towns_own").isNotNull(), F.xxhash64("name", "owner"))).join(comp, "v", "left").join(joined, "name", "left")
-    return org.select("rec", F.when(F.col("comp").isNull() | F.col("one"), F.xxhash64("name")).otherwise(F.xxhash64("name", "comp")).alias("org"))
+    pairs = keep(pairs.where("k = 2 and mixed = 0 and s != t").select("name", "towns_own"), "two-clusters")
+    joined = pairs.join(namesakes(named, pairs), "name").where(F.col("towns_own") | (F.col("expected") <= MOST_NAMESAKES)).select("name", F.lit(True).alias("one"))
+    split = clustered.join(joined, "name", "left").select("rec", "owner", "raw", F.when(F.col("one"), F.col("name")).otherwise(F.xxhash64("name", "comp")).alias("org"))
+    return closed.unionByName(split)
 
 
 def named(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:
@@ -254,18 +258,12 @@ def named(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame
     already has. cut_at: side -> width at which it cuts names off; learned where not given. Null and blank names are left out.
     """
     records = records.withColumns({c: F.lit(None).cast(t) for c, t in _OTHER.items() if c not in records.columns})
-    own = parsed(records.withColumn("side", F.coalesce("side", F.lit(""))), cut_at)
-    flat = F.concat("base", "last").alias("flat")
-    own = own.select("rec", "owner", "raw", "side", "numbers", "other_zip", "cut", flat, "last", *FORM)
-    own = keep(own.withColumn("form", F.xxhash64(*FORM, F.when(F.col("cut"), F.col("flat")))), "names")
-    # as one string the parts take a third of the room while they are shuffled
-    parts = ["flat", "last", *FORM]
-    packed = own.select("form", "cut", F.concat_ws("\x1f", *parts).alias("p")).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("cut").alias("cut"), F.first("p").alias("p"))
-    forms = packed.select("form", "n", "cut", F.split("p", "\x1f").alias("p")).select("form", "n", "cut", *[F.col("p")[i].alias(c) for i, c in enumerate(parts)])
-    placed, towns = localised(forms, own.groupBy("zip", "town", "state").agg(F.count(F.lit(1)).alias("n")))
-    names = keep(state_names(keep(placed, "name-forms"), own.select("form", F.explode("numbers").alias("number")).distinct()), "form-names")
-    slim = own.select("rec", "owner", "side", "form", "numbers", "other_zip")
-    return own.select("rec", "owner", "raw").join(told_apart(slim, names, towns), "rec")
+    own = keep(parsed(records.withColumn("side", F.coalesce("side", F.lit(""))), cut_at), "names")
+    own = localised(own).withColumns({
+        "flat": F.concat("base", "last"), "kind": F.xxhash64("short", "nums"), "nid": F.xxhash64("short", "nums", "turned", "region"),
+        "towns_own": (F.col("core") == "") | F.contains("town", "core"),
+    }).drop("zip", "town", "state", "base")
+    return told_apart(keep(state_names(own), "names-in-state"))
 
 
 def same_name(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:

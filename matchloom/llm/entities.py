@@ -1,9 +1,9 @@
 """Problem 5: registrations and registry entries of the same organisation, without a common key.
 
-Both sides are reduced to distinct profiles (the parts of a name with the parts of an address). Candidates come from
-MinHash signatures of the names, banded and blocked by town, and by the whole signature within a state, and from MinHash
-bands of the streets with an equal number within a state; names and addresses are compared by features that Spark computes itself; a logistic classifier learns them from weak labels, and its
-probabilities are calibrated on hand labels.
+Both sides are reduced to distinct names in their towns. Candidates share a key of MinHash signatures across the attributes:
+a band of the name's signature in a town, the whole signature in a state, or one minimum of it with a house number in
+a state. Names are compared once for each pair of names, owners by what their addresses share; a logistic classifier learns
+these features from weak and hand labels, and its probabilities are calibrated on hand labels that it hasn't seen.
 """
 
 from __future__ import annotations
@@ -11,28 +11,27 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..runtime import drop, keep
-from .addresses import state, street, town, zip5
-from .names import name_form
+from .spellings import _distance, localised, parsed
 from .subjects import _platt
 
-BANDS, ROWS = 12, 2
-#: Bands of a street's signature.
-STREET_BANDS = 6
-#: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for its calibration.
+#: Bands of a name's signature in a town and minima of each; minima looked up with a house number.
+BANDS, ROWS, WITH_NUMBER = 6, 2, 4
+#: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for it and its calibration.
 SAMPLE, HAND_SAMPLE = 20_000, 50_000
-#: The parts of a profile, which travel as one string.
-PARTS = ["usual", "short", "nums", "core", "sorted", "initials", "kind", "num", "street", "zip", "town", "state"]
 _SEP = "\x1f"
 _PRIME = (1 << 31) - 1
-BASE = ["same_words", "word_overlap", "number_conflict", "same_numbers", "core_likeness", "core_equal", "initial_conflict", "same_zip", "same_town", "same_state", "same_street", "other_street", "commonness"]
-FEATURES = [*BASE, "name", "name_street", "name_town", "name_state", "name_common"]
+#: How alike two names are: equal but for one edit; near (NEAR of the letters); the same core with most of the usual words
+#: (WORDS of them); or neither.
+NEAR, WORDS = 0.7, 0.6
+ALIKE = ("equal", "near", "words")
+CELLS = [f"{name}_{place}" for name in ALIKE for place in ("number", "town", "towns_own", "far")]
+FEATURES = ["word_overlap", "same_zip", "same_state", *CELLS, *[f"{c}_rival" for c in CELLS if not c.endswith("number")], "far_namesakes"]
 
 
 def _hashers() -> tuple[np.ndarray, np.ndarray]:
@@ -40,173 +39,128 @@ def _hashers() -> tuple[np.ndarray, np.ndarray]:
     return r.randint(1, _PRIME, BANDS * ROWS).astype(np.int64), r.randint(0, _PRIME, BANDS * ROWS).astype(np.int64)
 
 
-def _minima(grams: set[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def minima(core: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The MinHash minima over the pairs of letters of a name's core, the last and the first being neighbours."""
+    grams = {core[i : i + 2] for i in range(len(core) - 1)} | {core[-1:] + core[:1]}
     h = np.fromiter((zlib.crc32(g.encode()) & _PRIME for g in grams), dtype=np.int64, count=len(grams))
-    return ((h[:, None] % _PRIME) * a + b).__mod__(_PRIME).min(axis=0) if len(h) else np.zeros(len(a), np.int64)
+    return ((h[:, None] % _PRIME) * a + b).__mod__(_PRIME).min(axis=0)
 
 
-def _banded(low: np.ndarray) -> list[int]:
-    return [zlib.crc32(low[i : i + ROWS].tobytes(), i // ROWS) for i in range(0, len(low), ROWS)]
-
-
-def _pairs_of_letters(word: str) -> set[str]:
-    text = f"^{word}$"
-    return {text[i : i + 2] for i in range(len(text) - 1)}
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def street_signature(streets: pd.Series) -> pd.Series:
-    """STREET_BANDS hashes of ROWS minima each over the street's pairs of letters."""
-    a, b = (x[: STREET_BANDS * ROWS] for x in _hashers())
-    known = {s: _banded(_minima(_pairs_of_letters(s), a, b)) for s in streets.unique()}
-    return streets.map(known)
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def signature(short: pd.Series, nums: pd.Series, core: pd.Series) -> pd.Series:
-    """BANDS hashes of ROWS minima each over the name's shingles (two letters of the core, usual words, numbers), and a
-    last one of all minima together."""
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def signature(cores: pa.Array) -> pa.Array:
+    """BANDS hashes of ROWS minima each, then WITH_NUMBER single minima."""
     a, b = _hashers()
-    out = []
-    for w, n, c in zip(short, nums, core):
-        low = _minima(_pairs_of_letters(c) | set(w) | {f"#{x}" for x in n.split()}, a, b)
-        out.append([*_banded(low), (zlib.adler32(low.tobytes()) & 0x7FFFFFFF) << 32 | zlib.crc32(low.tobytes())])
-    return pd.Series(out)
-
-
-def part(packed, name: str):
-    return F.split(F.col(packed) if isinstance(packed, str) else packed, _SEP)[PARTS.index(name)]
-
-
-def profiles(records: DataFrame) -> DataFrame:
-    """Distinct (owner, parts) of records (owner, forms), forms an array of (name, line, second, city, region, postcode): each
-    name and each address of a record is taken apart once. Records with a null owner and forms without a name are left
-    out; a missing address leaves its parts ''. Control characters count as blanks."""
-
-    # one string goes to Python and one comes back: nested values would cost more than the parsing
-    text = lambda c: F.translate(F.coalesce(c, F.lit("")), "\x1d\x1e\x1f", "   ")
-    fields = ("line", "second", "city", "region", "postcode")
-    sent = F.concat_ws("\x1d", F.array_join(F.transform("names", text), "\x1e"), F.array_join(F.transform("places", lambda p: F.concat_ws("\x1f", *[text(p[f]) for f in fields])), "\x1e"),
-                       F.array_join(F.transform("forms", lambda f: F.concat(f[0], F.lit("."), f[1])), " "))
-
-    @F.pandas_udf(T.StringType())
-    def packed(rows: pd.Series) -> pd.Series:
-        out, towns = [], {}
-        for row in rows:
-            own, at, pairs = row.split("\x1d")
-            taken = [name_form(n) for n in own.split("\x1e")]
-            address = []
-            for x in at.split("\x1e"):
-                a, b, c, d, e = x.split("\x1f")
-                if c not in towns:
-                    towns[c] = town(c)
-                kind, num, road, _, _, _ = street(a, b) if a else ("",) * 6
-                address.append((kind, num, road, zip5(e), towns[c], state(d)))
-            found = {}
-            for pair in pairs.split():
-                i, j = pair.split(".")
-                usual, short, nums, core, by_word, initials, _, _ = taken[int(i)]
-                if usual or nums or core:
-                    found[_SEP.join((usual, short, nums, core, by_word, initials, *address[int(j)]))] = None
-            out.append("\x1e".join(found))
-        return pd.Series(out)
-
-    some = records.where(F.col("owner").isNotNull()).select("owner", packed(sent).alias("p")).where("p != ''")
-    return some.select("owner", F.explode(F.split("p", "\x1e")).alias("parts")).distinct()
-
-
-def _located(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with nid, a hash of the name's parts, loc, a hash of the usual town of the postal code or else of the own
-    town (null without either), and region, the own state or else the usual one of the postal code ('' if unknown). There
-    are at most 100,000 postal codes: their towns are broadcast."""
-    get = lambda df: df.select(*[part("parts", c).alias(c) for c in ("zip", "town", "state")])
-    counts = get(left).unionByName(get(right)).where("zip != ''").groupBy("zip", "town", "state").agg(F.count(F.lit(1)).alias("n"))
-    known = F.when((F.col("town") != "") & (F.col("state") != ""), F.struct("n", "town", "state"))
-    regional = F.when(F.col("state") != "", F.struct("n", "state"))
-    by_zip = counts.groupBy("zip").agg(F.max(known).alias("m"), F.max(regional).alias("r"))
-    by_zip = keep(by_zip.select("zip", F.when(F.col("m").isNotNull(), F.xxhash64("m.town", "m.state")).alias("zip_loc"), F.col("r.state").alias("zip_state")), "zips")
-
-    def one(df: DataFrame) -> DataFrame:
-        j = df.withColumn("zip", part("parts", "zip")).join(F.broadcast(by_zip), "zip", "left")
-        place, own_state = part("parts", "town"), part("parts", "state")
-        loc = F.coalesce("zip_loc", F.when(place != "", F.xxhash64(place, own_state)))
-        region = F.when(own_state != "", own_state).otherwise(F.coalesce("zip_state", F.lit("")))
-        name = F.xxhash64(*[part("parts", c) for c in PARTS[:6]])
-        # town and state have done their part: the region takes their place
-        kept = F.concat_ws(_SEP, F.slice(F.split("parts", _SEP), 1, len(PARTS) - 2), region).alias("parts")
-        return j.select("owner", kept, name.alias("nid"), loc.alias("loc"), region.alias("region"))
-
-    return one(left), one(right)
-
-
-def _occurrences(df: DataFrame) -> DataFrame:
-    """(o, towns, keys): names in their localities, o a hash of both, with the keys under which they are looked up: the bands
-    of the signature in the town, the whole signature in the state, and the bands of their streets with the number in the
-    state (boxes by town, where it is known). towns: in how many towns of the state the name is."""
-    own = df.select("nid", "loc", "region", *[part("parts", c).alias(c) for c in ("short", "nums", "core", "kind", "num", "street")])
-    o = F.xxhash64("nid", "loc", "region").alias("o")
-    one = own.groupBy(o).agg(*[F.first(c).alias(c) for c in ("loc", "region", "short", "nums", "core")])
-    same = Window.partitionBy(F.xxhash64("short", "nums", "core", "region"))
-    one = one.withColumn("towns", F.greatest(F.lit(1), F.size(F.collect_set("loc").over(same))))
-    one = one.withColumn("sig", signature("short", "nums", "core"))
-    none = F.array().cast("array<bigint>")
-    near = F.when(F.col("loc").isNotNull(), F.transform(F.slice("sig", 1, BANDS), lambda x, i: F.xxhash64(i, x, F.col("loc")))).otherwise(none)
-    far = F.when(F.col("region") != "", F.array(F.xxhash64(F.element_at("sig", -1), "region"))).otherwise(none)
-    named = one.select("o", "towns", F.explode(F.concat(near, far)).alias("key"))
-    at = own.where("num != '' and (region != '' or loc is not null)").select(o, "kind", "num", "street", "region", "loc").distinct()
-    where = F.when((F.col("region") == "") | ((F.col("street") == "") & F.col("loc").isNotNull()), F.col("loc").cast("string")).otherwise(F.col("region"))
-    bands = F.when(F.col("street") == "", F.slice(street_signature("street"), 1, 1)).otherwise(street_signature("street"))
-    at = at.select("o", F.explode(F.transform(bands, lambda x, i: F.xxhash64(F.lit("at"), i, x, "kind", "num", where))).alias("key")).distinct()
-    return named.unionByName(at.join(one.select("o", "towns"), "o"))
-
-
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lo, ro, towns): pairs of occurrences that share a key: a band of the name's signature in a town, the whole signature
-    in a state, or a band of the street's signature with the number. How common a name is is left to the classifier."""
-    found = left.select("key", F.col("o").alias("lo")).join(right.withColumnRenamed("o", "ro"), "key")
-    return found.select("lo", "ro", "towns").distinct()
-
-
-def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """BASE of each pair of profiles of the candidate occurrences, with the owners, as numbers from 0 to 1."""
-    o = F.xxhash64("nid", "loc", "region")
-    l = left.select(o.alias("lo"), F.col("owner").alias("left_key"), F.col("parts").alias("a_parts"), F.col("loc").alias("a_loc"))  # noqa: E741
-    r = right.select(o.alias("ro"), F.col("owner").alias("right_key"), F.col("parts").alias("b_parts"), F.col("loc").alias("b_loc"))
-    p = pairs.join(l, "lo").join(r, "ro")
-    p = p.withColumn("pa", F.split("a_parts", _SEP)).withColumn("pb", F.split("b_parts", _SEP))
-    places = [*PARTS[:-2], "region"]
-    at = lambda side, c: F.col(f"{side}_{c}") if c == "loc" else F.col(f"p{side}")[places.index(c)]
-    a, b = (lambda c: at("a", c)), (lambda c: at("b", c))
-    num = lambda cond: F.when(cond, 1.0).otherwise(0.0)
-    both = lambda c: (a(c) != "") & (b(c) != "")
-    words = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    shared, union = F.size(F.array_intersect(words(a("short")), words(b("short")))), F.size(F.array_union(words(a("short")), words(b("short"))))
-    same_words = (a("usual") == b("usual")) | ((a("short") == b("short")) & ((a("usual") == a("short")) | (b("usual") == b("short"))))
-    longest = F.greatest(F.length(a("core")), F.length(b("core")))
-    turned = (a("core") == b("core")) | (a("sorted") == b("sorted"))
-    likeness = F.when(turned, 1.0).otherwise(1 - F.levenshtein(a("core"), b("core")) / longest)
-    near_street = (a("num") == b("num")) & (F.levenshtein(a("street"), b("street"), 2) >= 0) & (a("kind") == b("kind")) & (a("num") != "")
-    return p.select(
-        "left_key", "right_key", num(same_words).alias("same_words"), F.when(a("short") == b("short"), 1.0).otherwise(F.when(union == 0, 1.0).otherwise(shared / union)).alias("word_overlap"),
-        num(a("nums") != b("nums")).alias("number_conflict"), num(both("nums") & (a("nums") == b("nums"))).alias("same_numbers"),
-        likeness.alias("core_likeness"), num(turned).alias("core_equal"), num(both("initials") & (a("initials") != b("initials"))).alias("initial_conflict"),
-        num(both("zip") & (a("zip") == b("zip"))).alias("same_zip"), num(a("loc") == b("loc")).alias("same_town"), num(both("region") & (a("region") == b("region"))).alias("same_state"),
-        num(near_street).alias("same_street"), num(both("num") & ~near_street).alias("other_street"), F.least(F.lit(1.0), F.log1p(F.col("towns") - 1.0) / 5).alias("commonness"),
-    )
-
-
-def derived(p: DataFrame) -> DataFrame:
-    """Adds what the names say together, alone and with each geographic agreement."""
-    name = F.col("same_words") * (1 - F.col("number_conflict")) * (1 - F.col("initial_conflict")) * F.when(F.col("core_likeness") >= 0.75, 1.0).otherwise(0.0)
-    p = p.withColumn("name", name)
-    return p.withColumns({"name_street": F.col("name") * F.col("same_street"), "name_town": F.col("name") * F.col("same_town"), "name_state": F.col("name") * F.col("same_state"), "name_common": F.col("name") * F.col("commonness") * (1 - F.col("same_street"))})
-
-
-def weak_label():
-    """1 where names agree wholly and so does the street; 0 where the kind of body, a number or the core differs; else null."""
-    sure = (F.col("name") == 1) & (F.col("core_equal") == 1) & (F.col("same_street") == 1)
-    never = (F.col("same_words") == 0) & (F.col("word_overlap") < 1) | (F.col("number_conflict") == 1) | (F.col("core_likeness") < 0.6)
-    return F.when(sure, 1.0).when(never, 0.0)
+    out = np.empty((len(cores), BANDS + WITH_NUMBER), dtype=np.int64)
+    for k, core in enumerate(cores.to_pylist()):
+        low = minima(core, a, b)
+        out[k, :BANDS] = [zlib.crc32(low[i : i + ROWS].tobytes(), i // ROWS) for i in range(0, BANDS * ROWS, ROWS)]
+        out[k, BANDS:] = low[:WITH_NUMBER]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+
+
+def profiles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct (side, key, o, nid, core, ordered, short, usual, nums, initials, loc, other_loc, region, zip, numbers, towns_own) of the records of both
+    sides; o is a name in its town. Records with a null key and those without a name are left out."""
+    def records(df: DataFrame, side: str) -> DataFrame:
+        text = ["name", "city", "region", "postcode", "line", "other_line", "other_postcode"]
+        own = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in text]
+        return df.where(F.col("owner").isNotNull()).select(F.lit("").alias("rec"), "owner", F.col("owner").alias("key"), F.lit(side).alias("side"), *own)
+
+    both = records(left, "left").unionByName(records(right, "right"))
+    own = keep(parsed(both, None, ("key",)).drop("rec", "raw", "owner").withColumn("rec", F.xxhash64("key", "turned").cast("string")).distinct(), "profiles")
+    f = localised(own).withColumn("nid", F.xxhash64("short", "nums", "turned", "region", F.when(F.col("cut"), F.col("last"))))
+    f = f.withColumns({"o": F.xxhash64("nid", "loc"), "kind": F.xxhash64("short", "nums"), "is_left": F.col("side") == F.xxhash64(F.lit("left")), "towns_own": (F.col("core") == "") | F.contains("town", "core")})
+    return f.select("is_left", "key", "o", "nid", "kind", "usual", "short", "nums", "core", "ordered", "turned", "initials", "base", "last", "cut", "loc", "other_loc", "region", "zip", "numbers", "towns_own")
+
+
+def candidates(p: DataFrame) -> DataFrame:
+    """(lo, ro): pairs of names in towns, one of each side, that share a key. Names with different numbers share none; a name
+    without a core is looked up by its usual words."""
+    said = F.when(F.col("turned") != "", F.col("turned")).otherwise(F.col("short"))
+    names = p.groupBy(said.alias("said")).agg(F.lit(1)).select("said", signature("said").alias("sig"))
+    at = p.select("is_left", "o", "nid", said.alias("said"), "loc", "other_loc", "region", "numbers", F.xxhash64("nums").alias("nums")).distinct().join(keep(names, "signatures"), "said")
+    towns = F.array_distinct(F.array_compact(F.array("loc", "other_loc")))
+    near = F.flatten(F.transform(towns, lambda t: F.transform(F.slice("sig", 1, BANDS), lambda x, i: F.xxhash64(F.lit("in"), i, x, t, F.col("nums")))))
+    far = F.when(F.col("region") != "", F.array(F.xxhash64(F.lit("of"), "nid"))).otherwise(F.array().cast("array<bigint>"))
+    door = F.flatten(F.transform("numbers", lambda n: F.transform(F.slice("sig", BANDS + 1, WITH_NUMBER), lambda x, i: F.xxhash64(F.lit("at"), i, x, n, F.col("region"), F.col("nums")))))
+    keys = keep(at.select("is_left", "o", F.explode(F.concat(near, far, door)).alias("key")).distinct(), "keys")
+    l, r = keys.where("is_left").select("key", F.col("o").alias("lo")), keys.where("not is_left").select("key", F.col("o").alias("ro"))  # noqa: E741
+    return l.join(r, "key").select("lo", "ro").distinct()
+
+
+def names_compared(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """(lo, ro, equal, near, words, word_overlap, likeness): the pairs of names with how alike they are. equal: the same usual
+    words, numbers and initials with a core at most one edit apart, or one is the other cut off; near: with most of its letters; words: such a core with most of the usual words."""
+    names = p.groupBy("o").agg(*[F.first(c).alias(c) for c in ("usual", "short", "nums", "core", "ordered", "turned", "initials", "base", "last", "cut")])
+    own = names.select("o", "base", "last", "cut", F.array_distinct(F.array("core", F.when(F.col("ordered") != "", F.col("ordered")).otherwise(F.col("core")))).alias("cores"), "turned", "usual", "short", "nums", "initials")
+    a, b = (own.select(*[F.col(c).alias(f"{s}_{c}") for c in own.columns]) for s in "ab")
+    j = pairs.join(a, F.col("lo") == F.col("a_o")).join(b, F.col("ro") == F.col("b_o"))
+    x, y = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    words = lambda c: F.filter(F.split(c, ""), lambda w: w != "")
+    shared, union = F.size(F.array_intersect(words(x("short")), words(y("short")))), F.size(F.array_union(words(x("short")), words(y("short"))))
+    same_words = (x("usual") == y("usual")) | ((x("short") == y("short")) & ((x("usual") == x("short")) | (y("usual") == y("short"))))
+    kept = same_words & (x("nums") == y("nums")) & ~((x("initials") != "") & (y("initials") != "") & (x("initials") != y("initials")))
+    # a cut-off name equals those that begin with it
+    flat = lambda s: F.concat(f"{s}_base", f"{s}_last")
+    begins = lambda s, t: F.col(f"{s}_cut") & F.startswith(flat(t), F.col(f"{s}_base")) & ((flat(t) == F.col(f"{s}_base")) | F.startswith(F.expr(f"substring(concat({t}_base, {t}_last), length({s}_base) + 1)"), F.col(f"{s}_last")))
+    begun = begins("a", "b") | begins("b", "a")
+    overlap = F.when(union == 0, 1.0).otherwise(shared / union)
+    j = j.withColumns({"kept": kept | begun, "begun": begun, "word_overlap": overlap})
+    looked_at = F.col("kept") | (F.col("word_overlap") >= WORDS) & (x("nums") == y("nums"))
+    far = F.when((x("turned") == y("turned")) | F.col("begun"), 0).when(looked_at, F.array_min(F.flatten(F.transform(x("cores"), lambda c: F.transform(y("cores"), lambda d: _distance(c, d)))))).otherwise(9)
+    j = j.select("lo", "ro", "kept", "word_overlap", far.alias("far"), F.greatest(F.length(x("turned")), F.length(y("turned")), F.lit(1)).alias("most"), F.least(F.length(x("turned")), F.length(y("turned"))).alias("least"))
+    one = (F.col("far") == 0) | (F.col("far") == 1) & (F.col("least") >= 5)
+    likeness = F.when(F.col("far") < 9, F.greatest(F.lit(0.0), 1 - F.col("far") / F.col("most"))).otherwise(0.0)
+    j = j.withColumns({"equal": F.col("kept") & one, "likeness": likeness})
+    return j.select("lo", "ro", "equal", (F.col("kept") & ~one & (F.col("likeness") >= NEAR)).alias("near"), (~F.col("kept") & one & (F.col("least") >= 5) & (F.col("word_overlap") >= WORDS)).alias("words"), "word_overlap", "likeness")
+
+
+def compared(named: DataFrame, p: DataFrame) -> DataFrame:
+    """FEATURES of each pair of owners whose names are alike, and of a sample of those whose names are not (unlike), as numbers from 0 to 1.
+
+    rival: the pair shares no number, and one of its owners has another candidate that it shares more with. far_namesakes: of a pair
+    without a number or a town in common, how many namesakes the state has if kinds and cores of names were independent."""
+    alike = F.col("equal") | F.col("near") | F.col("words")
+    unlike = named.where(~alike).orderBy(F.xxhash64("lo", "ro"), "lo", "ro").limit(SAMPLE)
+    named = named.where(alike).withColumn("unlike", F.lit(False)).unionByName(unlike.withColumn("unlike", F.lit(True)))
+    cols = ["key", "loc", "other_loc", "region", "zip", "numbers", "towns_own"]
+    l, r = (p.where(w).select("o", *cols).distinct().select(F.col("o").alias(o), *[F.col(c).alias(f"{s}_{c}") for c in cols]) for w, o, s in (("is_left", "lo", "a"), ("not is_left", "ro", "b")))  # noqa: E741
+    j = named.join(l, "lo").join(r, "ro")
+    towns = lambda s: F.array_compact(F.array(f"{s}_loc", f"{s}_other_loc"))
+    number = F.arrays_overlap("a_numbers", "b_numbers")
+    town = F.coalesce(F.arrays_overlap(towns("a"), towns("b")), F.lit(False))
+    place = F.when(number, 3).when(town & ~F.col("a_towns_own") & ~F.col("b_towns_own"), 2).when(town, 1).otherwise(0)
+    num = lambda c: F.when(c, 1.0).otherwise(0.0)
+    how = F.when(F.col("equal"), 3).when(F.col("near"), 2).when(F.col("words"), 1).otherwise(0)
+    # of two owners' pairs of names the best counts: where it lies, then how alike the names are
+    best = F.struct((~F.col("unlike")).alias("ok"), place.alias("place"), how.alias("how"), "likeness", "word_overlap", num((F.col("a_zip") == F.col("b_zip")) & (F.col("a_zip") != "")).alias("same_zip"), num(F.col("a_region") == F.col("b_region")).alias("same_state"), "ro")
+    j = keep(j.groupBy(F.col("a_key").alias("left_key"), F.col("b_key").alias("right_key")).agg(F.max(best).alias("m")).select("left_key", "right_key", "m.*").withColumn("level", F.when(F.col("ok"), F.col("place") * 4 + F.col("how")).otherwise(-1)), "owners")
+    own, other = (j.groupBy(k).agg(F.max("level").alias(b)) for k, b in (("left_key", "left_best"), ("right_key", "right_best")))
+    j = j.join(own, "left_key").join(other, "right_key")
+    held = keep(p.select("nid", "kind", F.xxhash64("turned").alias("core"), "region", "loc").distinct().groupBy("nid", "kind", "core", "region").agg(F.count(F.lit(1)).alias("n")), "held")
+    per = {c: held.groupBy(c).agg(F.sum("n").cast("double").alias(f"{c}_n")) for c in ("kind", "core", "region")}
+    every = held.agg(F.sum("n").alias("every"))  # one row is broadcast
+    distant = j.where("ok and place = 0").select("ro").distinct().join(p.select(F.col("o").alias("ro"), "nid").distinct(), "ro").join(held, "nid")
+    for c, counts in per.items():
+        distant = distant.join(counts, c)
+    others = [F.greatest(F.lit(0.0), F.col(f"{c}_n") - F.col("n")) for c in ("kind", "core")]
+    distant = distant.join(F.broadcast(every)).select("ro", F.least(F.lit(1.0), F.log1p(10 * others[0] * others[1] * F.col("region_n") / F.col("every") / F.col("every")) / 5).alias("namesakes"))
+    j = j.join(distant, "ro", "left")
+    rival = (F.col("place") < 3) & (F.greatest("left_best", "right_best") > F.col("level"))
+    cells = {}
+    for h, name in ((3, "equal"), (2, "near"), (1, "words")):
+        for k, at in enumerate(("far", "towns_own", "town", "number")):
+            here = F.col("ok") & (F.col("how") == h) & (F.col("place") == k)
+            cells[f"{name}_{at}"] = num(here)
+            if at != "number":
+                cells[f"{name}_{at}_rival"] = num(here & rival)
+    cells["far_namesakes"] = F.when(F.col("ok") & (F.col("place") == 0), F.coalesce("namesakes", F.lit(0.0))).otherwise(0.0)
+    return j.withColumns(cells).select("left_key", "right_key", *FEATURES, (~F.col("ok")).alias("unlike"))
+
+
+def weak_label() -> Column:
+    """1 where names agree but for one edit and the addresses share a number; 0 where names aren't alike; else null."""
+    return F.when(F.col("equal_number") == 1, 1.0).when(F.col("unlike"), 0.0)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -226,46 +180,42 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0
 
 
 def match(left_records: DataFrame, right_records: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(left_key, right_key, confidence) of every candidate pair of owners: the calibrated probability that they are the same.
+    """(left_key, right_key, confidence) of every candidate pair of owners with names that are alike: the calibrated probability
+    that they are the same.
 
-    Records: (owner, names, places, forms): an array of names, one of addresses (line, second, city, region, postcode), and
-    one of (name, place) positions that belong together. Several records an owner; repeated ones count once. labels:
+    Records: (owner, name) and, where known, city, region, postcode, line (the street), other_line and other_postcode (of another
+    address of the owner). Several records an owner; repeated ones count once; null owners and names give no row. labels:
     (left_key, right_key), hand labels, right_key null where the left owner has no counterpart; may be missing or empty,
-    the weak labels then calibrate as well. Empty sides give no rows. Only samples of bounded size reach the driver.
+    the weak labels then calibrate as well. The labels of a third of the labelled owners, by a hash, calibrate, the others
+    teach. Empty sides give no rows. Only samples of bounded size reach the driver.
     """
-    raw = [keep(profiles(left_records), "left"), keep(profiles(right_records), "right")]
-    left, right = (keep(df, name) for df, name in zip(_located(*raw), ("left-profiles", "right-profiles")))
-    drop(*raw)
-    pairs = keep(compared(candidates(_occurrences(left), _occurrences(right)), left, right), "compared")
-    drop(left, right)
-    pairs = derived(pairs).withColumn("weak", weak_label()).withColumn("at", F.xxhash64("left_key", "right_key", *BASE))
+    p = keep(profiles(left_records, right_records), "located-profiles")
+    pairs = keep(compared(names_compared(candidates(p), p), p), "compared")
+    drop(p)
+    pairs = pairs.withColumn("weak", weak_label()).withColumn("at", F.xxhash64("left_key", "right_key"))
     sample = None
     for y in (0.0, 1.0):
         one = pairs.where(F.col("weak") == y).orderBy("at").limit(SAMPLE).select(*FEATURES, "weak")
         sample = one if sample is None else sample.unionByName(one)
     taught = sample.toPandas()
     x, y = taught[FEATURES].to_numpy(dtype=float), taught["weak"].to_numpy(dtype=float)
-    hand_x, hand_y = np.zeros((0, len(FEATURES))), np.zeros(0)
+    hand_x, hand_y, held = np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0, dtype=bool)
     if labels is not None:
-        # a pair of a labelled owner is right if its counterpart is the one named; another counterpart that the weak labels
-        # call the same may be a second key of the same organisation and says nothing
+        # a pair of a labelled owner is right if its counterpart is the one named; another counterpart with an equal name
+        # and number may be a second key of the same organisation and says nothing
         known = pairs.join(labels.select("left_key", F.col("right_key").alias("right_one")).distinct(), "left_key")
         right_one = F.col("right_one").eqNullSafe(F.col("right_key"))
-        known = known.where(right_one | F.col("right_one").isNull() | (F.col("name") == 0)).withColumn("y", F.when(right_one, 1.0).otherwise(0.0))
-        # of an owner's pairs with one counterpart the best counts
-        best = Window.partitionBy("left_key", "right_key").orderBy(F.desc("name"), F.desc("name_street"), F.desc("core_likeness"), F.desc("same_town"), "at")
-        known = known.withColumn("place", F.row_number().over(best)).where("place = 1").orderBy("at").limit(HAND_SAMPLE)
-        hand = known.select(*FEATURES, "y").toPandas()
-        hand_x, hand_y = hand[FEATURES].to_numpy(dtype=float), hand["y"].to_numpy(dtype=float)
+        known = known.where(right_one | F.col("right_one").isNull() | (F.col("equal_number") == 0)).withColumn("y", F.when(right_one, 1.0).otherwise(0.0))
+        hand = known.withColumn("held", F.pmod(F.xxhash64("left_key"), F.lit(3)) == 0).orderBy("at").limit(HAND_SAMPLE).select(*FEATURES, "y", "held").toPandas()
+        hand_x, hand_y, held = hand[FEATURES].to_numpy(dtype=float), hand["y"].to_numpy(dtype=float), hand["held"].to_numpy(dtype=bool)
     if not len(x) and not len(hand_x):
         return pairs.select("left_key", "right_key", F.lit(0.0).alias("confidence")).limit(0)
     # hand labels together weigh as much as the weak ones
-    heavy = len(x) / len(hand_x) if len(hand_x) and len(x) else 1.0
-    beta = fit_logistic(np.vstack([x, hand_x]), np.concatenate([y, hand_y]), np.concatenate([np.ones(len(x)), np.full(len(hand_x), heavy)]))
-    cal_x, cal_y = (hand_x, hand_y) if len(np.unique(hand_y)) == 2 else (x, y)
+    heavy = len(x) / max(1, (~held).sum()) if len(hand_x) and len(x) else 1.0
+    beta = fit_logistic(np.vstack([x, hand_x[~held]]), np.concatenate([y, hand_y[~held]]), np.concatenate([np.ones(len(x)), np.full(int((~held).sum()), heavy)]))
+    cal_x, cal_y = (hand_x[held], hand_y[held]) if len(np.unique(hand_y[held])) == 2 else (x, y)
     slope, offset = _platt(np.column_stack([cal_x, np.ones(len(cal_x))]) @ beta, cal_y)
     raw = F.lit(float(beta[-1]))
     for f, b in zip(FEATURES, beta):
         raw = raw + F.lit(float(b)) * F.col(f)
-    confidence = 1 / (1 + F.exp(-(F.lit(slope) * raw + F.lit(offset))))
-    return pairs.groupBy("left_key", "right_key").agg(F.max(confidence).alias("confidence"))
+    return pairs.where("not unlike").select("left_key", "right_key", (1 / (1 + F.exp(-(F.lit(slope) * raw + F.lit(offset))))).alias("confidence"))

@@ -42,16 +42,8 @@ def name_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, db = table(spark, sf_dir, "df_source"), table(spark, sf_dir, "df_db")
-    text = lambda c: F.lit(None).cast("string") if c is None else F.col(c)
-    place = lambda *cols: F.struct(*[text(c).alias(n) for c, n in zip(cols, ("line", "second", "city", "region", "postcode"))])
-    forms = lambda *pairs: F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in pairs])
-    physical = place("physical_address_line_1", "physical_address_line_2", "physical_address_city", "physical_address_province_or_state", "physical_address_zip_postal_code")
-    mailing = place("mailing_address_line_1", "mailing_address_line_2", "mailing_address_city", "mailing_address_state_or_province", "mailing_address_zip_postal_code")
-    registry = place("org_addr_street", None, "org_addr_city", "org_addr_state", "org_addr_zip")
-    # the legal name at either address, the trade name at the physical one
-    left = source.select(F.col("unique_entity_id").alias("owner"), F.array("legal_business_name", "dba_name").alias("names"), F.array(physical, mailing).alias("places"), forms((0, 0), (1, 0), (0, 1)).alias("forms"))
-    right = db.select(F.col("ein").alias("owner"), F.array("org_name_raw").alias("names"), F.array(registry).alias("places"), forms((0, 0)).alias("forms"))
+    records = name_records(spark, sf_dir)
+    left, right = (records.where(F.col("side") == side).withColumn("owner", F.substring("owner", 2, 1000)) for side in ("source", "db"))
     labels = table(spark, sf_dir, "match_labels").where(F.col("gt_is_match").isNotNull()).select(F.col("uei").alias("left_key"), F.when(F.col("gt_is_match"), F.col("gt_ein")).alias("right_key"))
     return entities.match(left, right, labels)
 

@@ -14,7 +14,10 @@ chance of a namesake in the state is small.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +33,10 @@ MOST_NAMESAKES = 0.2
 TOWNS = 100_000
 #: A width is one at which a source cuts names off if it has SPIKE times as many names as the widths around it.
 SPIKE, WIDEST = 1.3, 400
-_FIELDS = "struct<usual string, short string, nums string, core string, turned string, initials string, base string, last string, zip string, town string, state string, cut boolean, ordered string>"
+_NUMBER = re.compile(r"(?<![0-9A-Za-z#])([0-9]{1,12})[A-Za-z]?(?![0-9A-Za-z])")
+_LAST_LINE = re.compile(r",\s*[A-Za-z]{2}\s+[0-9]{5}(?:-[0-9]{4})?\s*$")
+PARTS = ["usual", "short", "nums", "core", "turned", "initials", "base", "last", "zip", "town", "state", "cut", "ordered", "numbers", "other_zip"]
+_SEP = "\x1f"
 _OTHER = {"line": "string", "other_line": "string", "other_postcode": "string", "side": "string"}
 
 
@@ -44,12 +50,12 @@ def _probe(cores: pd.Series, sure: pd.Series) -> pd.Series:
     return pd.Series([probe_keys(c, s) for c, s in zip(cores, sure)])
 
 
-def house_numbers(line: Column) -> Column:
+def house_numbers(line: str) -> set[str]:
     """The numbers of a street line (house, box, unit; a unit hardly ever equals another address's house). Ordinals and the postal
-    code at the line's end are none. Null and blank lines have none."""
-    bare = F.regexp_replace(line, r",\s*[A-Za-z]{2}\s+[0-9]{5}(?:-[0-9]{4})?\s*$", "")
-    found = F.regexp_extract_all(bare, F.lit(r"(?<![0-9A-Za-z#])0*([0-9]{1,12})[A-Za-z]?(?![0-9A-Za-z])"), F.lit(1))
-    return F.coalesce(F.transform(found, lambda x: x.cast("bigint")), F.array().cast("array<bigint>"))
+    code at the line's end are none."""
+    if "," in line:
+        line = _LAST_LINE.sub("", line)
+    return {x.lstrip("0") or "0" for x in _NUMBER.findall(line)} if line else set()
 
 
 def cut_widths(records: DataFrame) -> dict[str, int]:
@@ -66,30 +72,38 @@ def cut_widths(records: DataFrame) -> dict[str, int]:
     return out
 
 
-def parsed(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:
+def parsed(records: DataFrame, cut_at: dict[str, int] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """records (rec, owner, name, city, region, postcode, line, other_line, other_postcode, side) with the parts of name and
-    locality and the numbers of the addresses. Null and blank names, and names without any word or number, are left out."""
+    locality, the numbers of the addresses and the columns in also. Control characters count as blanks. Null and blank names, and names without any word or number, are left out."""
     some = records.where(F.length(F.trim("name")) > 0)
     widths = cut_widths(some) if cut_at is None else cut_at
 
-    @F.pandas_udf(_FIELDS)
-    def parts(name: pd.Series, city: pd.Series, region: pd.Series, postcode: pd.Series, side: pd.Series) -> pd.DataFrame:
-        towns = {c: (town(c), town_core(c)) for c in city.unique()}
-        states = {c: state(c) for c in region.unique()}
-        rows = []
-        for a, b, c, d, s in zip(name, city, region, postcode, side):
-            w = widths.get(s)
+    # one string goes to Python and one comes back: columns of their own would cost more than the parsing
+    @F.arrow_udf(T.StringType())
+    def parts(rows: pa.Array) -> pa.Array:
+        towns, states, out = {}, {}, []
+        for row in rows.to_pylist():
+            a, b, c, d, line, other, code, side = row.split(_SEP)
+            place = towns.get(b)
+            if place is None:
+                place = towns[b] = town(b), town_core(b)
+            region = states.get(c)
+            if region is None:
+                region = states[c] = state(c)
+            w = widths.get(side)
             cut = w is not None and w - 1 <= len(a.strip()) <= w and unfinished(a)
-            form, own = name_form(a, cut, towns[b][1]), towns[b][1]
+            form, own = name_form(a, cut, place[1]), place[1]
             # a town's name that stands before the rest is also looked up behind it
             ordered = form[3][len(own) :] + own if own and form[3].startswith(own) else ""
-            rows.append((*form, zip5(d), towns[b][0], states[c], cut, ordered))
-        return pd.DataFrame(rows, columns=["usual", "short", "nums", "core", "turned", "initials", "base", "last", "zip", "town", "state", "cut", "ordered"])
-
-    numbers = F.array_distinct(F.concat(house_numbers(F.col("line")), house_numbers(F.col("other_line"))))
-    out = some.select("rec", F.xxhash64("owner").alias("owner"), F.xxhash64("name").alias("raw"), F.xxhash64("side").alias("side"), numbers.alias("numbers"),
-                      F.substring(F.regexp_replace("other_postcode", "[^0-9]", ""), 1, 5).alias("other_zip"), parts("name", "city", "region", "postcode", "side").alias("p"))
-    return out.select("rec", "owner", "raw", "side", "numbers", "other_zip", "p.*").where(F.concat("usual", "nums", "core") != "")
+            numbers = " ".join(house_numbers(line) | house_numbers(other))
+            out.append(_SEP.join((*form, zip5(d), place[0], region, "1" if cut else "", ordered, numbers, zip5(code))))
+        return pa.array(out, pa.string())
+
+    text = [F.translate(F.coalesce(F.col(c), F.lit("")), _SEP, " ") for c in ("name", "city", "region", "postcode", "line", "other_line", "other_postcode", "side")]
+    out = some.select("rec", F.xxhash64("owner").alias("owner"), F.xxhash64("name").alias("raw"), F.xxhash64("side").alias("side"), *[c for c in also], F.split(parts(F.concat_ws(_SEP, *text)), _SEP).alias("p"))
+    out = out.select("rec", "owner", "raw", "side", *also, *[F.col("p")[i].alias(c) for i, c in enumerate(PARTS)])
+    numbers = F.when(F.col("numbers") != "", F.split("numbers", " ").cast("array<bigint>")).otherwise(F.array().cast("array<bigint>"))
+    return out.where(F.concat("usual", "nums", "core") != "").withColumns({"cut": F.col("cut") != "", "numbers": numbers})
 
 
 def localised(own: DataFrame) -> DataFrame:

@@ -165,38 +165,52 @@ def entity_rows(n):
     for i in range(n):
         core = "".join(r.choice(["ba", "do", "ke", "li", "mu", "ra", "si", "to"]) for _ in range(5)).upper()
         kind = r.choice(["YOUTH THEATER", "FOOD BANK", "LIBRARY", "ANIMAL SHELTER"])
-        num, town = r.randint(1, 9999), f"TOWN{i % 12}"
-        place = (f"{num} MAIN{i % 7} ST", None, town, "TX", f"75{i % 12:03d}")
-        left.append((f"u{i}", [f"{core} {kind} INC", None], [place], [[0, 0], [1, 0]]))
+        num, town = r.randint(1, 9999), f"TOWN{'ABCDEFGHIJKL'[i % 12]}"
+        place = (town, "TX", f"75{i % 12:03d}", f"{num} MAIN{i % 7} ST")
+        left.append((f"u{i}", f"{core} {kind} INC", *place))
         if i % 3:
             typo = core[:4] + core[5:] if i % 5 == 0 else core
-            right.append((f"e{i}", [f"The {typo.title()} {kind.title()}"], [(place[0].replace("ST", "STREET"), *place[1:])], [[0, 0]]))
+            right.append((f"e{i}", f"The {typo.title()} {kind.title()}", *place[:3], place[3].replace("ST", "STREET")))
             if i % 4 == 0:
-                right.append((f"x{i}", [f"{core} {kind} FOUNDATION"], [place], [[0, 0]]))
+                right.append((f"x{i}", f"{core} {kind} FOUNDATION", *place))
         labels.append((f"u{i}", f"e{i}" if i % 3 else None))
     return left, right, labels
 
 
-RECORDS = "owner string, names array<string>, places array<struct<line string, second string, city string, region string, postcode string>>, forms array<array<int>>"
+RECORDS = "owner string, name string, city string, region string, postcode string, line string"
 
 
 def test_match_finds_counterparts(spark):
     left, right, labels = entity_rows(240)
-    nothing = [(None, ["A B"], [(None,) * 5], [[0, 0]]), ("n", [None], [(None,) * 5], [[0, 0]]), ("m", [""], [(None,) * 5], [[0, 0]])]
+    nothing = [(None, "A B", None, None, None, None), ("n", None, None, None, None, None), ("m", " ", "A", "TX", "75001", "1 A St")]
     l, r = spark.createDataFrame(left + left[:30] + nothing, RECORDS), spark.createDataFrame(right + nothing, RECORDS)  # noqa: E741
     want = {(f"u{i}", f"e{i}") for i in range(240) if i % 3}
+    held_out = {f"u{i}" for i in range(60, 240)}
     for known in (spark.createDataFrame(labels[:60], "left_key string, right_key string"), None):
         got = {(x["left_key"], x["right_key"]) for x in entities.match(l, r, known).collect() if x["confidence"] >= 0.5}
-        assert len(got & want) / len(want) > 0.93 and len(got & want) / len(got) > 0.93
+        fair = {x for x in got if x[0] in held_out}  # owners whose labels the classifier hasn't seen
+        right_ones = {x for x in want if x[0] in held_out}
+        assert len(fair & right_ones) / len(right_ones) > 0.95 and len(fair & right_ones) / len(fair) > 0.95
+        assert len(got & want) / len(want) > 0.95
     assert entities.match(l.limit(0), r).count() == 0 and entities.match(l, r.limit(0)).count() == 0
 
 
-def test_signature_recall(spark):
-    """Names with one letter wrong share a band nearly always."""
+def test_candidate_recall(spark):
+    """Against brute force over all pairs: counterparts with one typo, a changed town or a lost address share a key."""
     r = random.Random(1)
-    cores = ["".join(r.choices("ABCDEFGHIKLMNOPRSTUW", k=12)) for _ in range(200)]
-    rows = [(i, side, "ĀāĂ", "", c if side == "a" else c[:5] + "Z" + c[6:]) for i, c in enumerate(cores) for side in "ab"]
-    got = spark.createDataFrame(rows, "i int, side string, short string, nums string, core string").select("i", "side", entities.signature("short", "nums", "core").alias("s")).collect()
-    by = {(x["i"], x["side"]): x["s"] for x in got}
-    hits = sum(any(p == q for p, q in zip(by[i, "a"][:-1], by[i, "b"][:-1])) for i in range(200))
-    assert hits / 200 >= 0.85
+    left, right, want = [], [], set()
+    for i in range(300):
+        core = "".join(r.choices("ABCDEFGHIKLMNOPRSTUW", k=r.randint(7, 12)))
+        at = (f"TOWN{'ABCDEFGH'[i % 8]}", "TX", f"7510{i % 8}", f"{r.randint(1, 9999)} OAK ST")
+        k = r.randint(1, len(core) - 2)
+        other = [core, core[:k] + "Z" + core[k + 1 :], core[:k] + core[k + 1 :], core[:k] + core[k + 1] + core[k] + core[k + 2 :]][i % 4]
+        place = at if i % 3 else (at[0], at[1], None, None)
+        left.append((f"u{i}", f"{core} MUSIC ACADEMY", *at))
+        right.append((f"e{i}", f"{other} MUSIC ACADEMY INC", *place))
+        want.add((f"u{i}", f"e{i}"))
+    l, rr = (spark.createDataFrame(x, RECORDS) for x in (left, right))
+    p = entities.keep(entities.profiles(l, rr), "profiles")
+    o = {(x["is_left"], x["o"]): x["key"] for x in p.collect()}
+    got = {(o[True, x["lo"]], o[False, x["ro"]]) for x in entities.candidates(p).collect()}
+    assert len(got & want) / len(want) >= 0.95
+    assert len(got) < len(left) * len(right) / 4

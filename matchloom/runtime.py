@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is named (tests, one machine)."""
+    """The cluster's spark.checkpoint.dir. Where none is named, a folder of our own, but only in local mode (tests, one
+    machine): on a cluster every executor would write to a disk of its own, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="matchloom-")
@@ -26,16 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _RUN = uuid.uuid4().hex
-_folders: set[str] = set()
+_folders: dict[str, SparkSession] = {}
 
 
 @atexit.register
 def _clean() -> None:
-    """Removes this run's tables where the shared folder is a local one; elsewhere the cluster's own cleaning does."""
-    for path in _folders:
+    """Removes this run's tables: local ones by their path, others through the session while it is still there."""
+    for path, spark in _folders.items():
         local = path.removeprefix("file://")
         if local.startswith("/"):
             shutil.rmtree(local, ignore_errors=True)
+            continue
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: the cluster's own cleaning is left
+            pass
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in this run's part of the shared folder."""
+    folder = f"{shared_dir(spark)}/matchloom/{_RUN}"
+    _folders[folder] = spark
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -43,9 +59,7 @@ def keep(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
 
     Cuts the lineage, survives lost executors (unlike a local checkpoint) and gives the optimizer true sizes.
     """
-    folder = f"{shared_dir(df.sparkSession)}/matchloom/{_RUN}"
-    _folders.add(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     if keys:
         df = df.repartition(*keys)
     df.write.option("compression", "zstd").parquet(path)

@@ -1,8 +1,8 @@
 """Problem 5: registrations and registry entries of the same organisation, without a common key.
 
 Both sides are reduced to distinct names in their towns. Candidates share a key of MinHash signatures across the attributes:
-a band of the name's signature in a town, the whole signature in a state, or one minimum of it with a house number in
-a state. Names are compared once for each pair of names, owners by what their addresses share; a logistic classifier learns
+a band of the core's signature with the usual words and the town, or with a house number and the state, or the whole name
+in a state. Names are compared once for each pair of names, owners by what their addresses share; a logistic classifier learns
 these features from weak and hand labels, and its probabilities are calibrated on hand labels that it hasn't seen.
 """
 
@@ -20,7 +20,7 @@ from ..runtime import drop, keep
 from .spellings import _distance, localised, parsed
 from .subjects import _platt
 
-#: Bands of a name's signature in a town and minima of each; minima looked up with a house number.
+#: Bands of a core's signature and minima of each; how many of the bands are looked up with a house number.
 BANDS, ROWS, WITH_NUMBER = 6, 2, 4
 #: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for it and its calibration.
 SAMPLE, HAND_SAMPLE = 20_000, 50_000
@@ -48,13 +48,12 @@ def minima(core: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def signature(cores: pa.Array) -> pa.Array:
-    """BANDS hashes of ROWS minima each, then WITH_NUMBER single minima."""
+    """BANDS hashes of ROWS minima each."""
     a, b = _hashers()
-    out = np.empty((len(cores), BANDS + WITH_NUMBER), dtype=np.int64)
+    out = np.empty((len(cores), BANDS), dtype=np.int64)
     for k, core in enumerate(cores.to_pylist()):
         low = minima(core, a, b)
-        out[k, :BANDS] = [zlib.crc32(low[i : i + ROWS].tobytes(), i // ROWS) for i in range(0, BANDS * ROWS, ROWS)]
-        out[k, BANDS:] = low[:WITH_NUMBER]
+        out[k] = [zlib.crc32(low[i : i + ROWS].tobytes(), i // ROWS) for i in range(0, BANDS * ROWS, ROWS)]
     return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
 
 
@@ -70,22 +69,26 @@ def profiles(left: DataFrame, right: DataFrame) -> DataFrame:
     own = keep(parsed(both, None, ("key",)).drop("rec", "raw", "owner").withColumn("rec", F.xxhash64("key", "turned").cast("string")).distinct(), "profiles")
     f = localised(own).withColumn("nid", F.xxhash64("short", "nums", "turned", "region", F.when(F.col("cut"), F.col("last"))))
     f = f.withColumns({"o": F.xxhash64("nid", "loc"), "kind": F.xxhash64("short", "nums"), "is_left": F.col("side") == F.xxhash64(F.lit("left")), "towns_own": (F.col("core") == "") | F.contains("town", "core")})
-    return f.select("is_left", "key", "o", "nid", "kind", "usual", "short", "nums", "core", "ordered", "turned", "initials", "base", "last", "cut", "loc", "other_loc", "region", "zip", "numbers", "towns_own")
+    out = keep(f.select("is_left", "key", "o", "nid", "kind", "usual", "short", "nums", "core", "ordered", "turned", "initials", "base", "last", "cut", "loc", "other_loc", "region", "zip", "numbers", "towns_own"), "located-profiles")
+    drop(own)
+    return out
 
 
 def candidates(p: DataFrame) -> DataFrame:
     """(lo, ro): pairs of names in towns, one of each side, that share a key. Names with different numbers share none; a name
     without a core is looked up by its usual words."""
     said = F.when(F.col("turned") != "", F.col("turned")).otherwise(F.col("short"))
-    names = p.groupBy(said.alias("said")).agg(F.lit(1)).select("said", signature("said").alias("sig"))
-    at = p.select("is_left", "o", "nid", said.alias("said"), "loc", "other_loc", "region", "numbers", F.xxhash64("nums").alias("nums")).distinct().join(keep(names, "signatures"), "said")
+    names = keep(p.select(said.alias("said")).distinct().select("said", signature("said").alias("sig")), "signatures")
     towns = F.array_distinct(F.array_compact(F.array("loc", "other_loc")))
-    near = F.flatten(F.transform(towns, lambda t: F.transform(F.slice("sig", 1, BANDS), lambda x, i: F.xxhash64(F.lit("in"), i, x, t, F.col("nums")))))
+    near = F.flatten(F.transform(towns, lambda t: F.transform("sig", lambda x, i: F.xxhash64(F.lit("in"), i, x, t, F.col("kind")))))
     far = F.when(F.col("region") != "", F.array(F.xxhash64(F.lit("of"), "nid"))).otherwise(F.array().cast("array<bigint>"))
-    door = F.flatten(F.transform("numbers", lambda n: F.transform(F.slice("sig", BANDS + 1, WITH_NUMBER), lambda x, i: F.xxhash64(F.lit("at"), i, x, n, F.col("region"), F.col("nums")))))
-    keys = keep(at.select("is_left", "o", F.explode(F.concat(near, far, door)).alias("key")).distinct(), "keys")
-    l, r = keys.where("is_left").select("key", F.col("o").alias("lo")), keys.where("not is_left").select("key", F.col("o").alias("ro"))  # noqa: E741
-    return l.join(r, "key").select("lo", "ro").distinct()
+    door = F.flatten(F.transform("numbers", lambda n: F.transform(F.slice("sig", 1, WITH_NUMBER), lambda x, i: F.xxhash64(F.lit("at"), i, x, n, F.col("region"), F.col("nums")))))
+
+    def keyed(side: Column, o: str) -> DataFrame:
+        at = p.where(side).select("o", "nid", "kind", said.alias("said"), "loc", "other_loc", "region", "numbers", F.xxhash64("nums").alias("nums")).distinct().join(names, "said")
+        return at.select(F.col("o").alias(o), F.explode(F.concat(near, far, door)).alias("key"))
+
+    return keyed(F.col("is_left"), "lo").join(keyed(~F.col("is_left"), "ro"), "key").select("lo", "ro").distinct()
 
 
 def names_compared(pairs: DataFrame, p: DataFrame) -> DataFrame:
@@ -189,7 +192,7 @@ def match(left_records: DataFrame, right_records: DataFrame, labels: DataFrame |
     the weak labels then calibrate as well. The labels of a third of the labelled owners, by a hash, calibrate, the others
     teach. Empty sides give no rows. Only samples of bounded size reach the driver.
     """
-    p = keep(profiles(left_records, right_records), "located-profiles")
+    p = profiles(left_records, right_records)
     pairs = keep(compared(names_compared(candidates(p), p), p), "compared")
     drop(p)
     pairs = pairs.withColumn("weak", weak_label()).withColumn("at", F.xxhash64("left_key", "right_key"))

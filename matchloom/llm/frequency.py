@@ -7,10 +7,12 @@ they fall into.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import keep
+from ..runtime import drop, keep, new_path
 from .terms import terms
 
 PARTS = 64
@@ -39,22 +41,57 @@ def merge_counts(counts: DataFrame, changes: DataFrame) -> DataFrame:
     """counts plus signed changes; terms whose records come to 0 leave the table."""
     both = counts.select("term", "occurrences", "records").unionByName(changes.select("term", "occurrences", "records"))
     out = both.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    return out.where(F.col("records") != 0).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+    return out.where(F.col("records") != 0).withColumn("part", _part())
 
 
-def apply_changes(counts: DataFrame, text: str, added: DataFrame | None = None, deleted: DataFrame | None = None, changed: tuple[DataFrame, DataFrame] | None = None, persist: bool = True) -> DataFrame:
-    """The counts after a change set. changed: (the records as they were, as they are). Extra columns don't matter.
+def _part():
+    return F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
 
-    Empty or missing change sets leave the counts as they are. With persist the merged table is written, split by part.
-    """
+
+def change_set(text: str, added: DataFrame | None = None, deleted: DataFrame | None = None, changed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame | None:
+    """The signed changes of a change set as one row a term; None without any. changed: (the records as they were, as they are).
+    Extra columns don't matter; a term that as many records lose as gain and as often is no change."""
     signed = [signed_changes(df, text, sign) for df, sign in ((added, 1), (deleted, -1), *(zip(changed, (-1, 1)) if changed else ())) if df is not None]
     if not signed:
-        return counts
-    delta = signed[0]
-    for x in signed[1:]:
-        delta = delta.unionByName(x)
-    merged = merge_counts(counts, delta)
-    return keep(merged, "term-counts", ["part"]) if persist else merged
+        return None
+    both = reduce(DataFrame.unionByName, signed).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return both.where("occurrences != 0 or records != 0").withColumn("part", _part())
+
+
+class CountTable:
+    """Counts that stay at a path of the shared storage, as a Parquet table split by part.
+
+    A change set reads and writes only the parts that its terms fall into: the merged parts are written beside the table
+    and then replace theirs by dynamic partition overwrite, so that an executor lost on the way costs only its tasks. The
+    table of an empty collection has no parts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _exists(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self.path) if self._exists() else empty_counts(self.spark)
+
+    def apply(self, text: str, added: DataFrame | None = None, deleted: DataFrame | None = None, changed: tuple[DataFrame, DataFrame] | None = None) -> None:
+        delta = change_set(text, added, deleted, changed)
+        if delta is None:
+            return
+        delta = keep(delta, "term-changes")
+        parts = [r["part"] for r in delta.select("part").distinct().collect()]  # at most PARTS
+        if not parts:
+            return
+        merged = keep(merge_counts(self.read().where(F.col("part").isin(parts)), delta).repartition("part"), "term-parts")
+        # a part that lost all its terms has no rows to replace it: it is removed
+        left = {r["part"] for r in merged.select("part").distinct().collect()}
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        for part in set(parts) - left:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/part={part}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        drop(delta, merged)
 
 
 def marked(counts: DataFrame, common_share: float = 0.02, rare_at_most: int = 2) -> DataFrame:
@@ -69,5 +106,7 @@ def counted_by_vintage(df: DataFrame, text: str, version: str) -> DataFrame:
     """Counts over all rows, taken as they came: the rows before the newest version first, then the newest as a change set."""
     newest = df.agg(F.max(version).alias("__v"))
     tagged = df.select(text, version).join(F.broadcast(newest)).withColumn("__new", F.coalesce(F.col(version) == F.col("__v"), F.lit(False)))  # one row is broadcast
-    base = apply_changes(empty_counts(df.sparkSession), text, added=tagged.where(~F.col("__new")))
-    return apply_changes(base, text, added=tagged.where("__new"))
+    counts = CountTable(df.sparkSession, new_path(df.sparkSession, "term-counts"))
+    counts.apply(text, added=tagged.where(~F.col("__new")))
+    counts.apply(text, added=tagged.where("__new"))
+    return counts.read()

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Setting of the session that names the vocabulary file, and the file where it is unset.
+SETTING, TOKENIZER = "spark.matchloom.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual split of a text before byte-pair merges, as published with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def with_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, out: str = "tokens") -> DataFrame:
-    """documents with the number of tokens of the whole text; 0 for a null or empty text.
+def with_tokens(documents: DataFrame, text: str = "text", tokenizer: str | None = None, out: str = "tokens") -> DataFrame:
+    """documents with the number of tokens of the whole text; 0 for a null or empty text. tokenizer: a vocabulary file, or
+    the one that the session's SETTING names.
 
     The vocabulary file (under 2 MB, whatever the corpus) is read on the driver and broadcast."""
+    tokenizer = tokenizer or documents.sparkSession.conf.get(SETTING, TOKENIZER)
     with open(tokenizer, "rb") as f:
         ranks = documents.sparkSession.sparkContext.broadcast(f.read())
     held: dict = {}
@@ -35,14 +39,16 @@ def with_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKEN
     return documents.withColumn(out, count(F.col(text)))
 
 
+def _chances(rate: float, cap: int) -> list[float]:
+    """P(X = k) for k = 0 .. cap - 1, X Poisson with this rate; by logarithms, so that no rate is too high for a float."""
+    log_rate = math.log(rate) if rate > 0 else 0.0
+    return [math.exp(k * log_rate - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0) for k in range(cap)]
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """Mean of min(X, cap), X Poisson with this rate."""
-    p, below, mean = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
-        mean += k * p
-        below += p
-        p *= rate / (k + 1)
-    return mean + cap * (1 - below)
+    p = _chances(rate, cap)
+    return sum(k * x for k, x in enumerate(p)) + cap * max(0.0, 1 - sum(p))
 
 
 def rate_for(mean: float, cap: int) -> float:
@@ -52,8 +58,10 @@ def rate_for(mean: float, cap: int) -> float:
     if mean >= cap:
         return math.inf
     lo, hi = 0.0, 1.0
-    while capped_mean(hi, cap) < mean and hi < 600:
-        hi *= 2
+    while capped_mean(hi, cap) < mean:
+        lo, hi = hi, hi * 2
+        if capped_mean(hi, cap) >= cap * (1 - 1e-12):
+            break
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if capped_mean(mid, cap) < mean else (lo, mid)
@@ -62,14 +70,7 @@ def rate_for(mean: float, cap: int) -> float:
 
 def draw_table(rate: float, cap: int) -> list[float]:
     """P(X <= k) for k = 0 .. cap - 1: a draw is the number of these that a uniform number reaches."""
-    if math.isinf(rate):
-        return [0.0] * cap
-    out, p, total = [], math.exp(-rate), 0.0
-    for k in range(cap):
-        total += p
-        out.append(total)
-        p *= rate / (k + 1)
-    return out
+    return [0.0] * cap if math.isinf(rate) else list(accumulate(_chances(rate, cap)))
 
 
 def source_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
@@ -108,8 +109,13 @@ def replicate(counted: DataFrame, targets: DataFrame, seed: int = 17, doc_id: st
 
 
 def shares(counted: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per source of targets: the share asked for, the share and tokens reached, and whether it falls short."""
+    """One row per source of targets: the share asked for, the documents' uses and tokens in the mixture, their share of the
+    mixture (the shares add up to 1 unless it is empty), and whether the source falls short: every one of its documents is used
+    max_repeats times in the mixture, and still its tokens are fewer than asked for. A source without documents is short."""
     got = replicate(counted, targets, seed).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"))
-    out = source_plan(counted, targets).select("source", "target_share", "short", "all_tokens").join(got, "source", "left")
-    tokens = F.coalesce("tokens", F.lit(0))
-    return out.select("source", "target_share", tokens.alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.try_divide(tokens, F.col("all_tokens")).alias("actual_share"), "short")
+    held = counted.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    out = source_plan(counted, targets).select("source", "target_share", "max_repeats", "target_tokens").join(held, "source", "left").join(got, "source", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("documents", "uses", "tokens")})
+    whole = out.agg(F.sum("tokens").alias("mixture"))  # one row a listed source; one row is broadcast
+    used_up = F.col("uses") == F.col("documents") * F.col("max_repeats")
+    return out.join(F.broadcast(whole)).select("source", "target_share", "tokens", "uses", F.try_divide("tokens", "mixture").alias("actual_share"), (used_up & (F.col("tokens") < F.col("target_tokens"))).alias("short"))

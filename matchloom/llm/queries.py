@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import keep, new_path, table
 from . import distinctive, entities, frequency, leakage, mixture, places, spellings, subjects, top_items
 
 
@@ -74,12 +74,31 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after three change sets: all rows are added, those without a state deleted, those without assets changed to their
+    cleaned name."""
+    db = table(spark, sf_dir, "df_db").select("db_row_id", "org_name_raw", "org_name_join", "org_addr_state", "assets")
+    gone = F.trim(F.coalesce("org_addr_state", F.lit(""))) == ""
+    changed = db.where(~gone & F.col("assets").isNull())
+    counts = frequency.CountTable(spark, new_path(spark, "term-counts"))
+    counts.apply("org_name_raw", added=db)
+    counts.apply("org_name_raw", deleted=db.where(gone))
+    counts.apply("org_name_raw", changed=(changed, changed.withColumn("org_name_raw", F.col("org_name_join"))))
+    return counts.read().where(F.col("term").isNotNull()).select("term", "occurrences", "records")
+
+
+def p4_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed positive pointwise mutual information (exponent 0.75) of every term of every registry name."""
+    db = table(spark, sf_dir, "df_db").select("db_row_id", "org_name_raw")
+    return distinctive.ppmi(db, ["db_row_id"], "org_name_raw").select("db_row_id", "term", "tf", F.round("ppmi", 6).alias("ppmi"))
+
+
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return keep(mixture.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "tokens")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.source_plan(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where("short").select("source")
+    return p9_shares(spark, sf_dir).where("short").select("source")
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +114,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("posterior") >= 0.5).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_changes": p3_changes, "p4_found": p4_found, "p4_ppmi": p4_ppmi, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p3_found": r"""
@@ -111,6 +130,14 @@ SQL = {
              d AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
              w AS (SELECT side, row_id, term, k * ln((SELECT count(*) FROM c) / d) AS w FROM tf JOIN d USING (term) WHERE d > 1)
         SELECT side, row_id, term FROM w QUALIFY row_number() OVER (PARTITION BY side, row_id ORDER BY w DESC, term) = 1""",
+    "p3_changes": r"""
+        WITH k AS (SELECT db_row_id, CASE WHEN assets IS NULL THEN org_name_join ELSE org_name_raw END AS nm FROM df_db WHERE trim(coalesce(org_addr_state, '')) <> ''),
+             r AS (SELECT db_row_id, unnest(regexp_extract_all(upper(nm), '[\p{L}\p{N}]+')) AS term FROM k WHERE nm IS NOT NULL)
+        SELECT term, count(*) AS occurrences, count(DISTINCT db_row_id) AS records FROM r GROUP BY 1""",
+    "p4_ppmi": r"""
+        WITH r AS (SELECT db_row_id, unnest(regexp_extract_all(upper(org_name_raw), '[\p{L}\p{N}]+')) AS term FROM df_db WHERE org_name_raw IS NOT NULL),
+             tf AS (SELECT db_row_id, term, count(*) AS tf FROM r GROUP BY ALL), c AS (SELECT term, sum(tf) AS c FROM tf GROUP BY 1), s AS (SELECT db_row_id, sum(tf) AS size FROM tf GROUP BY 1)
+        SELECT db_row_id, term, tf, round(greatest(0, ln(tf * (SELECT sum(size ** 0.75) FROM s) / (c * size ** 0.75))), 6) AS ppmi FROM tf JOIN c USING (term) JOIN s USING (db_row_id)""",
     "p7_found": """
         WITH p AS (SELECT unique_entity_id AS u, ein AS e, max(total_score) AS s FROM candidate_pairs
                    WHERE total_score IS NOT NULL AND NOT isnan(total_score) GROUP BY ALL)

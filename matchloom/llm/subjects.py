@@ -30,6 +30,8 @@ BUCKETS, LABELLED_ROUNDS, ROUNDS, ALPHA = 1 << 18, 2, 4, 1.0
 LANGUAGE_SHARE = 0.01
 #: Labelled documents that the calibration reads at most; the rest of the model reads every document.
 CALIBRATION_ROWS = 20_000
+#: One labelled document in so many calibrates.
+HELD = 4
 #: What a sentence of a labelled document is about before its words are read: each of its subjects, none, any other.
 PRIOR_OWN, PRIOR_NONE, PRIOR_OTHER = 1.0, 0.5, 0.05
 _WORD, _STOP = re.compile(r"[^\W\d_]+"), re.compile(r"(?<=[.!?…])\s+")
@@ -250,7 +252,14 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
     bags = documents.select(F.col(doc_id), bag_of(F.col(text)).alias("b")).select(doc_id, "b.*").join(known, doc_id, "left")
     bags = keep(bags, "bags")
     model = np.zeros((BUCKETS, k + 1)), np.zeros((int(1 / LANGUAGE_SHARE) + 1, k + 1))
-    taught = keep(bags.where(F.col("labels").isNotNull()), "taught")
+    labelled = keep(bags.where(F.col("labels").isNotNull()), "labelled")
+    # the labels of every HELD-th labelled document calibrate and don't teach, if both have every subject
+    held = F.pmod(F.xxhash64(doc_id), F.lit(HELD)) == 0
+    subject = F.explode("labels")
+    enough = all(labelled.where(side).select(subject.alias("c")).distinct().count() == k for side in (held, ~held))
+    taught = labelled.where(~held) if enough else labelled
+    if enough:
+        bags = bags.withColumn("labels", F.when(~held, F.col("labels")))
     for used in [taught] * (1 + LABELLED_ROUNDS) + [bags] * ROUNDS:
         counts = _expected(used, model, k)
         if not counts.any():
@@ -269,7 +278,7 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
         for pdf in batches:
             yield pd.DataFrame({"x": list(_logit(raw(pdf, own))), "labels": pdf["labels"]})
 
-    chosen = taught.orderBy(F.xxhash64(doc_id), doc_id).limit(CALIBRATION_ROWS)
+    chosen = (labelled.where(held) if enough else labelled).orderBy(F.xxhash64(doc_id), doc_id).limit(CALIBRATION_ROWS)
     seen = chosen.select("bag", "language", "labels").mapInPandas(sample, "x array<double>, labels array<int>").toPandas()
     x = np.array(seen["x"].tolist())
     curves = [_platt(x[:, c], seen["labels"].map(lambda own, c=c: float(c in list(own))).to_numpy()) for c in range(k)]
@@ -279,7 +288,7 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
         own = _unpacked(shared.value)
         for pdf in batches:
             r = raw(pdf, own)
-            p = np.where(r > 0, 1 / (1 + np.exp(-(_logit(r) * slope + offset))), 0.0)
+            p = np.where(r > 0, 1 / (1 + np.exp(-np.clip(_logit(r) * slope + offset, -35, 35))), 0.0)
             yield pd.DataFrame({doc_id: np.repeat(pdf[doc_id].to_numpy(), k), "subject": np.tile(np.array(names, dtype=object), len(pdf)), "posterior": p.ravel()})
 
     return bags.select(doc_id, "bag", "language").mapInPandas(final, f"{doc_id} {kind}, subject string, posterior double")

@@ -16,7 +16,8 @@ def brute(docs, items):
         w = leakage.words(t)
         for i, x in items:
             own = leakage.words(x)
-            if own and leakage.alignment(own, w) / len(own) >= 0.5 and len(own) >= 3:
+            run = any(w[k : k + len(own)] == own for k in range(len(w)))
+            if own and (leakage.alignment(own, w) / len(own) >= 0.5 if len(own) >= 3 else run):
                 out.add((d, i))
     return out
 
@@ -41,6 +42,30 @@ def test_leaks_match_brute_force(spark):
     assert got == brute(docs, items) and {(103, 3), (104, 5), (105, 5), (102, 93)} <= got
 
 
+def test_short_items_and_edited_halves(spark):
+    """Items of 15 to 25 words of which the first half or more stands in a document with a third of it edited, and items under three words."""
+    items = [(i, " ".join(passage(15 + i % 11))) for i in range(40)] + [(80, "Quintessence unbound"), (81, "zymurgy")]
+    docs = []
+    for i, t in items[:40]:
+        own = leakage.words(t)
+        part = own[: max(len(own) * 2 // 3, 8)]
+        for k in range(3, len(part), 4):
+            part[k] = "edited"
+        docs.append((i, " ".join(passage(30) + part + passage(30))))
+    docs += [(200, "So: QUINTESSENCE, unbound!"), (201, "quintessence is unbound"), (202, "Some zymurgy here"), (203, "some"), (204, " ".join(passage(4000)))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, t in docs:
+        w = leakage.words(t)
+        for i, x in items:
+            own = leakage.words(x)
+            run = any(w[k : k + len(own)] == own for k in range(len(w)))
+            if run if len(own) < leakage.SHINGLE else leakage.alignment(own, w) / len(own) >= 0.5:
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, it).collect()}
+    assert got == want and {(200, 80), (202, 81)} <= got and sum(d == i for d, i in got) >= 20
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     it = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")

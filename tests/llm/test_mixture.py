@@ -14,7 +14,9 @@ def targets(spark, rows):
 def test_capped_poisson():
     for cap in (1, 2, 5):
         for mean in (0.1, 0.5, 0.9 * cap):
+            assert mixture.draw_table(0.7, cap)[-1] <= 1
             assert mixture.capped_mean(mixture.rate_for(mean, cap), cap) == pytest.approx(mean, abs=1e-6)
+    assert mixture.capped_mean(mixture.rate_for(1500, 2000), 2000) == pytest.approx(1500, abs=1e-3)
     assert mixture.rate_for(0, 3) == 0.0 and mixture.rate_for(3, 3) == float("inf") and mixture.draw_table(float("inf"), 2) == [0.0, 0.0]
 
 
@@ -37,7 +39,9 @@ def test_tokens_and_shares(spark):
     assert {d for d, n in uses.items() if rows[d][0] == "c" and n == 2} == {i for i, r in enumerate(rows) if r[0] == "c"}  # short: used as often as allowed
     assert sorted(map(tuple, mix.select("doc_id", "copy_no").collect())) == sorted(map(tuple, mixture.replicate(c.repartition(3), t).select("doc_id", "copy_no").collect()))
     shares = {r["source"]: r for r in mixture.shares(c, t).collect()}
-    assert shares["b"]["actual_share"] == pytest.approx(0.3, abs=0.03) and shares["none"]["short"] and shares["none"]["tokens"] == 0
+    assert sum(r["actual_share"] for r in shares.values()) == pytest.approx(1.0)
+    assert {s for s, r in shares.items() if r["short"]} == {s for s, p in plan.items() if p["short"]}
+    assert shares["b"]["tokens"] / total == pytest.approx(0.3, abs=0.03) and shares["none"]["short"] and shares["none"]["tokens"] == 0
 
 
 def test_empty(spark):

@@ -209,7 +209,7 @@ def test_candidate_recall(spark):
         right.append((f"e{i}", f"{other} MUSIC ACADEMY INC", *place))
         want.add((f"u{i}", f"e{i}"))
     l, rr = (spark.createDataFrame(x, RECORDS) for x in (left, right))
-    p = entities.keep(entities.profiles(l, rr), "profiles")
+    p = entities.profiles(l, rr)
     o = {(x["is_left"], x["o"]): x["key"] for x in p.collect()}
     got = {(o[True, x["lo"]], o[False, x["ro"]]) for x in entities.candidates(p).collect()}
     assert len(got & want) / len(want) >= 0.95

@@ -31,22 +31,34 @@ def found(counts):
     return {r["term"]: (r["occurrences"], r["records"]) for r in counts.where("term is not null").collect()}
 
 
-def test_signed_changes_equal_a_recount(spark):
-    base = frequency.apply_changes(frequency.empty_counts(spark), "name", added=table(spark, NAMES))
-    assert found(base) == brute(NAMES)
+def test_signed_changes_equal_a_recount(spark, tmp_path):
+    counts = frequency.CountTable(spark, f"file://{tmp_path}/counts")
+    assert counts.read().count() == 0
+    counts.apply("name", added=table(spark, NAMES))
+    assert found(counts.read()) == brute(NAMES)
+    written = {p: p.stat().st_mtime_ns for p in tmp_path.glob("counts/part=*/*.parquet")}
     new = ["delta beta", None]
     old, edited = ["one two three", "ONE"], ["one two", None]
-    after = frequency.apply_changes(base, "name", added=table(spark, new), deleted=table(spark, ["Alpha Beta alpha"]), changed=(table(spark, old), table(spark, edited)))
+    counts.apply("name", added=table(spark, new), deleted=table(spark, ["Alpha Beta alpha"]), changed=(table(spark, old), table(spark, edited)))
     left = [t for t in NAMES if t not in (*old, "Alpha Beta alpha")] + ["Alpha Beta alpha", *new, *edited]
+    after = counts.read()
     assert found(after) == brute(left)
     assert after.where("term is null").first()["records"] == sum(t is not None for t in left)
-    gone = frequency.apply_changes(after, "name", deleted=table(spark, left))
-    assert gone.count() == 0 and frequency.apply_changes(base, "name") is base
-
-
-def test_marks_and_empty(spark):
-    counts = frequency.apply_changes(frequency.empty_counts(spark), "name", added=table(spark, ["a b"] * 60 + ["c", "d d d"]), persist=False)
-    assert {(r["term"], r["mark"]) for r in frequency.marked(counts).where("mark is not null").collect()} == {("A", "common"), ("B", "common"), ("C", "rare")}
+    # parts that no changed term falls into are the files that they were
+    touched = {r["part"] for r in frequency.change_set("name", table(spark, new), table(spark, ["Alpha Beta alpha"]), (table(spark, old), table(spark, edited))).select("part").distinct().collect()}
+    same = [p for p in written if int(p.parent.name.removeprefix("part=")) not in touched]
+    assert same and all(p.exists() and p.stat().st_mtime_ns == written[p] for p in same)
+    counts.apply("name", deleted=table(spark, left))
+    assert counts.read().count() == 0
+    counts.apply("name")
+    counts.apply("name", added=table(spark, []))
+    assert counts.read().count() == 0
+
+
+def test_marks_and_empty(spark, tmp_path):
+    counts = frequency.CountTable(spark, f"file://{tmp_path}/counts")
+    counts.apply("name", added=table(spark, ["a b"] * 60 + ["c", "d d d"]))
+    assert {(r["term"], r["mark"]) for r in frequency.marked(counts.read()).where("mark is not null").collect()} == {("A", "common"), ("B", "common"), ("C", "rare")}
     assert frequency.marked(frequency.empty_counts(spark)).count() == 0
     assert frequency.marked(frequency.counted_by_vintage(table(spark, []), "name", "term")).count() == 0
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Fields of a canonical record; id identifies a query, ein a reference entry.
+# The fields of a canonical record; id identifies a query, ein a reference entry.
 FIELDS = ["id", "ein", "name", "dba", "division", "street", "unit", "city", "county", "state", "zip5", "zip_plus4", "active"]
-#: Which fields each profile compares; blocked and scored by name besides.
+# Which fields each profile compares; blocked and scored by name besides.
 GEO_PROFILES = {
     "state": ["state"], "city_state": ["city", "state"], "county_state": ["county", "state"], "zip_city_state": ["zip5", "city", "state"],
     "street_full": ["street", "city", "state", "zip5"], "street_unit_full": ["street", "unit", "city", "state", "zip5"],
 }
+# Weights of geographic agreements, and of fields by profile.
 GEO_WEIGHTS = {"zip9": 1.00, "street": 0.95, "zip5": 0.90, "pobox": 0.90, "zip3": 0.55, "city": 0.50, "state": 0.20}
 FIELD_WEIGHTS = {
     "state": {"name": 1.0}, "city_state": {"name": 0.70, "city": 0.30}, "county_state": {"name": 0.70, "county": 0.30},
@@ -23,6 +24,7 @@ COMPARED = {"name": "name_key", "street": "street_key", "unit": "street_unit", "
 
 @dataclass(frozen=True)
 class Config:
+    # The defaults of thresholds and weights.
     yes: float = 0.78
     maybe: float = 0.65
     min_margin: float = 0.05

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import STOPWORDS
+from ..runtime import keep
 from .skew import HOT
 from .stats import telling
 
@@ -44,7 +45,7 @@ def by_tokens(queries: DataFrame, reference: DataFrame, by: list[str] | None = N
     max_ref_freq leaves out tokens that more reference records hold; it bounds the fan-out of each token. min_pair_idf
     keeps pairs whose shared tokens' idf adds up to at least that, or to ln(N) where that is less; a token that is
     repeated in a name counts as often as it is. concat adds the adjacent tokens of a name written together. The frequent
-    tokens that are left out are fewer than all token rows / max_ref_freq, so they are broadcast only where that is small.
+    tokens that are left out are counted, and broadcast only if they are at most HOT.
     """
     by = by or []
     keys = [f"k{i}" for i in range(len(by))]
@@ -54,8 +55,8 @@ def by_tokens(queries: DataFrame, reference: DataFrame, by: list[str] | None = N
     all_tokens = _tokens(reference, "rid", [], column, min_len, stopwords, concat)
     df = all_tokens.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     if max_ref_freq is not None:
-        common = df.where(F.col("df") > max_ref_freq).select("token")
-        if max_ref_freq >= HOT:
+        common = keep(df.where(F.col("df") > max_ref_freq).select("token"), "frequent-tokens")
+        if common.count() <= HOT:
             common = F.broadcast(common)
         q, r = q.join(common, "token", "left_anti"), r.join(common, "token", "left_anti")
     if min_pair_idf is None:

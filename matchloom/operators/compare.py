@@ -54,6 +54,14 @@ def compared_fields(queries: DataFrame, reference: DataFrame, profile: str) -> l
     return [f for f in fields if q[f] and r[f]]
 
 
+def geo_flags() -> dict[str, Column]:
+    """Exact geographic agreements as 0 or 1; both sides must have the field."""
+    x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
+    flag = lambda cond: F.when(cond, 1).otherwise(0)
+    same = lambda c: flag(present(x(c)) & present(y(c)) & (x(c) == y(c)))
+    return {**{f"geo_{c}": same(c) for c in ("zip9", "zip5", "zip3", "state")}, "geo_stnum": same("street_num"), "geo_pobox": flag(x("is_po_box") & y("is_po_box"))}
+
+
 def _overlap(idf: bool, idf_min: float):
     @F.pandas_udf(T.DoubleType())
     def overlap(a: pd.Series, b: pd.Series, rare: pd.Series) -> pd.Series:
@@ -86,12 +94,7 @@ def compare(candidates: DataFrame, queries: DataFrame, reference: DataFrame, con
     r = reference.select("rid", "ein", F.col("active").alias("bmf_active"), *[F.col(c).alias(f"{c}_y") for c in side])
     p = candidates.select("id", "rid").join(q, "id").join(r, "rid")
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
-    flag = lambda cond: F.when(cond, 1).otherwise(0)
-    same = lambda c: flag(present(x(c)) & present(y(c)) & (x(c) == y(c)))
-    p = p.withColumns({
-        "geo_zip9": same("zip9"), "geo_zip5": same("zip5"), "geo_zip3": same("zip3"), "geo_state": same("state"), "geo_stnum": same("street_num"),
-        "geo_pobox": flag(x("is_po_box") & y("is_po_box")),
-    })
+    p = p.withColumns(geo_flags())
     floor = config.similarity_floor
     sims = {"__" + c: (F.when(x(c) == y(c), 1.0).otherwise(0.0) if c == "zip5" else S.jaro_column(x(c), y(c), floor)) for c in cols}
     alts = {"nd": ("name_key", "dba_key"), "dn": ("dba_key", "name_key"), "dd": ("dba_key", "dba_key"), "vn": ("division_key", "name_key"), "vd": ("division_key", "dba_key")}

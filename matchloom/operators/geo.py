@@ -23,13 +23,13 @@ def clean_city(city: Column, aliases: dict[str, str] | None = None) -> Column:
 
 def refine_city(df: DataFrame, zip_ref: DataFrame, max_dist: int = 2) -> DataFrame:
     """city by the postal code's own: filled where missing, replaced where it is within max_dist edits. zip_ref has zip5 and
-    city (or major_city, primary_city, po_name); its first city by name counts. Postal codes number at most 100,000."""
+    city (or major_city, primary_city, po_name); its first city by name counts."""
     col = next((c for c in ("city", "major_city", "primary_city", "po_name") if c in zip_ref.columns), None)
     if col is None or "zip5" not in zip_ref.columns:
         return df
     ref = zip_ref.select(pad5(F.col("zip5")).alias("zip5"), F.upper(col).alias("__ref")).where("__ref != ''").groupBy("zip5").agg(F.min("__ref").alias("__ref"))
     own = F.upper("city")
-    out = df.join(F.broadcast(ref), "zip5", "left")
+    out = df.join(ref, "zip5", "left")
     better = F.when(F.col("__ref").isNull(), own).when(own.isNull() | (own == ""), F.col("__ref")).when(F.levenshtein(own, F.col("__ref"), max_dist) >= 0, F.col("__ref")).otherwise(own)
     return out.withColumn("city", better).drop("__ref")
 

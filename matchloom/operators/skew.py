@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Cut points per key of the first percentile step, and the parts over which the cut points of a key are spread.
-SPLITS, SALTS = 64, 8
+#: Cut points per key of the first percentile step. The cut points of a key are spread over as many parts as a shuffle has.
+SPLITS = 64
 
 
 def value_frequency(df: DataFrame, keys: list[str], value: str, count: str = "n") -> DataFrame:
@@ -50,10 +50,11 @@ def weighted_percentiles(freq: DataFrame, keys: list[str], value: str, points: d
     key into bins; bin totals, at most SPLITS + 1 a key, tell which bin holds each percentile; only those bins are sorted.
     The result doesn't depend on the sketch's error, which only makes bins uneven. Null values are ignored.
     """
+    salts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = freq.where(F.col(value).isNotNull()).withColumnRenamed(count, "__w")
     cuts = f.groupBy(*keys).agg(F.percentile_approx(value, [i / SPLITS for i in range(1, SPLITS)], 10_000).alias("__cuts"))
-    cuts = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    f = f.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    cuts = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    f = f.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
     same = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys] + [F.col("f.__salt") == F.col("c.__salt")]
     on = same[0]
     for x in same[1:]:

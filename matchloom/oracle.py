@@ -97,6 +97,45 @@ _LABELLED = """l AS (SELECT p.total_score AS s, CASE WHEN p.ein = m.gt_ein THEN
     k AS (SELECT s, count(*) AS n, sum(y) AS p FROM l GROUP BY 1)"""
 _AUC = """(SELECT (sum(r * p) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)) FROM (SELECT n, p, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM k))"""
 
+_AFFILIATE = f"coalesce(contains(other, ' ') AND regexp_extract(other, '([^ ]+)$', 1) IN {_in(K.AFFILIATES)} AND sim >= 0.95 AND NOT list_contains(string_split(raw, ' '), regexp_extract(other, '([^ ]+)$', 1)), false)"
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(upper(coalesce({x}, '')), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def generation(f: str) -> str:
+    return f"CASE list_filter({toks(f)}, lambda t: t IN ('JR', 'SR'))[1] WHEN 'JR' THEN '2' WHEN 'SR' THEN '1' END"
+
+
+# the older scorer's pairs with every name of both sides, and what rules say of them
+_NAMED = f"""a AS (SELECT DISTINCT unique_entity_id AS id, legal_business_name AS n, {full('legal_business_name')} AS f FROM df_source), b AS (SELECT DISTINCT ein, org_name_raw AS m, {full('org_name_raw')} AS g FROM df_db),
+        c AS (SELECT unique_entity_id AS id, ein, max(CASE WHEN isnan(name_similarity) THEN NULL ELSE name_similarity END) AS sim FROM candidate_pairs GROUP BY ALL), j AS (SELECT id, ein, n, m, sim, {numbers('f')} AS na, {numbers('g')} AS nb,
+             {mapped('f', K.ORDINAL_RANKS)} AS oa, {mapped('g', K.ORDINAL_RANKS)} AS ob, {mapped('f', K.NAME_DIRECTIONS)} AS da, {mapped('g', K.NAME_DIRECTIONS)} AS db, {form('f')} AS fa, {form('g')} AS fb, {generation('f')} AS ga, {generation('g')} AS gb,
+             {_plain('n')} AS raw, {_plain('m')} AS other FROM c JOIN a USING (id) JOIN b USING (ein))"""
+_RULED = """x AS (SELECT id, ein, n, m, array_to_string(list_filter(h, lambda e: e IS NOT NULL), ';') AS hard, array_to_string(list_filter(w, lambda e: e IS NOT NULL), ';') AS soft FROM v)
+        SELECT id, ein, n AS name_x, m AS name_y, CASE WHEN hard <> '' THEN 'hard' ELSE 'soft' END AS severity, CASE WHEN hard <> '' THEN hard ELSE soft END AS veto_rule FROM x WHERE hard <> '' OR soft <> ''"""
+
+
+def _number(k: str) -> str:
+    return rf"nullif(CASE WHEN regexp_matches({k}, '\bBOX\b') THEN regexp_extract({k}, 'BOX\s*#?\s*([0-9]+)', 1) ELSE regexp_extract({k}, '^[0-9]+[A-Z]?(-[0-9]+[A-Z]?)?') END, '')"
+
+
+def _same(c: str) -> str:
+    return f"CASE WHEN x{c} <> '' AND x{c} = y{c} THEN 1 ELSE 0 END"
+
+
+# the older scorer's pairs with the geographic agreements of one record a side
+_FLAGS = f"""{R}, f AS (SELECT name_key, count(*) AS freq FROM r GROUP BY 1),
+        qx AS (SELECT unique_entity_id AS id, {zip5('physical_address_zip_postal_code')} AS xz5, {zip5('physical_address_zip_postal_code')} || '-' || {plus4('physical_address_zip_postal_code', 'physical_address_zip_code_4')} AS xz9, {squish('physical_address_city')} AS xcity,
+               {squish('physical_address_province_or_state')} AS xst, {street(squish('physical_address_line_1'))} AS xk FROM df_source QUALIFY row_number() OVER (PARTITION BY unique_entity_id ORDER BY source_row_id) = 1),
+        ry AS (SELECT ein, {zip5('org_addr_zip5')} AS yz5, {zip5('org_addr_zip5')} || '-' || {plus4('org_addr_zip5', 'org_addr_zip4')} AS yz9, {squish('org_addr_city')} AS ycity, {squish('org_addr_state')} AS yst, {street(squish('org_addr_street'))} AS yk,
+               {key('f')} AS name_key FROM (SELECT *, {full('org_name_join')} AS f FROM df_db) QUALIFY row_number() OVER (PARTITION BY ein ORDER BY db_row_id) = 1),
+        p0 AS (SELECT pair_id, unique_entity_id AS id, ein, coalesce(CASE WHEN isnan(name_similarity) THEN 0 ELSE name_similarity END, 0) AS name_sim, coalesce(CASE WHEN isnan(addr_similarity) THEN 0 ELSE addr_similarity END, 0) AS addr_raw FROM candidate_pairs),
+        k0 AS (SELECT *, left(xz5, 3) AS xz3, left(yz5, 3) AS yz3, {_number('xk')} AS xn, {_number('yk')} AS yn FROM p0 JOIN qx USING (id) JOIN ry USING (ein) LEFT JOIN f USING (name_key)),
+        g AS (SELECT pair_id, name_sim, addr_raw AS addr_sim, freq, {_same('z9')} AS geo_zip9, {_same('z5')} AS geo_zip5, {_same('z3')} AS geo_zip3, {_same('st')} AS geo_state, {_same('n')} AS geo_stnum,
+               CASE WHEN regexp_matches(xk, '{K.BOX_PATTERN}') AND regexp_matches(yk, '{K.BOX_PATTERN}') THEN 1 ELSE 0 END AS geo_pobox, CASE WHEN xcity = ycity THEN 1.0 ELSE 0 END AS city_sim FROM k0)"""
+
 SQL = {
     "canonicalize": f"SELECT unique_entity_id AS id, {squish('legal_business_name')} AS name, {squish('dba_name')} AS dba, {squish('entity_division_name')} AS division, {squish('physical_address_line_1')} AS street, {squish('physical_address_line_2')} AS unit, {squish('physical_address_city')} AS city, {squish('physical_address_province_or_state')} AS state, {squish('physical_address_zip_postal_code')} AS zip5 FROM df_source",
     "name_features": f"""WITH f AS (SELECT db_row_id, {full('org_name_raw')} AS f FROM df_db)
@@ -117,9 +156,9 @@ SQL = {
         round(avg(CASE WHEN coalesce(trim(physical_address_zip_postal_code), '') <> '' THEN 1.0 ELSE 0 END), 6) AS zip5 FROM df_source""",
     "block_exact": f"WITH {Q}, {R} SELECT DISTINCT id, ein FROM q JOIN r USING (state, name_key) WHERE state <> '' AND name_key <> ''",
     "block_cross_column": f"WITH {Q}, {R} SELECT DISTINCT q.id, r.ein FROM q JOIN r ON q.state = r.state AND q.dba_key = r.name_key WHERE q.state <> '' AND q.dba_key <> ''",
-    "block_token": f"WITH {Q}, {R}, {_TOKENS} SELECT DISTINCT qt.id, rt.ein FROM qt JOIN rt USING (state, token) JOIN d USING (token) WHERE state <> '' AND df <= 20",
+    "block_token": f"WITH {Q}, {R}, {_TOKENS} SELECT DISTINCT qt.id, rt.ein FROM qt JOIN rt USING (state, token) WHERE state <> ''",
     "block_union": f"WITH {Q}, {R} SELECT id, ein FROM q JOIN r USING (state, name_key) WHERE state <> '' AND name_key <> '' UNION SELECT q.id, r.ein FROM q JOIN r ON q.state = r.state AND q.dba_key = r.name_key WHERE q.state <> '' AND q.dba_key <> ''",
-    "block_token_idf": f"""WITH {Q}, {R}, {_TOKENS}, w AS (SELECT q.id, q.name_key, q.dba_key, r.rid, r.ein, r.token, d.df FROM (SELECT id, state, name_key, dba_key, unnest({telling('name_key')}) AS token FROM q WHERE state <> '') q JOIN rt r USING (state, token) JOIN d USING (token) WHERE d.df <= 200),
+    "block_token_idf": f"""WITH {Q}, {R}, {_TOKENS}, w AS (SELECT q.id, q.name_key, q.dba_key, r.rid, r.ein, r.token, d.df FROM (SELECT id, state, name_key, dba_key, unnest({telling('name_key')}) AS token FROM q WHERE state <> '') q JOIN rt r USING (state, token) JOIN d USING (token) WHERE d.df <= 25000),
         x AS (SELECT id, name_key, dba_key, rid, any_value(ein) AS ein, sum(ln((SELECT count(*) FROM r) / df)) AS w FROM w GROUP BY id, name_key, dba_key, rid) SELECT DISTINCT id, ein FROM x WHERE w >= least(8, ln((SELECT count(*) FROM r))) - 1e-9""",
     "select_best": f"""WITH {_PICKS} SELECT id, overall_ein, round(overall_score, 6) AS overall_score, name_ein, addr_ein, n_close, n_close >= 2 AS tie, round(overall_score - coalesce(runner_up, 0), 6) AS overall_margin,
         name_ein = overall_ein AND addr_ein = overall_ein AS views_agree,
@@ -143,11 +182,34 @@ SQL = {
         FROM df_source LEFT JOIN z ON zip5 = physical_address_zip_postal_code""",
     "dominant_geo": "WITH g AS (SELECT org_addr_zip5 AS zip5, org_addr_state AS state, count(*) AS n FROM df_db WHERE org_addr_zip5 <> '' AND org_addr_state <> '' GROUP BY 1, 2) SELECT zip5, state FROM g QUALIFY row_number() OVER (PARTITION BY zip5 ORDER BY n DESC, state) = 1",
     "augment_geo": """WITH c AS (SELECT org_addr_zip5 AS zip5, min(ntee_clean) AS ntee FROM df_db WHERE org_addr_zip5 <> '' GROUP BY 1) SELECT source_row_id, ntee FROM df_source LEFT JOIN c ON zip5 = physical_address_zip_postal_code""",
-    "veto_audit": f"""WITH a AS (SELECT DISTINCT unique_entity_id AS id, legal_business_name AS n, {full('legal_business_name')} AS f FROM df_source), b AS (SELECT DISTINCT ein, org_name_raw AS m, {full('org_name_raw')} AS g FROM df_db),
-        c AS (SELECT DISTINCT unique_entity_id AS id, ein FROM candidate_pairs), j AS (SELECT id, ein, n, m, {numbers('f')} AS na, {numbers('g')} AS nb, {mapped('f', K.ORDINAL_RANKS)} AS oa, {mapped('g', K.ORDINAL_RANKS)} AS ob,
-             {mapped('f', K.NAME_DIRECTIONS)} AS da, {mapped('g', K.NAME_DIRECTIONS)} AS db, trim(regexp_replace(regexp_replace(upper(coalesce(n, '')), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS raw FROM c JOIN a USING (id) JOIN b USING (ein)),
-        v AS (SELECT *, [CASE WHEN NOT list_has_any(string_split(na, ' '), string_split(nb, ' ')) THEN 'number_conflict' END, CASE WHEN oa <> ob THEN 'ordinal_conflict' END, CASE WHEN da <> db THEN 'direction_conflict' END,
-             CASE WHEN regexp_matches(raw, '{K.FORPROFIT_PATTERN}') THEN 'forprofit_form' END] AS h, regexp_matches(raw, '{K.GOVERNMENT_PATTERN}') AS g FROM j),
-        x AS (SELECT id, ein, n, m, array_to_string(list_filter(h, lambda e: e IS NOT NULL), ';') AS hard, g FROM v)
-        SELECT id, ein, n AS name_x, m AS name_y, CASE WHEN hard <> '' THEN 'hard' ELSE 'soft' END AS severity, CASE WHEN hard <> '' THEN hard ELSE 'government_entity' END AS veto_rule FROM x WHERE hard <> '' OR g""",
+    "veto_audit": f"""WITH {_NAMED}, v AS (SELECT *, [CASE WHEN NOT list_has_any(string_split(na, ' '), string_split(nb, ' ')) THEN 'number_conflict' END, CASE WHEN oa <> ob THEN 'ordinal_conflict' END, CASE WHEN da <> db THEN 'direction_conflict' END,
+             CASE WHEN regexp_matches(raw, '{K.FORPROFIT_PATTERN}') THEN 'forprofit_form' END] AS h, [CASE WHEN {_AFFILIATE} THEN 'affiliate_suffix' END, CASE WHEN regexp_matches(raw, '{K.GOVERNMENT_PATTERN}') THEN 'government_entity' END] AS w FROM j),
+        {_RULED}""",
+    "veto_optional": f"""WITH {_NAMED}, v AS (SELECT *, [CASE WHEN fa <> fb THEN 'legal_form_conflict' END, CASE WHEN ga <> gb THEN 'generation' END] AS h, [CASE WHEN (ga IS NULL) <> (gb IS NULL) THEN 'generation_asym' END] AS w FROM j),
+        {_RULED}""",
+    "select_ruled": f"""WITH {_PAIRS}, a AS (SELECT id, n, f FROM (SELECT DISTINCT unique_entity_id AS id, legal_business_name AS n, {full('legal_business_name')} AS f FROM df_source) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n NULLS FIRST) = 1),
+        b AS (SELECT ein, m, g FROM (SELECT DISTINCT ein, org_name_raw AS m, {full('org_name_raw')} AS g FROM df_db) QUALIFY row_number() OVER (PARTITION BY ein ORDER BY m NULLS FIRST) = 1),
+        j0 AS (SELECT s.*, n, m, {numbers('f')} AS na, {numbers('g')} AS nb, {mapped('f', K.ORDINAL_RANKS)} AS oa, {mapped('g', K.ORDINAL_RANKS)} AS ob, {mapped('f', K.NAME_DIRECTIONS)} AS da, {mapped('g', K.NAME_DIRECTIONS)} AS db,
+               {_plain('n')} AS raw, {_plain('m')} AS other, name_sim AS sim FROM s JOIN a USING (id) JOIN b USING (ein)),
+        j AS (SELECT *, coalesce(NOT list_has_any(string_split(na, ' '), string_split(nb, ' ')), false) OR coalesce(oa <> ob, false) OR coalesce(da <> db, false) OR regexp_matches(raw, '{K.FORPROFIT_PATTERN}') AS hard,
+               {_AFFILIATE} OR regexp_matches(raw, '{K.GOVERNMENT_PATTERN}') AS soft FROM j0),
+        w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ein, pair_id) AS r FROM j WHERE NOT hard),
+        o AS (SELECT id, max(ein) FILTER (r = 1) AS overall_ein, max(score) FILTER (r = 1) AS top, max(score) FILTER (r = 2) AS next, bool_or(soft) FILTER (r = 1) AS soft FROM w GROUP BY 1)
+        SELECT id, overall_ein, round(top, 6) AS overall_score, coalesce(soft, false) AS veto_soft,
+               CASE WHEN top >= 0.78 AND top - coalesce(next, 0) >= 0.05 AND NOT soft THEN 'YES' WHEN top >= 0.65 THEN 'MAYBE' ELSE 'NO' END AS tier FROM (SELECT DISTINCT id FROM j) LEFT JOIN o USING (id)""",
+    "geo_flags": f"WITH {_FLAGS} SELECT pair_id, geo_zip9, geo_zip5, geo_zip3, geo_state, geo_stnum, geo_pobox FROM g",
+    "weighted_pairs": f"WITH {_FLAGS} SELECT pair_id, round(0.45 * name_sim + 0.25 * addr_sim + 0.15 * geo_zip5 + 0.15 * city_sim, 6) AS score FROM g",
+    "hier_pairs": f"""WITH {_FLAGS}, h AS (SELECT *, 0.6 * name_sim + 0.4 * greatest(1.0 * geo_zip9, CASE WHEN geo_stnum = 1 AND addr_sim >= 0.9 AND geo_pobox = 0 THEN 0.95 ELSE 0 END, 0.9 * geo_zip5, CASE WHEN geo_pobox = 1 AND geo_stnum = 1 THEN 0.9 ELSE 0 END,
+             0.55 * geo_zip3, 0.5 * city_sim, 0.2 * geo_state) AS base FROM g),
+        i AS (SELECT *, CASE WHEN name_sim >= 0.95 AND freq <= 3 THEN greatest(base, CASE WHEN geo_state = 1 THEN 0.9 ELSE 0.72 END) ELSE base END AS lifted FROM h)
+        SELECT pair_id, round(CASE WHEN name_sim < 0.85 THEN least(CASE WHEN name_sim >= 0.8 THEN greatest(lifted, 0.65) ELSE lifted END, 0.78 - 1e-6) ELSE lifted END, 6) AS score FROM i""",
+    "review_fields": """SELECT unique_entity_id AS uei, entity_start_date AS SAM_entity_start_date, entity_structure AS SAM_entity_structure,
+        CASE entity_structure WHEN '2J' THEN 'Sole Proprietorship' WHEN '2K' THEN 'Partnership or LLP' WHEN '2L' THEN 'Corporate Entity (Not Tax Exempt)' WHEN '8H' THEN 'Corporate Entity (Tax Exempt)' WHEN '2A' THEN 'U.S. Government Entity'
+             WHEN 'CY' THEN 'Foreign Government' WHEN 'X6' THEN 'International Organization' WHEN 'ZZ' THEN 'Other' ELSE entity_structure END AS SAM_entity_structure_label,
+        list_contains(string_split(coalesce(bus_type_string, ''), '~'), 'A8') AS SAM_bus_type_nonprofit, list_contains(string_split(coalesce(bus_type_string, ''), '~'), 'BZ') AS SAM_bus_type_foundation FROM df_source""",
+    "registry_fields": """SELECT ein, ntee_clean AS BMF_ntee_clean, subsection AS BMF_subsection, try_cast(left(ruling_date, 4) AS INTEGER) AS BMF_rule_year, assets::DOUBLE AS BMF_assets, revenue::DOUBLE AS BMF_revenue,
+        false AS BMF_is_foundation, NULL::VARCHAR AS BMF_form_990 FROM df_db""",
+    "screen": f"""WITH {Q}, {R}, qt AS (SELECT DISTINCT id, state, name_key, unnest(list_distinct({telling('name_key')})) AS token FROM q WHERE state <> ''), rt AS (SELECT DISTINCT rid, ein, state, unnest(list_distinct({telling('name_key')})) AS token FROM r WHERE state <> ''),
+        n AS (SELECT id, state, name_key, count(*) AS n FROM qt GROUP BY ALL), h AS (SELECT id, state, name_key, rid, ein, count(*) AS k FROM qt JOIN rt USING (state, token) GROUP BY ALL)
+        SELECT id, ein, max(k / n) AS share FROM h JOIN n USING (id, state, name_key) GROUP BY 1, 2 HAVING max(k / n) >= 0.5""",
 }

@@ -9,12 +9,14 @@ from . import schema
 from .config import Config
 from .functions import constants as K
 from .functions import text as X
-from .operators import block, geo, incremental, skew, stats
+from .operators import block, geo, incremental, review, skew, stats, tier1
 from .operators import evaluate as E
 from .operators import train as T
 from .operators import veto as V
 from .operators.compare import Pairs, geo_coverage
+from .operators.compare import geo_flags as geo_flags_of
 from .operators.normalize import normalize
+from .operators.score import score
 from .operators.select import candidates, select, tier
 from .oracle import SQL as ORACLE
 from .plans import pipeline
@@ -120,7 +122,7 @@ def block_union(spark, d):
 
 def block_token(spark, d):
     r = _r(spark, d)
-    return _eins(block.by_tokens(_q(spark, d), r, ["state"], max_ref_freq=20), r)
+    return _eins(block.by_tokens(_q(spark, d), r, ["state"]), r)
 
 
 def _block_idf(spark, d, **how):
@@ -132,7 +134,7 @@ def _block_idf(spark, d, **how):
 
 
 def block_token_idf(spark, d):
-    return _block_idf(spark, d, by=["state"], max_ref_freq=200)
+    return _block_idf(spark, d, by=["state"], max_ref_freq=25_000)
 
 
 def block_token_concat(spark, d):
@@ -156,6 +158,77 @@ def select_best(spark, d):
     return out.select("id", "overall_ein", F.round("overall_score", 6).alias("overall_score"), "name_ein", "addr_ein", "n_close", "tie", F.round("overall_margin", 6).alias("overall_margin"), "views_agree", "tier")
 
 
+def _ruled(spark, d) -> Pairs:
+    """The older scorer's pairs with the names of one record a side (the smallest name) and all rules on."""
+    p = _scored(spark, d)
+    x, y = _featured(table(spark, d, "df_source"), "unique_entity_id", "legal_business_name", "x"), _featured(table(spark, d, "df_db"), "ein", "org_name_raw", "y")
+    one = lambda df, key, s: df.groupBy(key).agg(F.min(F.struct(f"name_{s}", *[c for c in df.columns if c not in (key, f"name_{s}")])).alias("m")).select(key, "m.*")
+    df = p.df.drop("name_x", "name_y", "veto", "veto_soft", "veto_soft_reason")
+    df = df.join(one(x, "unique_entity_id", "x").withColumnRenamed("unique_entity_id", "id"), "id").join(one(y, "ein", "y"), "ein")
+    return p.with_df(V.veto(df))
+
+
+def select_ruled(spark, d):
+    """The picks with every rule on: hard-vetoed pairs don't take part, soft vetoes hold a YES back."""
+    c = Config(tiebreak="none")
+    out = tier(select(_ruled(spark, d), c), c)
+    return out.select("id", "overall_ein", F.round("overall_score", 6).alias("overall_score"), F.coalesce("overall_veto_soft", F.lit(False)).alias("veto_soft"), "tier")
+
+
+def select_tiebreak(spark, d):
+    """The picks with every rule on, near ties going to the names most alike."""
+    out = tier(select(_ruled(spark, d), Config()))
+    return out.select("id", "overall_ein", F.round("overall_score", 6).alias("overall_score"), "n_close", "tie", F.round("overall_margin", 6).alias("overall_margin"), "tier")
+
+
+def _flagged(spark, d) -> DataFrame:
+    """Pairs of the older scorer with the geographic agreements of one record a side (the smallest row id) and its similarities."""
+    number = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0))
+    first = lambda df, key, row: df.groupBy(key).agg(F.min_by(F.struct(*df.columns), row).alias("m")).select("m.*")
+    q = normalize(schema.canonical(first(table(spark, d, "df_source"), "unique_entity_id", "source_row_id"), schema.SAM_MAP | {"zip_plus4": "physical_address_zip_code_4"}))
+    r = normalize(schema.canonical(first(table(spark, d, "df_db"), "ein", "db_row_id"), schema.bmf_map("act")))
+    cols = ["zip9", "zip5", "zip3", "state", "street_num", "is_po_box", "city"]
+    q, r = q.select("id", *[F.col(c).alias(f"{c}_x") for c in cols]), r.select("ein", "name_key", *[F.col(c).alias(f"{c}_y") for c in cols])
+    p = table(spark, d, "candidate_pairs").select("pair_id", F.col("unique_entity_id").alias("id"), "ein", number("name_similarity").alias("name_sim"), number("addr_similarity").alias("street_key_sim"))
+    p = p.join(q, "id").join(r, "ein").join(stats.name_freq(_r(spark, d)).select(F.col("name").alias("name_key"), F.col("freq").alias("name_freq")), "name_key", "left")
+    p = p.withColumns(geo_flags_of()).withColumn("city_sim", F.when(F.col("city_x") == F.col("city_y"), 1.0).otherwise(0.0)).withColumn("zip5_sim", F.col("geo_zip5").cast("double"))
+    return p.withColumn("name_match_type", F.when(F.col("name_sim") < 0.85, "token_overlap").otherwise("name"))
+
+
+def geo_flags(spark, d):
+    return _flagged(spark, d).select("pair_id", *geo_flags_of())
+
+
+def hier_pairs(spark, d):
+    """The hierarchical score of the older scorer's pairs, by its similarities."""
+    pairs = Pairs(_flagged(spark, d), ["name", "street", "city", "zip5"], "street_full")
+    return score(pairs, Config(), "hier").df.select("pair_id", F.round("score", 6).alias("score"))
+
+
+def weighted_pairs(spark, d):
+    pairs = Pairs(_flagged(spark, d), ["name", "street", "city", "zip5"], "street_full")
+    return score(pairs, Config(), "weighted").df.select("pair_id", F.round("score", 6).alias("score"))
+
+
+def review_fields(spark, d):
+    """Review context of the registrations: decoded structure and one flag a business type."""
+    return review.sam_review_fields(table(spark, d, "df_source")).select("uei", "SAM_entity_start_date", "SAM_entity_structure", "SAM_entity_structure_label", "SAM_bus_type_nonprofit", "SAM_bus_type_foundation")
+
+
+def registry_fields(spark, d):
+    db = table(spark, d, "df_db").select("ein", F.col("ntee_clean").alias("ntee_code_clean"), F.col("subsection").alias("subsection_code"), "ruling_date", F.col("assets").alias("asset_amount"), F.col("revenue").alias("revenue_amount"))
+    return review.bmf_review_fields(db).select("ein", "BMF_ntee_clean", "BMF_subsection", "BMF_rule_year", "BMF_assets", "BMF_revenue", "BMF_is_foundation", "BMF_form_990")
+
+
+def screen(spark, d):
+    """Registrations screened against the index of registry names: the share of each one's telling tokens that one entry of its state has."""
+    return tier1.screen(_q(spark, d), tier1.index(_r(spark, d)))
+
+
+def one_to_one(spark, d):
+    return tier1.one_to_one(_scored(spark, d).df.where("score > 0").select("id", "ein", "score"))
+
+
 def candidates_topk(spark, d):
     return candidates(_scored(spark, d), 3).select("id", "ein", "candidate_type")
 
@@ -218,16 +291,31 @@ def augment_geo(spark, d):
     return geo.augment_geo(table(spark, d, "df_source").select("source_row_id", F.col("physical_address_zip_postal_code").alias("zip5")), c).select("source_row_id", "ntee")
 
 
+def _named_pairs(spark, d):
+    """The older scorer's pairs with every name of both sides."""
+    a, b = _featured(table(spark, d, "df_source"), "unique_entity_id", "legal_business_name", "x"), _featured(table(spark, d, "df_db"), "ein", "org_name_raw", "y")
+    p = table(spark, d, "candidate_pairs").groupBy("unique_entity_id", "ein").agg(F.max(F.when(~F.isnan("name_similarity"), F.col("name_similarity"))).alias("name_sim"))
+    p = p.join(a, "unique_entity_id").join(b, "ein").withColumnRenamed("unique_entity_id", "id").withColumn("score", F.lit(0.0))
+    return p
+
+
+def _featured(df: DataFrame, key: str, name: str, s: str) -> DataFrame:
+    """The different names of each key with the features that rules read."""
+    full = df.select(key, F.col(name).alias(f"name_{s}"), X.name_full(F.col(name)).alias("f")).distinct()
+    c = F.col("f")
+    return full.select(key, f"name_{s}", F.col(f"name_{s}").alias(f"name_raw_{s}"), X.numbers(c).alias(f"name_nums_{s}"), X.mapped_tokens(c, K.ORDINAL_RANKS).alias(f"name_ord_{s}"), X.mapped_tokens(c, K.NAME_DIRECTIONS).alias(f"name_dir_{s}"),
+                       X.name_form(c).alias(f"name_form_{s}"), X.lookup(K.GENERATIONS, X.generation(c)).alias(f"name_gen_rank_{s}"))
+
+
 def veto_audit(spark, d):
-    """Rules on the older scorer's pairs, names as given."""
-    def side(df, key, name, s):
-        full = df.select(key, F.col(name).alias(f"name_{s}"), X.name_full(F.col(name)).alias("f")).distinct()
-        c = F.col("f")
-        return full.select(key, f"name_{s}", F.col(f"name_{s}").alias(f"name_raw_{s}"), X.numbers(c).alias(f"name_nums_{s}"), X.mapped_tokens(c, K.ORDINAL_RANKS).alias(f"name_ord_{s}"), X.mapped_tokens(c, K.NAME_DIRECTIONS).alias(f"name_dir_{s}"))
-    a, b = side(table(spark, d, "df_source"), "unique_entity_id", "legal_business_name", "x"), side(table(spark, d, "df_db"), "ein", "org_name_raw", "y")
-    p = table(spark, d, "candidate_pairs").select("unique_entity_id", "ein").distinct().join(a, "unique_entity_id").join(b, "ein")
-    p = p.withColumnRenamed("unique_entity_id", "id").withColumns({"name_sim": F.lit(0.0), "score": F.lit(0.0)})
-    return V.veto_audit(V.veto(p)).select("id", "ein", "name_x", "name_y", "severity", "veto_rule")
+    """The default rules on the older scorer's pairs, names as given."""
+    return V.veto_audit(V.veto(_named_pairs(spark, d))).select("id", "ein", "name_x", "name_y", "severity", "veto_rule")
+
+
+def veto_optional(spark, d):
+    """The rules that are off by default, on the same pairs."""
+    rules = Config(rules=(V.LEGAL_FORM, V.GENERATION, V.GENERATION_ASYMMETRY))
+    return V.veto_audit(V.veto(_named_pairs(spark, d), rules)).select("id", "ein", "name_x", "name_y", "severity", "veto_rule")
 
 
 def _run(spark, d):
@@ -245,7 +333,7 @@ def _matched(spark, d, method):
     q, r = _registrations(spark, d), _registry(spark, d)
     x, y = keep(normalize(q), "queries"), keep(normalize(r), "reference")
     found = keep(block.union(block.exact(x, y, ["state", "street_key"]), *[p.block(x, y) for p in pipeline.default_passes()]), "candidates")
-    return pipeline.match(q, r, method=method, candidates=found)
+    return pipeline.match(x, y, method=method, candidates=found, normalized=True)
 
 
 def score_weighted(spark, d):
@@ -282,8 +370,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_state_profile, canonicalize, name_features, street_features, zip_family, name_freq, token_idf, geo_profile, block_exact, block_cross_column, block_union, block_token,
-    block_token_idf, block_token_concat, block_crossstate, select_best, candidates_topk, auc, evaluate, tune_thresholds, diff_unmatched, diff_counts, flag_membership, code_flags, clean_geo, refine_city,
-    dominant_geo, augment_geo, veto_audit, score_weighted, score_hier, score_em, score_model, cascade, route_review, run_report_stats,
+    block_token_idf, block_token_concat, block_crossstate, select_best, select_ruled, select_tiebreak, geo_flags, hier_pairs, weighted_pairs, review_fields, registry_fields, screen, one_to_one, candidates_topk, auc, evaluate, tune_thresholds, diff_unmatched, diff_counts, flag_membership, code_flags, clean_geo, refine_city,
+    dominant_geo, augment_geo, veto_audit, veto_optional, score_weighted, score_hier, score_em, score_model, cascade, route_review, run_report_stats,
 )}
 
 SQL = ORACLE | {

@@ -11,14 +11,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
 from ..operators.incremental import diff_unmatched
-from ..plans.pipeline import cascade
+from ..operators.normalize import normalize
+from ..operators.stats import name_freq, token_idf
+from ..plans.pipeline import NoCandidates, cascade
+from ..runtime import keep
 
 
 def match_stream(stream: DataFrame, reference: DataFrame, target: str, checkpoint: str, to_query: Callable[[DataFrame], DataFrame], config: Config | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Starts a query that appends (id, ein, score, tier, batch) of each micro-batch to the Parquet table target.
 
     A batch is rewritten as a whole if it is repeated, so a restart leaves no doubles. Ids that are YES in target already
-    are left out by an anti join."""
+    are left out by an anti join. The reference is normalized and its statistics are counted once, for all batches."""
+    r = keep(normalize(reference), "reference")
+    freq, idf = keep(name_freq(r), "name-freq"), keep(token_idf(r), "token-idf")
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -30,8 +35,8 @@ def match_stream(stream: DataFrame, reference: DataFrame, target: str, checkpoin
         if fresh.isEmpty():
             return
         try:
-            found = cascade(fresh, reference, config).tiered
-        except ValueError:
+            found = cascade(keep(normalize(fresh), "batch"), r, config, normalized=True, freq=freq, idf=idf).tiered
+        except NoCandidates:
             return
         out = found.select("id", F.col("overall_ein").alias("ein"), F.col("overall_score").alias("score"), "tier")
         out.write.mode("overwrite").parquet(f"{target}/batch={number}")

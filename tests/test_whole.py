@@ -1,9 +1,6 @@
 """Cases that a cap or a cut used to lose."""
 
-from pyspark.sql import functions as F
-
 from matchloom import queries
-from matchloom.llm import entities, places
 
 
 def test_blocks_keep_tokens_of_many_records(spark, tmp_path):
@@ -15,7 +12,7 @@ def test_blocks_keep_tokens_of_many_records(spark, tmp_path):
     spark.createDataFrame(db, "ein string, org_name_join string, dba_name string, org_addr_street string, org_addr_city string, org_addr_state string, org_addr_zip5 string, org_addr_zip4 string, act string").write.parquet(f"{tmp_path}/df_db.parquet")
     fields = "unique_entity_id string, legal_business_name string, dba_name string, entity_division_name string, physical_address_line_1 string, physical_address_line_2 string, physical_address_city string, physical_address_province_or_state string, physical_address_zip_postal_code string"
     spark.createDataFrame([("U1", "Harbor Meadow Lantern Compass", None, None, None, None, None, "AK", None)], fields).write.parquet(f"{tmp_path}/df_source.parquet")
-    for q in ("block_token_concat", "block_crossstate"):
+    for q in ("block_token", "block_token_idf", "block_token_concat", "block_crossstate"):
         assert ("U1", "999999999") in {tuple(r) for r in queries.QUERIES[q](spark, str(tmp_path)).collect()}, q
 
 
@@ -38,50 +35,3 @@ def test_every_registration_is_matched(spark, tmp_path):
     result = queries._run(spark, str(tmp_path))
     assert {r["ein"] for r in result.pairs.df.where("id = 'U1' and score > 0.9").collect()} == {"1", "2"}
     assert {r["id"] for r in result.tiered.collect()} <= {"U1", "U2"}
-
-
-RECORDS = "owner string, names array<string>, places array<struct<line string, second string, city string, region string, postcode string>>, forms array<array<int>>"
-
-
-def _candidates(spark, left, right):
-    """(left owner, right owner) of the candidate pairs."""
-    sides = [entities.profiles(spark.createDataFrame([(k, [n], [p], [[0, 0]]) for k, n, p in x], RECORDS)) for x in (left, right)]
-    l, r = entities._located(*sides)  # noqa: E741
-    pairs = entities.candidates(entities._occurrences(l), entities._occurrences(r))
-    return {(x["left_key"], x["right_key"]) for x in entities.compared(pairs, l, r).collect()}
-
-
-def test_typos_at_the_same_street_are_candidates(spark):
-    """Names with a swap or a typo meet by number and street, also from different towns or without one."""
-    typos = [("MARTIN FUND", "MATRIN FUND"), ("HARRISON CLUB", "HARISSON CLUB"), ("GREENWOOD CHURCH", "GREENVOOD CHURCH")]
-    left = [(f"u{i}", a, (f"{i + 7} Olockcombe St", None, "KENWORTH", "DC", None)) for i, (a, _) in enumerate(typos)]
-    for town in ("KENWORTH", "FARVILLE", None):
-        right = [(f"e{i}", b, (f"{i + 7} OLOCKCOMBE STREET", None, town, "DC", None)) for i, (_, b) in enumerate(typos)]
-        assert _candidates(spark, left, right) >= {(f"u{i}", f"e{i}") for i in range(3)}, town
-
-
-def test_common_names_stay_candidates(spark):
-    """A name of more than three towns is still looked for in the whole state."""
-    left = [("u0", "Kenwick Food Bank", ("9 Elm St", None, "TOWNX", "TX", None))]
-    right = [(f"e{i}", "KENWICK FOOD BANK", (f"{i} Oak St", None, f"TOWN{i}", "TX", None)) for i in range(6)]
-    assert _candidates(spark, left, right) == {("u0", f"e{i}") for i in range(6)}
-
-
-def test_misspelt_streets_meet_over_town_and_code(spark):
-    """One side has no postal code, the other's belongs mostly to another town; or its town is misspelt."""
-    many = [(f"o{i}", f"{i} Elm St", None, "FARVILLE", "DC", "16434") for i in range(5)]
-    rows = [*many, ("a1", "77 Olockcombe Rd", None, "KENWORTH", "DC", "16434"), ("a2", "77 OLOCKCOMBE ROAD", None, "KENWORTH", "DC", "16434"), ("b", "77 Oslockcombe Rd", None, "KENWORTH", "DC", None), ("c", "77 Olockcmbe Rd", None, "KENWORTHH", "DC", None)]
-    df = spark.createDataFrame(rows, "rec string, line string, second string, city string, region string, postcode string")
-    num = places.parsed(df).select("rec", *places.FORM).withColumn("form", F.xxhash64("rec")).withColumn("n", F.lit(1))
-    f = places.located(num)
-    right = places.corrected_streets(f.select("form", "kind", "core", "n", F.explode("blocks").alias("block")))
-    got = {r["rec"] for r in f.join(right, "form").select("rec").collect()}
-    assert got == {"b", "c"}
-    assert ("a1", "b") in {tuple(r) for r in places.same_place(df).collect()}
-
-
-def test_equally_supported_streets_are_one_place(spark):
-    """Two spellings with one record each are joined, whichever of them is chosen."""
-    rows = [(f"{s}{i}", f"{i + 1} {w} Rd", None, "KENWORTH", "DC", "16434") for i in range(12) for s, w in (("a", "Olockcombe"), ("b", "Olockcmbe"))]
-    df = spark.createDataFrame(rows, "rec string, line string, second string, city string, region string, postcode string")
-    assert {tuple(r) for r in places.same_place(df).collect()} == {(f"a{i}", f"b{i}") for i in range(12)}

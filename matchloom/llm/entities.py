@@ -21,7 +21,7 @@ from .spellings import _distance, localised, parsed
 from .subjects import _platt
 
 #: Bands of a core's signature and minima of each; how many of the bands are looked up with a house number.
-BANDS, ROWS, WITH_NUMBER = 6, 2, 4
+BANDS, ROWS, WITH_NUMBER = 7, 2, 7
 #: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for it and its calibration.
 SAMPLE, HAND_SAMPLE = 20_000, 50_000
 _SEP = "\x1f"
@@ -58,15 +58,15 @@ def signature(cores: pa.Array) -> pa.Array:
 
 
 def profiles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (side, key, o, nid, core, ordered, short, usual, nums, initials, loc, other_loc, region, zip, numbers, towns_own) of the records of both
-    sides; o is a name in its town. Records with a null key and those without a name are left out."""
+    """(is_left, key, o, nid, core, ordered, short, usual, nums, initials, loc, other_loc, region, zip, numbers, towns_own) of the records of both
+    sides; o is a name in its town; repeated records change nothing. Records with a null key and those without a name are left out."""
     def records(df: DataFrame, side: str) -> DataFrame:
         text = ["name", "city", "region", "postcode", "line", "other_line", "other_postcode"]
         own = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in text]
         return df.where(F.col("owner").isNotNull()).select(F.lit("").alias("rec"), "owner", F.col("owner").alias("key"), F.lit(side).alias("side"), *own)
 
     both = records(left, "left").unionByName(records(right, "right"))
-    own = keep(parsed(both, None, ("key",)).drop("rec", "raw", "owner").withColumn("rec", F.xxhash64("key", "turned").cast("string")).distinct(), "profiles")
+    own = keep(parsed(both, None, ("key",)).drop("rec", "raw", "owner").withColumn("rec", F.xxhash64("key", "turned").cast("string")), "profiles")
     f = localised(own).withColumn("nid", F.xxhash64("short", "nums", "turned", "region", F.when(F.col("cut"), F.col("last"))))
     f = f.withColumns({"o": F.xxhash64("nid", "loc"), "kind": F.xxhash64("short", "nums"), "is_left": F.col("side") == F.xxhash64(F.lit("left")), "towns_own": (F.col("core") == "") | F.contains("town", "core")})
     out = keep(f.select("is_left", "key", "o", "nid", "kind", "usual", "short", "nums", "core", "ordered", "turned", "initials", "base", "last", "cut", "loc", "other_loc", "region", "zip", "numbers", "towns_own"), "located-profiles")
@@ -78,16 +78,16 @@ def candidates(p: DataFrame) -> DataFrame:
     """(lo, ro): pairs of names in towns, one of each side, that share a key. Names with different numbers share none; a name
     without a core is looked up by its usual words."""
     said = F.when(F.col("turned") != "", F.col("turned")).otherwise(F.col("short"))
-    names = keep(p.select(said.alias("said")).distinct().select("said", signature("said").alias("sig")), "signatures")
     towns = F.array_distinct(F.array_compact(F.array("loc", "other_loc")))
     near = F.flatten(F.transform(towns, lambda t: F.transform("sig", lambda x, i: F.xxhash64(F.lit("in"), i, x, t, F.col("kind")))))
     far = F.when(F.col("region") != "", F.array(F.xxhash64(F.lit("of"), "nid"))).otherwise(F.array().cast("array<bigint>"))
     door = F.flatten(F.transform("numbers", lambda n: F.transform(F.slice("sig", 1, WITH_NUMBER), lambda x, i: F.xxhash64(F.lit("at"), i, x, n, F.col("region"), F.col("nums")))))
 
     def keyed(side: Column, o: str) -> DataFrame:
-        at = p.where(side).select("o", "nid", "kind", said.alias("said"), "loc", "other_loc", "region", "numbers", F.xxhash64("nums").alias("nums")).distinct().join(names, "said")
+        at = p.where(side).select("o", "nid", "kind", "loc", "other_loc", "region", "numbers", F.xxhash64("nums").alias("nums"), signature(said).alias("sig"))
         return at.select(F.col("o").alias(o), F.explode(F.concat(near, far, door)).alias("key"))
 
+    # a repeated record repeats its keys, which only the distinct pairs forget: one shuffle less
     return keyed(F.col("is_left"), "lo").join(keyed(~F.col("is_left"), "ro"), "key").select("lo", "ro").distinct()
 
 
@@ -127,7 +127,7 @@ def compared(named: DataFrame, p: DataFrame) -> DataFrame:
     unlike = named.where(~alike).orderBy(F.xxhash64("lo", "ro"), "lo", "ro").limit(SAMPLE)
     named = named.where(alike).withColumn("unlike", F.lit(False)).unionByName(unlike.withColumn("unlike", F.lit(True)))
     cols = ["key", "loc", "other_loc", "region", "zip", "numbers", "towns_own"]
-    l, r = (p.where(w).select("o", *cols).distinct().select(F.col("o").alias(o), *[F.col(c).alias(f"{s}_{c}") for c in cols]) for w, o, s in (("is_left", "lo", "a"), ("not is_left", "ro", "b")))  # noqa: E741
+    l, r = (p.where(w).select("o", *cols).select(F.col("o").alias(o), *[F.col(c).alias(f"{s}_{c}") for c in cols]) for w, o, s in (("is_left", "lo", "a"), ("not is_left", "ro", "b")))  # noqa: E741
     j = named.join(l, "lo").join(r, "ro")
     towns = lambda s: F.array_compact(F.array(f"{s}_loc", f"{s}_other_loc"))
     number = F.arrays_overlap("a_numbers", "b_numbers")
@@ -143,7 +143,7 @@ def compared(named: DataFrame, p: DataFrame) -> DataFrame:
     held = keep(p.select("nid", "kind", F.xxhash64("turned").alias("core"), "region", "loc").distinct().groupBy("nid", "kind", "core", "region").agg(F.count(F.lit(1)).alias("n")), "held")
     per = {c: held.groupBy(c).agg(F.sum("n").cast("double").alias(f"{c}_n")) for c in ("kind", "core", "region")}
     every = held.agg(F.sum("n").alias("every"))  # one row is broadcast
-    distant = j.where("ok and place = 0").select("ro").distinct().join(p.select(F.col("o").alias("ro"), "nid").distinct(), "ro").join(held, "nid")
+    distant = j.where("ok and place = 0").select("ro").distinct().join(p.where("not is_left").groupBy(F.col("o").alias("ro")).agg(F.first("nid").alias("nid")), "ro").join(held, "nid")
     for c, counts in per.items():
         distant = distant.join(counts, c)
     others = [F.greatest(F.lit(0.0), F.col(f"{c}_n") - F.col("n")) for c in ("kind", "core")]
@@ -193,8 +193,11 @@ def match(left_records: DataFrame, right_records: DataFrame, labels: DataFrame |
     teach. Empty sides give no rows. Only samples of bounded size reach the driver.
     """
     p = profiles(left_records, right_records)
-    pairs = keep(compared(names_compared(candidates(p), p), p), "compared")
-    drop(p)
+    found = keep(candidates(p), "candidates")
+    named = keep(names_compared(found, p), "compared-names")
+    drop(found)
+    pairs = keep(compared(named, p), "compared")
+    drop(p, named)
     pairs = pairs.withColumn("weak", weak_label()).withColumn("at", F.xxhash64("left_key", "right_key"))
     sample = None
     for y in (0.0, 1.0):

@@ -118,13 +118,31 @@ def alignment(item: list[str], window: list[str], mismatch: float = 1.0, gap: fl
     return found
 
 
+def may_reach(item: list[str], window: list[str], need: float) -> bool:
+    """Whether an alignment can match need words: no more than both have in common, nor than their longest common
+    subsequence (found bit by bit, a word of the window at a time)."""
+    places: dict[str, int] = {}
+    for k, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << k
+    seen = [p for w in window if (p := places.get(w))]
+    if len(seen) < need:
+        return False
+    whole = (1 << len(item)) - 1
+    v = whole
+    for p in seen:
+        u = v & p
+        v = (v + u | v - u) & whole
+    return len(item) - v.bit_count() >= need
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, share): documents that carry at least MIN_WORDS of an item's words as a passage, in order.
 
     The items' shingles are ordered by rarity in the corpus; a window with at least MIN_SHARED of an item's shingles must
     have one of the rarest (1 - MIN_SHARED) of them, the prefix, so prefixes are joined first and whole items only with the
     documents that are left. Matches are counted in windows of three times the item, stepping by half of that (the
-    positional and length bound), all counts by partial sums; windows with enough shingles are aligned word by word. A
+    positional and length bound), all counts by partial sums; windows with enough shingles whose words in common would be
+    enough are aligned word by word. A
     document of any length is read whole; one with an item in two places gives one row, with the larger share. An item of
     fewer than SHINGLE words must stand there wholly. Null and empty texts give no rows.
     """
@@ -158,8 +176,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         for x, k, s, w in zip(t, win, step, item):
             if x is not last and x != last:  # rows are sorted by document: its words are found once
                 last, own = x, words(x)
-            found = alignment(list(w), own[k * s : (k + 2) * s]) / len(w)
-            out.append(found if len(w) >= SHINGLE or found == 1.0 else 0.0)
+            item, window = list(w), own[k * s : (k + 2) * s]
+            need = MIN_WORDS * len(item) if len(item) >= SHINGLE else len(item)
+            found = alignment(item, window) if may_reach(item, window, need) else 0
+            out.append(found / len(item) if found >= need else 0.0)
         return pd.Series(out, dtype="float64")
 
     spread = parts.repartition("d", "i").sortWithinPartitions("d")

@@ -178,6 +178,7 @@ def corrected(names: DataFrame, blocks: DataFrame) -> DataFrame:
     small = F.least(F.length("turned"), F.length("to"))
     j = j.where((F.col("far") == 1) & (F.col("sure") | (small >= 5)) | F.col("sure") & ((F.col("far") == 2) & (small >= 5) | (F.col("far") == 3) & (small >= 7)))
     step = keep(j.groupBy("nid").agg(F.max_by("to_id", F.struct("to_n", "to", "to_id")).alias("best")), "spellings")
+    drop(blocks, keyed)
     # a better spelling may have one of its own: every round halves the way to the end
     while True:
         further = step.alias("a").join(step.select(F.col("nid").alias("best"), F.col("best").alias("next")).alias("b"), "best", "left")
@@ -272,12 +273,14 @@ def named(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame
     already has. cut_at: side -> width at which it cuts names off; learned where not given. Null and blank names are left out.
     """
     records = records.withColumns({c: F.lit(None).cast(t) for c, t in _OTHER.items() if c not in records.columns})
-    own = keep(parsed(records.withColumn("side", F.coalesce("side", F.lit(""))), cut_at), "names")
-    own = localised(own).withColumns({
+    parsed_names = keep(parsed(records.withColumn("side", F.coalesce("side", F.lit(""))), cut_at), "names")
+    own = localised(parsed_names).withColumns({
         "flat": F.concat("base", "last"), "kind": F.xxhash64("short", "nums"), "nid": F.xxhash64("short", "nums", "turned", "region"),
         "towns_own": (F.col("core") == "") | F.contains("town", "core"),
     }).drop("zip", "town", "state", "base")
-    return told_apart(keep(state_names(own), "names-in-state"))
+    in_state = keep(state_names(own), "names-in-state")
+    drop(parsed_names)
+    return told_apart(in_state)
 
 
 def same_name(records: DataFrame, cut_at: dict[str, int] | None = None) -> DataFrame:

@@ -59,6 +59,9 @@ def by_tokens(queries: DataFrame, reference: DataFrame, by: list[str] | None = N
         if common.count() <= HOT:
             common = F.broadcast(common)
         q, r = q.join(common, "token", "left_anti"), r.join(common, "token", "left_anti")
+    # tokens are few bytes and their pairs many: partitions must not be merged by the tokens' size
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = q.repartition(parts, *keys, "token")
     if min_pair_idf is None:
         return q.join(r, [*keys, "token"]).select("id", "rid").distinct()
     n = reference.agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..config import COMPARED, GEO_PROFILES, Config
 from ..functions import similarity as S
 from ..functions.text import tokens
+from .fields import present, query_flags
 
 #: What is carried from both sides for rules, display and review.
 CARRIED = ["name", "dba", "division", "name_key", "dba_key", "division_key", "name_form", "name_gen", "name_gen_rank", "name_nums", "name_ord", "name_dir", "street", "city", "state", "zip5", "street_key"]
@@ -29,10 +30,6 @@ class Pairs:
         return Pairs(df, self.compared, self.profile)
 
 
-def present(c: Column) -> Column:
-    return c.isNotNull() & (c != "")
-
-
 def geo_coverage(queries: DataFrame) -> DataFrame:
     """One row: the share of queries with each geographic field."""
     return queries.agg(*[F.avg(F.when(present(F.col(f)), 1.0).otherwise(0.0)).alias(f) for f in ("street", "unit", "city", "county", "state", "zip5")])
@@ -90,7 +87,8 @@ def compare(candidates: DataFrame, queries: DataFrame, reference: DataFrame, con
     fields = compared_fields(queries, reference, profile)
     cols = [COMPARED[f] for f in fields]
     side = [*CARRIED, "zip3", "zip9", "street_num", "street_unit", "county", "is_po_box"]
-    q = queries.select("id", *[F.col(c).alias(f"{c}_x") for c in side])
+    own = ["owner"] if "owner" in queries.columns else []
+    q = queries.select("id", *own, *[c.alias(n) for n, c in query_flags(F.col("name")).items()], *[F.col(c).alias(f"{c}_x") for c in side])
     r = reference.select("rid", "ein", F.col("active").alias("bmf_active"), *[F.col(c).alias(f"{c}_y") for c in side])
     p = candidates.select("id", "rid").join(q, "id").join(r, "rid")
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))

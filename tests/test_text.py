@@ -26,8 +26,8 @@ def test_jaro_edges_and_bound():
     for a in words:
         for b in words:
             for floor in (0.7, 0.85, 0.95):
-                assert S.reachable(a, b, floor, False) or S.jaro(a, b) < floor
-                assert S.reachable(a, b, floor, True) or S.jaro_winkler(a, b) < floor
+                assert S.reachable([a], [b], floor, False)[0] or S.jaro(a, b) < floor
+                assert S.reachable([a], [b], floor, True)[0] or S.jaro_winkler(a, b) < floor
 
 
 def test_overlap():

@@ -209,7 +209,15 @@ SQL = {
         list_contains(string_split(coalesce(bus_type_string, ''), '~'), 'A8') AS SAM_bus_type_nonprofit, list_contains(string_split(coalesce(bus_type_string, ''), '~'), 'BZ') AS SAM_bus_type_foundation FROM df_source""",
     "registry_fields": """SELECT ein, ntee_clean AS BMF_ntee_clean, subsection AS BMF_subsection, try_cast(left(ruling_date, 4) AS INTEGER) AS BMF_rule_year, assets::DOUBLE AS BMF_assets, revenue::DOUBLE AS BMF_revenue,
         false AS BMF_is_foundation, NULL::VARCHAR AS BMF_form_990 FROM df_db""",
+    "name_versions": f"""WITH {Q}, {R}, j AS (SELECT q.id, r.ein, q.name_key AS a, q.dba_key AS b, r.name_key AS c, r.dba_key AS d FROM q JOIN r USING (state) WHERE state <> '' AND ((q.name_key <> '' AND q.name_key IN (r.name_key, r.dba_key)) OR (q.dba_key <> '' AND q.dba_key IN (r.name_key, r.dba_key))))
+        SELECT DISTINCT id, ein, CASE WHEN a <> '' AND a IN (c, d) THEN 'MAIN' ELSE 'DBA' END AS name_ver_x,
+               CASE WHEN a <> '' AND a = c THEN 'MAIN' WHEN a <> '' AND a = d THEN 'DBA' WHEN b = c THEN 'MAIN' ELSE 'DBA' END AS name_ver_y, CASE WHEN a <> '' AND a = c THEN 'exact' ELSE 'dba' END AS name_match_type FROM j""",
+    "rescale": """WITH v AS (SELECT pair_id, CASE WHEN isnan(total_score) THEN NULL ELSE total_score END AS s FROM candidate_pairs)
+        SELECT pair_id, round((s - (SELECT min(s) FROM v)) / (SELECT max(s) - min(s) FROM v), 6) AS score FROM v""",
+    "report_pairs": """WITH p AS (SELECT unique_entity_id AS id, count(DISTINCT ein) AS n FROM candidate_pairs GROUP BY 1)
+        SELECT sum(n) AS unique_pairs, count(*) AS queries, round(avg(n), 6) AS per_query, max(n) AS most FROM p""",
     "screen": f"""WITH {Q}, {R}, qt AS (SELECT DISTINCT id, state, name_key, unnest(list_distinct({telling('name_key')})) AS token FROM q WHERE state <> ''), rt AS (SELECT DISTINCT rid, ein, state, unnest(list_distinct({telling('name_key')})) AS token FROM r WHERE state <> ''),
         n AS (SELECT id, state, name_key, count(*) AS n FROM qt GROUP BY ALL), h AS (SELECT id, state, name_key, rid, ein, count(*) AS k FROM qt JOIN rt USING (state, token) GROUP BY ALL)
         SELECT id, ein, max(k / n) AS share FROM h JOIN n USING (id, state, name_key) GROUP BY 1, 2 HAVING max(k / n) >= 0.5""",
 }
+SQL["label_frame"] = f"SELECT *, NULL::BOOLEAN AS label FROM ({SQL['candidates_topk']})"

@@ -13,14 +13,14 @@ from .operators import block, geo, incremental, review, skew, stats, tier1
 from .operators import evaluate as E
 from .operators import train as T
 from .operators import veto as V
-from .operators.compare import Pairs, geo_coverage
+from .operators.compare import Pairs, compare, geo_coverage
 from .operators.compare import geo_flags as geo_flags_of
 from .operators.normalize import normalize
-from .operators.score import score
+from .operators.score import rescaled, score
 from .operators.select import candidates, select, tier
 from .oracle import SQL as ORACLE
 from .plans import pipeline
-from .plans.report import tier_shares
+from .plans.report import pair_stats, tier_shares
 from .plans.route import route
 from .runtime import keep, table
 
@@ -229,6 +229,25 @@ def one_to_one(spark, d):
     return tier1.one_to_one(_scored(spark, d).df.where("score > 0").select("id", "ein", "score"))
 
 
+def name_versions(spark, d):
+    """Which versions of the names agree in pairs that an exact pass brings up."""
+    x, y = keep(normalize(_registrations(spark, d)), "queries"), keep(normalize(_registry(spark, d)), "reference")
+    found = block.union(*[p.block(x, y) for p in pipeline.default_passes()[:4]])
+    return compare(found, x, y).df.select(F.col("owner").alias("id"), "ein", "name_ver_x", "name_ver_y", "name_match_type").distinct()
+
+
+def rescale(spark, d):
+    return rescaled(table(spark, d, "candidate_pairs"), "total_score", "score").select("pair_id", F.round("score", 6).alias("score"))
+
+
+def report_pairs(spark, d):
+    return pair_stats(_scored(spark, d).df).select("unique_pairs", "queries", F.round("per_query", 6).alias("per_query"), "most")
+
+
+def label_frame(spark, d):
+    return T.label_frame(_scored(spark, d), 3).select("id", "ein", "candidate_type", "label")
+
+
 def candidates_topk(spark, d):
     return candidates(_scored(spark, d), 3).select("id", "ein", "candidate_type")
 
@@ -370,7 +389,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_state_profile, canonicalize, name_features, street_features, zip_family, name_freq, token_idf, geo_profile, block_exact, block_cross_column, block_union, block_token,
-    block_token_idf, block_token_concat, block_crossstate, select_best, select_ruled, select_tiebreak, geo_flags, hier_pairs, weighted_pairs, review_fields, registry_fields, screen, one_to_one, candidates_topk, auc, evaluate, tune_thresholds, diff_unmatched, diff_counts, flag_membership, code_flags, clean_geo, refine_city,
+    block_token_idf, block_token_concat, block_crossstate, select_best, select_ruled, select_tiebreak, geo_flags, hier_pairs, weighted_pairs, review_fields, registry_fields, screen, one_to_one, name_versions, rescale, report_pairs, label_frame, candidates_topk, auc, evaluate, tune_thresholds, diff_unmatched, diff_counts, flag_membership, code_flags, clean_geo, refine_city,
     dominant_geo, augment_geo, veto_audit, veto_optional, score_weighted, score_hier, score_em, score_model, cascade, route_review, run_report_stats,
 )}
 

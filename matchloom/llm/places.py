@@ -102,8 +102,12 @@ def placed_forms(forms: DataFrame, units: bool = False) -> DataFrame:
     forms = keep(located(forms), "forms")
     right = corrected_streets(forms.select("form", "kind", "core", "n", F.explode("blocks").alias("block")))
     f = forms.join(right, "form", "left").withColumn("g", F.xxhash64("kind", "num", F.coalesce("name", F.xxhash64("core"))))
-    f = f.select("form", "n", "g", "dir", "type", "zip", "town", "state", *(["unit"] if units else [])).repartition("g")
-    by = ["g"]
+    # numbers and names that the whole country has (BOX 1, 100 MAIN) are divided by state: that of the postal code, or else their own
+    begins = forms.where("zip != '' and state != ''").groupBy(F.substring("zip", 1, 3).alias("z3"), "state").agg(F.sum("n").alias("k"))
+    begins = begins.groupBy("z3").agg(F.max_by("state", F.struct("k", "state")).alias("z3_state"))  # at most 1000 rows are broadcast
+    f = f.withColumn("z3", F.substring("zip", 1, 3)).join(F.broadcast(begins), "z3", "left").withColumn("region", F.coalesce("z3_state", "state"))
+    f = f.select("form", "n", "g", "region", "dir", "type", "zip", "town", "state", *(["unit"] if units else [])).repartition("g", "region")
+    by = ["g", "region"]
 
     def top(value: str, *also: str):
         return F.max(F.when(F.col(value) != "", F.struct("n", value))).over(Window.partitionBy(*by, *also))[value]

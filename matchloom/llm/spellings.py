@@ -99,7 +99,7 @@ def parsed(records: DataFrame, cut_at: dict[str, int] | None = None, also: tuple
             out.append(_SEP.join((*form, zip5(d), place[0], region, "1" if cut else "", ordered, numbers, zip5(code))))
         return pa.array(out, pa.string())
 
-    text = [F.translate(F.coalesce(F.col(c), F.lit("")), _SEP, " ") for c in ("name", "city", "region", "postcode", "line", "other_line", "other_postcode", "side")]
+    text = [F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(_SEP), F.lit(" ")) for c in ("name", "city", "region", "postcode", "line", "other_line", "other_postcode", "side")]
     out = some.select("rec", F.xxhash64("owner").alias("owner"), F.xxhash64("name").alias("raw"), F.xxhash64("side").alias("side"), *[c for c in also], F.split(parts(F.concat_ws(_SEP, *text)), _SEP).alias("p"))
     out = out.select("rec", "owner", "raw", "side", *also, *[F.col("p")[i].alias(c) for i, c in enumerate(PARTS)])
     numbers = F.when(F.col("numbers") != "", F.split("numbers", " ").cast("array<bigint>")).otherwise(F.array().cast("array<bigint>"))

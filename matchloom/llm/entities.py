@@ -21,7 +21,7 @@ from .spellings import _distance, localised, parsed
 from .subjects import _platt
 
 #: Bands of a core's signature and minima of each; how many of the bands are looked up with a house number.
-BANDS, ROWS, WITH_NUMBER = 6, 2, 6
+BANDS, ROWS, WITH_NUMBER = 7, 2, 6
 #: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for it and its calibration.
 SAMPLE, HAND_SAMPLE = 20_000, 50_000
 _SEP = "\x1f"

@@ -9,6 +9,7 @@ these features from weak and hand labels, and its probabilities are calibrated o
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .subjects import _platt
 BANDS, ROWS, WITH_NUMBER = 7, 2, 6
 #: Pairs of each weak class that the classifier is fitted on at most, and hand-labelled pairs for it and its calibration.
 SAMPLE, HAND_SAMPLE = 20_000, 50_000
+#: Letters of cores that are hashed at once.
+LETTERS = 100_000
 _SEP = "\x1f"
 _PRIME = (1 << 31) - 1
 #: How alike two names are: equal but for one edit; near (NEAR of the letters); the same core with most of the usual words
@@ -39,22 +42,41 @@ def _hashers() -> tuple[np.ndarray, np.ndarray]:
     return r.randint(1, _PRIME, BANDS * ROWS).astype(np.int64), r.randint(0, _PRIME, BANDS * ROWS).astype(np.int64)
 
 
-def minima(core: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The MinHash minima over the pairs of letters of a name's core, the last and the first being neighbours."""
-    grams = {core[i : i + 2] for i in range(len(core) - 1)} | {core[-1:] + core[:1]}
-    h = np.fromiter((zlib.crc32(g.encode()) & _PRIME for g in grams), dtype=np.int64, count=len(grams))
-    return ((h[:, None] % _PRIME) * a + b).__mod__(_PRIME).min(axis=0)
+def minima(cores: list[str]) -> np.ndarray:
+    """The MinHash minima over the pairs of letters of each name's core, the last and the first being neighbours. Every pair is hashed once."""
+    a, b = _hashers()
+    ids: dict[str, int] = {}
+    at, starts = [], []
+    for core in cores:
+        starts.append(len(at))
+        ring = core + core[:1]
+        at += [ids.setdefault(ring[i : i + 2], len(ids)) for i in range(len(core) or 1)]
+    h = np.fromiter((zlib.crc32(g.encode()) & _PRIME for g in ids), dtype=np.int64, count=len(ids))
+    return np.minimum.reduceat(((h[:, None] % _PRIME) * a + b).__mod__(_PRIME)[at], starts, axis=0)
+
+
+def _few(cores: list[str]) -> Iterator[list[str]]:
+    """cores in parts of some LETTERS letters, so that long ones don't fill the memory."""
+    part, n = [], 0
+    for core in cores:
+        part.append(core)
+        n += len(core) + 1
+        if n >= LETTERS:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def signature(cores: pa.Array) -> pa.Array:
     """BANDS hashes of ROWS minima each."""
-    a, b = _hashers()
-    out = np.empty((len(cores), BANDS), dtype=np.int64)
-    for k, core in enumerate(cores.to_pylist()):
-        low = minima(core, a, b)
-        out[k] = [zlib.crc32(low[i : i + ROWS].tobytes(), i // ROWS) for i in range(0, BANDS * ROWS, ROWS)]
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+    out, size = [], 8 * ROWS
+    for part in _few(cores.to_pylist()):
+        for low in minima(part):
+            raw = low.tobytes()
+            out += [zlib.crc32(raw[size * i : size * (i + 1)], i) for i in range(BANDS)]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, BANDS, dtype=np.int32)), pa.array(out, pa.int64()))
 
 
 def profiles(left: DataFrame, right: DataFrame) -> DataFrame:

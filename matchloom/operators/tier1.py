@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import drop, keep
+from .block import coded, held, meet, units
 from .stats import telling
 
 
@@ -17,12 +18,26 @@ def index(reference: DataFrame) -> DataFrame:
 
 def screen(queries: DataFrame, names: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, ein, share): the entries that have at least this share of a query name's telling tokens in its state, and the largest
-    share. A query may have several names; null, blank and stopword names have no entry."""
-    q = queries.where(F.coalesce("state", F.lit("")) != "").withColumn("__t", F.array_distinct(telling(F.col("name_key"))))
-    q = q.withColumn("__n", F.size("__t")).withColumn("__q", F.xxhash64("id", "state", "name_key"))
-    hits = q.select("id", "__q", "__n", "state", F.explode("__t").alias("token")).distinct().join(names, ["state", "token"])
-    per = hits.groupBy("id", "__q", "rid").agg((F.count(F.lit(1)) / F.first("__n")).alias("share"), F.first("ein").alias("ein"))
-    return per.where(F.col("share") >= least).groupBy("id", "ein").agg(F.max("share").alias("share"))
+    share. A query may have several names; null, blank and stopword names have no entry. Pairs aren't shuffled: each is made
+    under its rarest shared token."""
+    told = keep(queries.select("id", "state", F.array_distinct(telling(F.col("name_key"))).alias("told")), "query-tokens")
+    names = keep(names, "names")
+    q = held(told, "id", ["state"], F.col("told"), True)
+    r = names.select(F.col("ein").alias("u"), F.col("state").alias("k0"), "token", F.lit(1).cast("long").alias("m"), F.col("rid").cast("string").alias("form"), F.lit(None).cast("int").alias("size"))
+    codes = coded(q, r, names.groupBy("token").agg(F.count(F.lit(1)).alias("df")), ["k0"])
+    x = units(q, codes, ["k0"], {"n": F.col("size")}, F.lit(1.0), least * F.col("size") - 1e-9)
+    y = units(r, codes, ["k0"], {}, None, None)
+    several = F.when(F.size("forms") > 1, F.col("forms")).alias("forms")
+    x = x.select("u", "pre", "codes", F.array_min(F.transform("forms", lambda f: f[0]["n"])).alias("n"), several)
+    found = meet(x, y.select("u", "pre", "codes", several))
+    # one name a side is the rule: its share is one intersection; for several, that of all their tokens is a bound
+    bound = F.size(F.array_intersect("x_codes", "y_codes")) / F.col("x_n")
+    numbers = lambda f: F.transform(f, lambda i: i["code"])
+    xs = F.coalesce("x_forms", F.array(F.transform("x_codes", lambda c: F.struct(c.alias("code"), F.col("x_n").alias("n")))))
+    ys = F.coalesce("y_forms", F.array(F.transform("y_codes", lambda c: F.struct(c.alias("code")))))
+    best = F.array_max(F.flatten(F.transform(xs, lambda f: F.transform(ys, lambda s: F.size(F.array_intersect(numbers(f), numbers(s))) / f[0]["n"]))))
+    share = F.when(bound < least, None).when(F.col("x_forms").isNull() & F.col("y_forms").isNull(), bound).otherwise(best)
+    return found.select(F.col("x_u").alias("id"), F.col("y_u").alias("ein"), share.alias("share")).where(F.col("share") >= least)
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_by_tokens_is_brute_force(spark, seed, by, bar):
     assert len(found) == len(set(found)) and set(found) == want
 
 
-@pytest.mark.parametrize("query", ["block_crossstate", "block_token_idf", "screen", "block_token"])
+@pytest.mark.parametrize("query", ["block_crossstate", "block_token_idf", "screen", "block_token", "block_token_concat"])
 def test_pairs_are_not_shuffled(spark, query):
     above = above_join(queries.QUERIES[query](spark, DATA))
     assert not [x for x in above if "Exchange" in x or "Aggregate" in x]
